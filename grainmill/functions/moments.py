@@ -47,12 +47,16 @@ MOMENTS = ["count", "mean", "std", "std_pop", "min", "max", "skewness", "kurtosi
 
 def collect_moments(df, columns: dict[str, Column]) -> dict[str, dict[str, float]]:
     """Moments of the given expressions from one aggregation over ``df``."""
-    aggs = []
+    aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(columns.values()):
         aggs += moment_aggregates(c.cast("double"), f"m{i}_")
-    if not aggs:
+    if not columns:
         return {}
     row = df.agg(*aggs).first()
     return {
-        name: {m: row[f"m{i}_{m}"] for m in MOMENTS} for i, name in enumerate(columns)
+        name: {
+            **{m: row[f"m{i}_{m}"] for m in MOMENTS},
+            "missing": row["rows"] - row[f"m{i}_count"],
+        }
+        for i, name in enumerate(columns)
     }

@@ -31,11 +31,15 @@ STATISTICS = ["mean", "median", "std", "min", "max", "skewness", "kurtosis"]
 
 def distribution_stats(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
     """Long form: moments and percentiles of the present values."""
+    return _describe(df, column, approx).where("metric != 'missing'")
+
+
+def _describe(df: DataFrame, column: str, approx: bool) -> DataFrame:
     require(df, [column])
     moments = collect_moments(df, {column: col(column)})[column]
     shares = [p / 100 for p in PERCENTILES]
     found = quantiles(df, {column: shares}, approx)[column]
-    rows = [("count", float(moments["count"]))]
+    rows = [("count", float(moments["count"])), ("missing", float(moments["missing"]))]
     rows += [(m, moments[m]) for m in ("mean", "std", "min", "max", "skewness", "kurtosis")]
     rows += [("median", found[PERCENTILES.index(50)])]
     rows += [(f"{p}%", v) for p, v in zip(PERCENTILES, found)]
@@ -43,12 +47,8 @@ def distribution_stats(df: DataFrame, column: str, approx: bool = False) -> Data
 
 
 def inspect_numeric(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
-    """``distribution_stats`` with the number of missing values."""
-    missing = df.agg(
-        F.lit("missing").alias("metric"),
-        F.count_if(col(column).isNull()).cast("double").alias("value"),
-    )
-    return distribution_stats(df, column, approx).where("metric != 'count'").unionByName(missing)
+    """Moments, percentiles and the number of missing values."""
+    return _describe(df, column, approx).where("metric != 'count'")
 
 
 def categorical_stats(df: DataFrame, column: str, limit: int = TOP_TEN) -> DataFrame:
@@ -77,12 +77,11 @@ def inspect_categorical(df: DataFrame, column: str) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Mean, median, deviation, skewness and missing count per numeric column."""
     names = columns or numeric_columns(df)
-    rows = df.count()
     moments = collect_moments(df, {c: col(c) for c in names})
     medians = quantiles(df, {c: [0.5] for c in names})
     return df.sparkSession.createDataFrame(
         [
-            (c, m["mean"], medians[c][0], m["std"], m["skewness"], rows - m["count"])
+            (c, m["mean"], medians[c][0], m["std"], m["skewness"], m["missing"])
             for c, m in moments.items()
         ],
         "column string, mean double, median double, std double, skewness double, missing bigint",

@@ -17,6 +17,7 @@ from grainmill.functions.columns import (
     tidy,
 )
 from grainmill.functions.moments import sample_skewness
+from grainmill.plans.counts import most_frequent, value_counts
 from grainmill.plans.quantiles import quantiles
 
 METHODS = ("mean", "median", "mode", "constant", "unknown_tag", "drop")
@@ -168,10 +169,7 @@ def fit_imputation(
         approx,
     ) if medians else {}
     modes = {c: v for c, v in modes.items() if c in needed}
-    mode_values = {}
-    if modes:
-        chosen = df.select(*[v.alias(c) for c, v in modes.items()])
-        mode_values = {c: _mode_value(chosen, c) for c in modes}
+    mode_values = _mode_values(df.select(*[v.alias(c) for c, v in modes.items()])) if modes else {}
 
     fitted = Imputation(rows_after=row["rows"])
     for i, c in enumerate(names):
@@ -188,7 +186,7 @@ def fit_imputation(
         elif method == "median":
             fill = median_values[c][0]
         elif method == "mode":
-            fill = mode_values[c]
+            fill = mode_values.get(c)
         elif method == "constant":
             fill = strategies[c].get("value", 0)
             error = _check_constant(fill, dtype)
@@ -208,17 +206,19 @@ def fit_imputation(
     return fitted
 
 
-def _mode_value(df: DataFrame, column: str):
-    """Most frequent present value, the smallest one if several tie."""
-    top = (
-        df.select(col(column).alias("v"))
-        .where("v IS NOT NULL")
-        .groupBy("v")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.col("n").desc(), F.col("v"))
-        .first()
-    )
-    return top["v"] if top else None
+def _mode_values(df: DataFrame) -> dict[str, Any]:
+    """Most frequent present value per column, the smallest one if several tie.
+
+    Columns of the same type are counted in one shuffle.
+    """
+    by_type: dict[str, list[str]] = {}
+    for name, dtype in df.dtypes:
+        by_type.setdefault(dtype, []).append(name)
+    found = {}
+    for names in by_type.values():
+        for r in most_frequent(value_counts(df, names, as_text=False)).collect():
+            found[r["column"]] = r["value"]
+    return found
 
 
 def impute_missing_values(

@@ -11,7 +11,7 @@ from grainmill.functions.similarity import (
     similar_character_sets,
     similar_numbers,
 )
-from grainmill.plans.ordering import ROWS_PER_BLOCK, with_blocks, with_previous
+from grainmill.plans.ordering import ROWS_PER_BLOCK, split_points, with_previous
 
 DEFAULT_COLUMNS = 3
 
@@ -48,10 +48,8 @@ def near_duplicates(
     order = blocks + [c for c in order_by if c not in blocks]
     require(df, order + list(string_columns_) + list(numeric_columns_))
 
-    ordered = with_blocks(df.select(*{*order, *string_columns_, *numeric_columns_}),
-                          order, rows_per_block)
-    narrow = ordered.select(
-        "_block",
+    points = split_points(df, order, rows_per_block)
+    narrow = df.select(
         *[col(c) for c in order],
         *[F.array_join(character_set(col(c)), "").alias(f"_s{i}")
           for i, c in enumerate(string_columns_)],
@@ -59,7 +57,7 @@ def near_duplicates(
     )
     sets = [f"_s{i}" for i in range(len(string_columns_))]
     numbers = [f"_n{i}" for i in range(len(numeric_columns_))]
-    paired = with_previous(narrow, order, order + sets + numbers, "_previous")
+    paired = with_previous(narrow, order, order + sets + numbers, "_previous", points)
 
     similar = F.col("_previous").isNotNull()
     for b in blocks:

@@ -35,15 +35,17 @@ class Bounds:
     reach: float | None = None
     active: bool = True
 
-    def is_outlier(self, c: Column) -> Column:
-        """True for a present value outside the limits, else false."""
+    def outside(self, c: Column) -> Column:
+        """Filter condition for outliers; NULL for a missing value."""
         if not self.active:
             return F.lit(False)
         if self.center is not None:
-            far = F.abs(c - F.lit(self.center)) > F.lit(self.reach)
-        else:
-            far = (c < F.lit(self.lower)) | (c > F.lit(self.upper))
-        return F.coalesce(far, F.lit(False))
+            return F.abs(c - F.lit(self.center)) > F.lit(self.reach)
+        return (c < F.lit(self.lower)) | (c > F.lit(self.upper))
+
+    def is_outlier(self, c: Column) -> Column:
+        """True for a present value outside the limits, else false."""
+        return F.coalesce(self.outside(c), F.lit(False))
 
 
 def _threshold(method: str, threshold: float | None) -> float:
@@ -60,10 +62,15 @@ def fit_outlier_bounds(
     approx: bool = False,
 ) -> dict[str, Bounds]:
     """Limits per numeric column; columns without values are left out."""
+    return _fit(df, columns, method, threshold, approx)[0]
+
+
+def _fit(df: DataFrame, columns, method: str, threshold, approx: bool):
+    """Bounds per column and, where the method yields them anyway, medians."""
     t = _threshold(method, threshold)
     names = existing(df, columns) if columns is not None else numeric_columns(df)
     if not names:
-        return {}
+        return {}, {}
     if method == "zscore":
         moments = collect_moments(df, {c: col(c) for c in names})
         fitted = {}
@@ -79,7 +86,7 @@ def fit_outlier_bounds(
                 reach=t * m["std_pop"],
                 active=m["std_pop"] > 0,
             )
-        return fitted
+        return fitted, None
     if method == "modified_zscore":
         medians = {
             c: v[0]
@@ -87,7 +94,7 @@ def fit_outlier_bounds(
             if v[0] is not None
         }
         if not medians:
-            return {}
+            return {}, {}
         distances = df.select(
             *[F.abs(col(c).cast("double") - F.lit(m)).alias(c) for c, m in medians.items()]
         )
@@ -97,15 +104,18 @@ def fit_outlier_bounds(
             mad = mads[c][0]
             reach = t * mad / MAD_FACTOR
             fitted[c] = Bounds(m - reach, m + reach, center=m, reach=reach, active=mad > 0)
-        return fitted
+        return fitted, medians
     shares = [0.25, 0.75] if method == "iqr" else [t / 100, 1 - t / 100]
-    fitted = {}
-    for c, (low, high) in quantiles(df, {c: shares for c in names}, approx).items():
+    fitted, medians = {}, {}
+    for c, (low, high, median) in quantiles(
+        df, {c: [*shares, 0.5] for c in names}, approx
+    ).items():
         if low is None:
             continue
+        medians[c] = median
         margin = t * (high - low) if method == "iqr" else 0.0
         fitted[c] = Bounds(low - margin, high + margin)
-    return fitted
+    return fitted, medians
 
 
 def detect_outliers(
@@ -116,8 +126,10 @@ def detect_outliers(
     approx: bool = False,
 ) -> DataFrame:
     """Per column: outlier count, share, bounds and seven statistics."""
-    bounds = fit_outlier_bounds(df, columns, method, threshold, approx)
-    medians = quantiles(df, {c: [0.5] for c in bounds}, approx)
+    bounds, medians = _fit(df, columns, method, threshold, approx)
+    if medians is None:
+        found = quantiles(df, {c: [0.5] for c in bounds}, approx)
+        medians = {c: v[0] for c, v in found.items()}
     aggs = []
     for i, (c, b) in enumerate(bounds.items()):
         v = col(c).cast("double")
@@ -143,7 +155,7 @@ def detect_outliers(
                 "lower_bound": F.lit(b.lower),
                 "upper_bound": F.lit(b.upper),
                 "mean": F.col(f"mean{i}"),
-                "median": F.lit(medians[c][0]),
+                "median": F.lit(medians[c]),
                 "std": F.col(f"std{i}"),
                 "min": F.col(f"min{i}"),
                 "max": F.col(f"max{i}"),
@@ -174,7 +186,7 @@ def outlier_rows(
     bounds = fit_outlier_bounds(df, [column], method, threshold, approx)
     if column not in bounds:
         return df.where(F.lit(False))
-    return df.where(bounds[column].is_outlier(col(column).cast("double")))
+    return df.where(bounds[column].outside(col(column).cast("double")))
 
 
 def outlier_samples(

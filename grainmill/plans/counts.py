@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions.columns import col
 
 
-def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows per present value: ``column``, ``value`` (as text), ``n``.
+def value_counts(df: DataFrame, columns: list[str], as_text: bool = True) -> DataFrame:
+    """Rows per present value: ``column``, ``value`` and ``n``.
 
+    Values are shown as text, or kept if all columns have the same type.
     Counting starts before the shuffle, so a frequent value stays cheap.
     """
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
-    texts = df.select(*[col(c).cast("string").alias(c) for c in columns])
-    long = texts.unpivot([], [col(c) for c in columns], "column", "value")
+    values = df.select(
+        *[(col(c).cast("string") if as_text else col(c)).alias(c) for c in columns]
+    )
+    long = values.unpivot([], [col(c) for c in columns], "column", "value")
     return (
         long.where("value IS NOT NULL")
         .groupBy("column", "value")
@@ -25,17 +28,19 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame) -> DataFrame:
-    """The top value of each column; the smallest one if several tie."""
-    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("value")))
+    """The top value of each column; the smallest one if several tie.
+
+    The highest counts are found first, so only values that reach them are
+    compared. Both steps read the same shuffled counts.
+    """
+    # One row per column.
+    highest = F.broadcast(
+        counts.groupBy("column").agg(F.max("n").alias("n"), F.count("*").alias("distinct"))
+    )
     return (
-        counts.groupBy("column")
-        .agg(best.alias("best"), F.count("*").alias("distinct"))
-        .select(
-            "column",
-            F.col("best.value").alias("value"),
-            (-F.col("best.n")).alias("n"),
-            "distinct",
-        )
+        counts.join(highest, ["column", "n"])
+        .groupBy("column")
+        .agg(F.min("value").alias("value"), F.max("n").alias("n"), F.max("distinct").alias("distinct"))
     )
 
 
@@ -44,8 +49,6 @@ def top_values(counts: DataFrame, limit: int) -> DataFrame:
 
     Spark cuts each column to ``limit`` rows before the shuffle as well.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value"))
     return (
         counts.withColumn("rank", F.row_number().over(order).cast("bigint"))

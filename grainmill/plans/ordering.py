@@ -2,8 +2,8 @@
 
 Rows are split into blocks by the value of the order key. The split points
 come from a sample and enter the plan as constants, so every part of a query
-puts a row in the same block. What crosses a block border is carried by a
-table with one row per block.
+puts a row in the same block. Each split point is the key of a real row, the
+first one of its block.
 """
 
 from __future__ import annotations
@@ -36,30 +36,43 @@ def split_points(
         return []
     share = min(1.0, blocks * SAMPLES_PER_BLOCK / rows)
     sample = df.select(*[col(c) for c in order_by]).sample(fraction=share, seed=7).collect()
-    keys = sorted({tuple(r) for r in sample}, key=_sort_key)
+    keys = sorted({tuple(r) for r in sample if any(v is not None for v in r)}, key=_sort_key)
     step = len(keys) / blocks
     return sorted({keys[int(step * i)] for i in range(1, blocks) if keys}, key=_sort_key)
 
 
-def block_number(df: DataFrame, order_by: list[str], points: list[tuple]) -> Column:
-    """Block of a row, found by comparing with about log2(blocks) points."""
+def block_number(
+    df: DataFrame, order_by: list[str], points: list[tuple], mark_first: bool = False
+) -> Column:
+    """Block of a row, found by comparing with about log2(blocks) points.
+
+    With ``mark_first`` the number is negative for a row whose key is the split
+    point that starts its block.
+    """
     if not points:
         return F.lit(0)
-    key = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(order_by)])
+    single = len(order_by) == 1
     types = [df.schema[c].dataType for c in order_by]
 
+    def joined(parts: list[Column]) -> Column:
+        if single:
+            return parts[0]
+        return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
+
+    key = joined([col(c) for c in order_by])
+
     def point(values) -> Column:
-        return F.struct(
-            *[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(values, types))]
-        )
+        return joined([F.lit(v).cast(t) for v, t in zip(values, types)])
 
     def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key >= point(points[middle]), search(middle + 1, high)).otherwise(
-            search(low, middle)
-        )
+        if low < high:
+            middle = (low + high) // 2
+            return F.when(key >= point(points[middle]), search(middle + 1, high)).otherwise(
+                search(low, middle)
+            )
+        if mark_first and low:
+            return F.when(key == point(points[low - 1]), F.lit(-low)).otherwise(F.lit(low))
+        return F.lit(low)
 
     return search(0, len(points))
 
@@ -116,24 +129,34 @@ def with_running_total(
 
 
 def with_previous(
-    df: DataFrame, order_by: list[str], carried: list[str], output: str
+    df: DataFrame,
+    order_by: list[str],
+    carried: list[str],
+    output: str,
+    points: list[tuple],
 ) -> DataFrame:
     """Add the ``carried`` columns of the previous row as a struct.
 
-    ``df`` needs a ``_block`` column. The first row of a block takes its
-    neighbour from the last row of the nearest earlier block.
+    The first row of each block is also put at the end of the block before it,
+    where it meets its neighbour; in its own block it is left out. So rows are
+    shuffled once and nothing is computed twice.
     """
-    payload = F.struct(*[col(c) for c in carried])
-    ordered = Window.partitionBy(BLOCK).orderBy(*_in_order(order_by))
-    last = df.groupBy(BLOCK).agg(
-        F.max_by(payload, F.struct(*[col(c) for c in order_by])).alias("_last")
-    )
-    across = Window.partitionBy(F.lit(0)).orderBy(BLOCK)
-    # One row per block, so at most MAX_BLOCKS rows.
-    before = F.broadcast(last.select(BLOCK, F.lag("_last").over(across).alias("_before")))
+    rest = [c for c in carried if c not in order_by]
+    if points:
+        number = block_number(df, order_by, points, mark_first=True)
+        own = F.struct(F.abs("_number").alias("block"), F.lit(False).alias("tail"))
+        before = F.struct((-F.col("_number") - 1).alias("block"), F.lit(True).alias("tail"))
+        places = F.when(F.col("_number") < 0, F.array(before, own)).otherwise(F.array(own))
+        placed = df.withColumn("_number", number).withColumn("_place", F.explode(places))
+        placed = placed.select("*", "_place.block", "_place.tail").drop("_number", "_place")
+    else:
+        placed = df.withColumns({"block": F.lit(0), "tail": F.lit(False)})
+    # Rows with equal keys are told apart by what they carry.
+    ordered = Window.partitionBy("block").orderBy(*_in_order([*order_by, *rest]))
+    payload = F.struct(*[col(c) for c in carried], "tail")
     return (
-        df.withColumn(output, F.lag(payload).over(ordered))
-        .join(before, BLOCK)
-        .withColumn(output, F.coalesce(F.col(output), F.col("_before")))
-        .drop("_before")
+        placed.withColumn(output, F.lag(payload).over(ordered))
+        .where(~F.col("tail") | ~F.coalesce(F.col(output)["tail"], F.lit(False)))
+        .where(F.col("tail") | F.col(output).isNotNull() | (F.col("block") == 0))
+        .drop("block", "tail")
     )

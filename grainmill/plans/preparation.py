@@ -8,7 +8,11 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from grainmill.functions.columns import existing, missing_as_null, numeric_columns
-from grainmill.operators.correlation import detect_multicollinearity, resolve_multicollinearity
+from grainmill.operators.correlation import (
+    PAIR_THRESHOLD,
+    detect_multicollinearity,
+    resolve_multicollinearity,
+)
 from grainmill.operators.duplicates import resolve_duplicates
 from grainmill.operators.encoding import fit_encoding
 from grainmill.operators.missing import fit_imputation
@@ -51,6 +55,7 @@ class Preparation:
     outlier_threshold: float | None = None
     collinear_actions: dict[str, str] | None = None
     collinear_columns: list[str] | None = None
+    collinear_threshold: float = PAIR_THRESHOLD
     combine_formulas: dict[str, str] | None = None
     encoding: dict[str, dict[str, Any]] = field(default_factory=dict)
     scaling_method: str | None = None
@@ -116,5 +121,7 @@ class Preparation:
             return self.collinear_actions
         if not self.collinear_columns or len(existing(table, self.collinear_columns)) < 2:
             return {}
-        found = detect_multicollinearity(table, columns=self.collinear_columns)
+        found = detect_multicollinearity(
+            table, self.collinear_threshold, columns=self.collinear_columns
+        )
         return {column: action for action, column, _ in found.recommendations}

@@ -25,6 +25,9 @@ MISSING_TOKENS = [
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json"}
 HEAD_CHARACTERS = 4096
 UTF8, FALLBACK = "UTF-8", "ISO-8859-1"
+# All six digits of the seconds are written.
+TIME_LAYOUT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+READ_TIME_LAYOUT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]"
 
 
 def file_format(path: str, fmt: str | None = None) -> str:
@@ -169,13 +172,19 @@ def read_csv(
 def read_json(spark: SparkSession, path: str, lines: bool = False, schema=None) -> DataFrame:
     """An array of records per file, or one record per line."""
     reader = spark.read.option("multiLine", not lines)
+    reader = reader.option("timestampNTZFormat", READ_TIME_LAYOUT)
     if schema is not None:
         reader = reader.schema(schema)
     return missing_as_null(reader.json(path))
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return missing_as_null(spark.read.parquet(path))
+def read_parquet(spark: SparkSession, path: str, nan_to_null: bool = True) -> DataFrame:
+    """Parquet table; without NaN in it, pass ``nan_to_null=False``.
+
+    Filters on float columns then reach the scan.
+    """
+    table = spark.read.parquet(path)
+    return missing_as_null(table) if nan_to_null else table
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
@@ -223,7 +232,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 def write_json(df: DataFrame, path: str) -> None:
     """One record per line, missing values included."""
-    df.write.option("ignoreNullFields", False).json(path)
+    writer = df.write.option("ignoreNullFields", False)
+    writer.option("timestampNTZFormat", TIME_LAYOUT).json(path)
 
 
 def write_table(df: DataFrame, path: str, fmt: str | None = None, **options) -> None:
