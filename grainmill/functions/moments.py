@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,34 +28,35 @@ def safe_corr(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_samp(a, b), spread)
 
 
-def moment_aggregates(c: Column, prefix: str) -> list[Column]:
-    """The statistics of one column as aliased aggregates, all with small state."""
-    return [
-        F.count(c).alias(prefix + "count"),
-        F.avg(c).alias(prefix + "mean"),
-        F.stddev_samp(c).alias(prefix + "std"),
-        F.stddev_pop(c).alias(prefix + "std_pop"),
-        F.min(c).cast("double").alias(prefix + "min"),
-        F.max(c).cast("double").alias(prefix + "max"),
-        sample_skewness(c).alias(prefix + "skewness"),
-        sample_kurtosis(c).alias(prefix + "kurtosis"),
-    ]
+MOMENTS = {
+    "count": F.count,
+    "mean": F.avg,
+    "std": F.stddev_samp,
+    "std_pop": F.stddev_pop,
+    "min": F.min,
+    "max": F.max,
+    "skewness": sample_skewness,
+    "kurtosis": sample_kurtosis,
+}
 
 
-MOMENTS = ["count", "mean", "std", "std_pop", "min", "max", "skewness", "kurtosis"]
+def collect_moments(
+    df: DataFrame, columns: dict[str, Column], wanted: list[str] | None = None
+) -> dict[str, dict[str, float]]:
+    """Moments of the given expressions from one aggregation over ``df``.
 
-
-def collect_moments(df, columns: dict[str, Column]) -> dict[str, dict[str, float]]:
-    """Moments of the given expressions from one aggregation over ``df``."""
-    aggs = [F.count("*").alias("rows")]
-    for i, c in enumerate(columns.values()):
-        aggs += moment_aggregates(c.cast("double"), f"m{i}_")
+    The number of missing values is always included.
+    """
+    names = list(dict.fromkeys(["count", *(wanted or MOMENTS)]))
     if not columns:
         return {}
+    aggs = [F.count("*").alias("rows")]
+    for i, c in enumerate(columns.values()):
+        aggs += [MOMENTS[m](c.cast("double")).alias(f"m{i}_{m}") for m in names]
     row = df.agg(*aggs).first()
     return {
         name: {
-            **{m: row[f"m{i}_{m}"] for m in MOMENTS},
+            **{m: row[f"m{i}_{m}"] for m in names},
             "missing": row["rows"] - row[f"m{i}_count"],
         }
         for i, name in enumerate(columns)

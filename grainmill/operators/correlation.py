@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.errors import AnalysisException
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions.columns import col, existing, numeric_columns
-from grainmill.functions.moments import safe_corr
+from grainmill.functions.moments import collect_moments, safe_corr
 from grainmill.plans.ranks import kendall_tau, spearman_matrix
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -23,6 +25,8 @@ PAIR_THRESHOLD = 0.90
 VIF_THRESHOLD = 10.0
 VIF_GRADES = [(20, "very_high"), (10, "high"), (5, "moderate")]
 HEATMAP_COLUMNS = 20
+# From here on one vector per row is cheaper than an aggregate per pair.
+WIDE_COLUMNS = 40
 # Below this share of unexplained variance a column counts as determined.
 SINGULAR = 1e-12
 
@@ -62,6 +66,8 @@ def fit_correlations(
         return {p: found.get(p) for p in pairs}
     if method == "kendall":
         return {p: kendall_tau(rows, *p) for p in pairs}
+    if len(columns) > WIDE_COLUMNS:
+        return _wide_pearson(rows, columns)
     aggs = [F.stddev_samp(col(c)).alias(f"s{i}") for i, c in enumerate(columns)]
     aggs += [F.covar_samp(col(a), col(b)).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]
     row = rows.agg(*aggs).first()
@@ -73,6 +79,18 @@ def fit_correlations(
     return result
 
 
+def _wide_pearson(rows: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
+    """Many columns: one matrix product per task instead of an aggregate per pair."""
+    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(rows)
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    return {
+        (a, b): None if math.isnan(matrix[i, j]) else float(matrix[i, j])
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
+        if i < j
+    }
+
+
 def correlation_matrix(
     df: DataFrame, columns: list[str] | None = None, method: str = "pearson"
 ) -> DataFrame:
@@ -109,20 +127,27 @@ def pairwise_correlations(
     Cells below the threshold are blanked.
     """
     names = _chosen(df, columns)[:HEATMAP_COLUMNS]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    row = df.agg(
-        *[
-            safe_corr(col(a).cast("double"), col(b).cast("double")).alias(f"p{k}")
-            for k, (a, b) in enumerate(pairs)
-        ]
-    ).first()
-    cells = {}
+    single = collect_moments(df, {c: col(c) for c in names}, ["std"])
+    gaps = {c for c in names if single[c]["missing"]}
+    pairs = _pair_keys(names)
+    aggs = [F.count("*").alias("rows")]
+    for k, (a, b) in enumerate(pairs):
+        x, y = col(a).cast("double"), col(b).cast("double")
+        if a in gaps or b in gaps:
+            aggs.append(safe_corr(x, y).alias(f"p{k}"))
+        else:
+            # Without missing cells the deviations of the pair are already known.
+            spread = (single[a]["std"] or 0.0) * (single[b]["std"] or 0.0)
+            aggs.append(F.try_divide(F.covar_samp(x, y), F.lit(spread)).alias(f"p{k}"))
+    row = df.agg(*aggs).first()
+    cells = {(c, c): 1.0 if single[c]["std"] else None for c in names}
     for k, (a, b) in enumerate(pairs):
-        r = row[f"p{k}"]
-        if r is not None and abs(r) < threshold:
-            r = None
-        cells[a, b] = cells[b, a] = r
-    rows = [(a, b, cells[a, b]) for a in names for b in names]
+        cells[a, b] = cells[b, a] = row[f"p{k}"]
+
+    def shown(r: float | None) -> float | None:
+        return None if r is None or abs(r) < threshold else r
+
+    rows = [(a, b, shown(cells[a, b])) for a in names for b in names]
     return df.sparkSession.createDataFrame(rows, PAIR_SCHEMA)
 
 

@@ -77,7 +77,7 @@ def inspect_categorical(df: DataFrame, column: str) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Mean, median, deviation, skewness and missing count per numeric column."""
     names = columns or numeric_columns(df)
-    moments = collect_moments(df, {c: col(c) for c in names})
+    moments = collect_moments(df, {c: col(c) for c in names}, ["mean", "std", "skewness"])
     medians = quantiles(df, {c: [0.5] for c in names})
     return df.sparkSession.createDataFrame(
         [
@@ -193,13 +193,13 @@ def histogram_compare(
 def kernel_density(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     """Gaussian density at 100 points, also scaled to the histogram's height.
 
-    Equal values are counted once; then one aggregation has a sum per point.
-    No row is copied per point.
+    Equal values are counted once. Each distinct value then adds to the 100
+    points, which are summed up before the shuffle.
     """
     require(df, [column])
     spark = df.sparkSession
     schema = "point bigint, x double, density double, scaled double"
-    m = collect_moments(df, {column: col(column)})[column]
+    m = collect_moments(df, {column: col(column)}, ["std", "min", "max"])[column]
     if m["count"] < DENSITY_MIN_VALUES or not m["std"]:
         return spark.createDataFrame([], schema)
     n = m["count"]
@@ -212,17 +212,12 @@ def kernel_density(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
         .groupBy("v")
         .agg(F.count("*").cast("double").alias("n"))
     )
-    # Equal-width grid, so one exponent per point and value.
-    v = F.col("v") / F.lit(bandwidth)
-    sums = values.agg(
-        *[
-            F.sum(F.col("n") * F.exp(-0.5 * (F.lit(g / bandwidth) - v) * (F.lit(g / bandwidth) - v)))
-            .alias(f"g{i}")
-            for i, g in enumerate(grid)
-        ]
-    ).first()
+    points = values.select("v", "n", F.explode(F.sequence(F.lit(0), F.lit(GRID_POINTS - 1))).alias("i"))
+    z = (F.lit(m["min"]) + F.col("i") * F.lit(step) - F.col("v")) / F.lit(bandwidth)
+    added = points.groupBy("i").agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("s")).collect()
+    sums = {r["i"]: r["s"] for r in added}
     norm = n * bandwidth * math.sqrt(2 * math.pi)
-    density = [sums[f"g{i}"] / norm for i in range(GRID_POINTS)]
+    density = [sums[i] / norm for i in range(GRID_POINTS)]
     tallest = max(_binned(df, {column: (m["min"], m["max"])}, bins).values())
     scale = tallest / max(density) if max(density) > 0 else 1.0
     return spark.createDataFrame(

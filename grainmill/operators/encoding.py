@@ -11,12 +11,12 @@ from pyspark.sql import types as T
 
 from grainmill.functions.columns import (
     col,
-    distinct_key,
     integer_columns,
     require,
     string_columns,
     tidy,
 )
+from grainmill.plans.counts import distinct_counts
 from grainmill.plans.lookup import balanced_lookup
 from grainmill.plans.ordering import ROWS_PER_BLOCK, with_blocks, with_running_total
 from grainmill.session import settle
@@ -42,32 +42,37 @@ def detect_categorical(df: DataFrame) -> DataFrame:
     """Text columns and integer columns with few values, with an encoding."""
     texts, numbers = string_columns(df), integer_columns(df)
     columns = [c for c in df.columns if c in texts or c in numbers]
-    aggs = []
+    aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(columns):
-        aggs.append(F.count_distinct(distinct_key(df, c)).alias(f"u{i}"))
         if c in texts:
             ordinal = F.lower(col(c)).rlike("|".join(ORDINAL_WORDS))
             aggs.append(F.coalesce(F.bool_or(ordinal), F.lit(False)).alias(f"o{i}"))
-    rows = []
-    for i, c in enumerate(columns):
-        if c in texts:
-            kind = F.when(F.col(f"o{i}"), "ordinal").otherwise("nominal")
-            encoding = F.when(F.col(f"o{i}"), "label").otherwise("one_hot")
-            keep = F.lit(True)
-        else:
-            kind, encoding = F.lit("possible_categorical"), F.lit("one_hot")
-            keep = F.col(f"u{i}") <= FEW_INTEGERS
-        rows.append(
+    found = tidy(
+        df.agg(*aggs),
+        [
             {
                 "column": F.lit(c),
                 "dtype": F.lit(df.schema[c].dataType.simpleString()),
-                "unique_count": F.col(f"u{i}"),
-                "category_type": kind,
-                "suggested_encoding": encoding,
-                "keep": keep,
+                "is_text": F.lit(c in texts),
+                "ordinal": F.col(f"o{i}") if c in texts else F.lit(False),
             }
+            for i, c in enumerate(columns)
+        ],
+    )
+    # One row per column of the table on either side.
+    unique = F.broadcast(distinct_counts(df, columns))
+    kind = F.when(F.col("ordinal"), "ordinal").when(F.col("is_text"), "nominal")
+    return (
+        found.join(unique, "column")
+        .where(F.col("is_text") | (F.col("unique_count") <= FEW_INTEGERS))
+        .select(
+            "column",
+            "dtype",
+            "unique_count",
+            kind.otherwise("possible_categorical").alias("category_type"),
+            F.when(F.col("ordinal"), "label").otherwise("one_hot").alias("suggested_encoding"),
         )
-    return tidy(df.agg(*aggs), rows).where("keep").drop("keep")
+    )
 
 
 def _categories(df: DataFrame, column: str) -> DataFrame:
@@ -131,10 +136,15 @@ class Labels:
         """Replace the column; unmapped and missing values become NULL."""
         if self.table is not None:
             total = self.table.agg(F.sum("n")).first()[0]
+            table = self.table.withColumnRenamed("value", "_value")
             joined = balanced_lookup(
                 df.withColumnRenamed(self.column, "_value"),
-                self.table.withColumnRenamed("value", "_value"),
-                "_value", "n", total, self.size, "left",
+                table.drop("n"),
+                table,
+                "_value",
+                total,
+                self.size,
+                "left",
             )
             return joined.select(
                 *[

@@ -234,35 +234,35 @@ def missing_cooccurrence(
 ) -> DataFrame:
     """Pairs whose second column is mostly missing where the first one is.
 
-    Rows are first reduced to counts per pattern of missing columns, so the
-    pairs are looked up in a small table.
+    Rows are first reduced to counts per set of missing columns; only these sets
+    are taken apart into pairs.
     """
     names = require(df, columns) if columns else list(df.columns)
-    patterns = null_pattern_counts(df, names)
-    aggs = []
-    for i in range(len(names)):
-        mi = F.substring("pattern", i + 1, 1) == "1"
-        aggs.append(F.coalesce(F.sum(F.when(mi, F.col("n"))), F.lit(0)).alias(f"m{i}"))
-        for j in range(i + 1, len(names)):
-            mj = F.substring("pattern", j + 1, 1) == "1"
-            aggs.append(
-                F.coalesce(F.sum(F.when(mi & mj, F.col("n"))), F.lit(0)).alias(f"b{i}_{j}")
-            )
-    pairs = [
-        {
-            "position": F.lit(i * len(names) + j),
-            "column1": F.lit(names[i]),
-            "column2": F.lit(names[j]),
-            "share": F.try_divide(F.col(f"b{i}_{j}").cast("double"), F.col(f"m{i}")),
-        }
-        for i in range(len(names))
-        for j in range(i + 1, len(names))
-    ]
-    found = tidy(patterns.agg(*aggs), pairs).where(F.col("share") > PATTERN_SHARE)
+    numbers = F.array_compact(
+        F.array(*[F.when(col(c).isNull(), F.lit(i)) for i, c in enumerate(names)])
+    )
+    patterns = df.groupBy(numbers.alias("missing")).agg(F.count("*").alias("n"))
+    firsts = patterns.select("n", "missing", F.explode("missing").alias("i"))
+    seconds = firsts.select(
+        "n", "i", F.explode(F.filter("missing", lambda j: j >= F.col("i"))).alias("j")
+    )
+    # A column paired with itself gives its number of missing cells. There are
+    # at most as many rows as pairs of columns.
+    both = seconds.groupBy("i", "j").agg(F.sum("n").alias("n"))
+    alone = F.broadcast(both.where("i = j").select("i", F.col("n").alias("total")))
+    labels = F.array(*[F.lit(c) for c in names])
+    found = (
+        both.where("i < j")
+        .join(alone, "i")
+        .withColumn("share", F.col("n") / F.col("total"))
+        .where(F.col("share") > PATTERN_SHARE)
+    )
     if limit:
-        found = found.orderBy("position").limit(limit)
+        found = found.orderBy("i", "j").limit(limit)
     return found.select(
-        "column1", "column2", F.round("share", 3).alias("co_occurrence_rate")
+        F.element_at(labels, F.col("i") + 1).alias("column1"),
+        F.element_at(labels, F.col("j") + 1).alias("column2"),
+        F.round("share", 3).alias("co_occurrence_rate"),
     )
 
 

@@ -72,7 +72,7 @@ def _fit(df: DataFrame, columns, method: str, threshold, approx: bool):
     if not names:
         return {}, {}
     if method == "zscore":
-        moments = collect_moments(df, {c: col(c) for c in names})
+        moments = collect_moments(df, {c: col(c) for c in names}, ["mean", "std", "std_pop"])
         fitted = {}
         for c, m in moments.items():
             if not m["count"]:

@@ -62,7 +62,8 @@ def fit_scaling(
             if q1 is not None and q3 != q1:
                 fitted.params[c] = {"median": median, "q1": q1, "q3": q3}
         return fitted
-    for c, m in collect_moments(df, {c: col(c) for c in names}).items():
+    wanted = ["mean", "std", "min", "max"] if method == "standard" else ["min", "max"]
+    for c, m in collect_moments(df, {c: col(c) for c in names}, wanted).items():
         if not m["count"] or m["min"] == m["max"]:
             continue
         if method == "standard":

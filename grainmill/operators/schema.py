@@ -11,13 +11,14 @@ from grainmill.functions.columns import (
     NESTED_TYPES,
     SEMANTIC_KEY,
     col,
-    distinct_key,
     integer_columns,
     percent,
+    plain_columns,
     require,
     string_columns,
     tidy,
 )
+from grainmill.plans.counts import distinct_counts
 
 # Limits of the low-cardinality and the identifier hint, and the
 # ranges that make an integer column look like a zip code or a year.
@@ -99,18 +100,16 @@ def _type_name(dtype: T.DataType) -> str:
     return "nested" if isinstance(dtype, NESTED_TYPES) else dtype.simpleString()
 
 
-def detect_schema(df: DataFrame) -> DataFrame:
+def detect_schema(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Per column: type, suggested type, distinct and missing counts, hint.
 
-    Looks at the whole column. One aggregation; distinct counts are exact.
+    Looks at the whole column. Distinct counts are exact unless estimates are
+    asked for.
     """
     aggs = [F.count("*").alias("rows")]
     for i, f in enumerate(df.schema.fields):
         c = col(f.name)
         aggs.append(F.count(c).alias(f"n{i}"))
-        if isinstance(f.dataType, NESTED_TYPES):
-            continue
-        aggs.append(F.count_distinct(distinct_key(df, f.name)).alias(f"u{i}"))
         if isinstance(f.dataType, T.StringType):
             aggs += [
                 is_datetime_text(c).alias(f"date{i}"),
@@ -121,47 +120,60 @@ def detect_schema(df: DataFrame) -> DataFrame:
             aggs.append(is_code_integer(c).alias(f"code{i}"))
     summary = df.agg(*aggs)
 
-    rows = []
-    total = F.col("rows")
+    tests = []
     for i, f in enumerate(df.schema.fields):
-        name = _type_name(f.dataType)
-        present = F.col(f"n{i}")
-        unique = F.lit(None).cast("bigint") if name == "nested" else F.col(f"u{i}")
-        inferred, hint = F.lit(name), F.lit(None).cast("string")
-        if isinstance(f.dataType, T.StringType):
-            few = (unique <= CATEGORY_MAX_VALUES) & (unique < total * CATEGORY_MAX_SHARE)
-            inferred = (
-                F.when(present == 0, "unknown")
-                .when(F.col(f"date{i}"), "datetime")
-                .when(F.col(f"num{i}"), "float64")
-                .when(F.col(f"bool{i}"), "boolean")
-                .when(few, "category")
-                .otherwise(name)
-            )
-            hint = (
-                F.when(present == 0, F.lit(None))
-                .when(F.col(f"date{i}"), "potential datetime")
-                .when(F.col(f"num{i}"), "potential numeric")
-                .when(F.col(f"bool{i}"), "potential boolean")
-                .when(few, "low cardinality")
-            )
-        elif isinstance(f.dataType, T.IntegralType):
-            identifier = (unique == total) | (unique > total * IDENTIFIER_SHARE)
-            hint = F.when(identifier, "possible identifier").when(
-                F.col(f"code{i}"), "consider category or string"
-            )
-        rows.append(
+        no = F.lit(False)
+        text = isinstance(f.dataType, T.StringType)
+        whole = isinstance(f.dataType, T.IntegralType)
+        tests.append(
             {
                 "column": F.lit(f.name),
-                "original_type": F.lit(name),
-                "inferred_type": inferred,
-                "unique_count": unique,
-                "null_count": total - present,
-                "null_pct": percent(total - present, total),
-                "suggestion": hint,
+                "type": F.lit(_type_name(f.dataType)),
+                "is_text": F.lit(text),
+                "is_whole": F.lit(whole),
+                "rows": F.col("rows"),
+                "present": F.col(f"n{i}"),
+                "dates": F.col(f"date{i}") if text else no,
+                "numbers": F.col(f"num{i}") if text else no,
+                "booleans": F.col(f"bool{i}") if text else no,
+                "codes": F.col(f"code{i}") if whole else no,
             }
         )
-    return tidy(summary, rows)
+    # One row per column of the table on either side.
+    unique_counts = F.broadcast(distinct_counts(df, plain_columns(df), approx_distinct))
+    profile = tidy(summary, tests).join(unique_counts, "column", "left")
+
+    unique, rows = F.col("unique_count"), F.col("rows")
+    few = (unique <= CATEGORY_MAX_VALUES) & (unique < rows * CATEGORY_MAX_SHARE)
+    identifier = (unique == rows) | (unique > rows * IDENTIFIER_SHARE)
+    unknown = F.col("is_text") & (F.col("present") == 0)
+    inferred = (
+        F.when(unknown, "unknown")
+        .when(F.col("dates"), "datetime")
+        .when(F.col("numbers"), "float64")
+        .when(F.col("booleans"), "boolean")
+        .when(F.col("is_text") & few, "category")
+        .otherwise(F.col("type"))
+    )
+    hint = (
+        F.when(unknown, F.lit(None))
+        .when(F.col("dates"), "potential datetime")
+        .when(F.col("numbers"), "potential numeric")
+        .when(F.col("booleans"), "potential boolean")
+        .when(F.col("is_text") & few, "low cardinality")
+        .when(F.col("is_whole") & identifier, "possible identifier")
+        .when(F.col("codes"), "consider category or string")
+    )
+    missing = rows - F.col("present")
+    return profile.select(
+        "column",
+        F.col("type").alias("original_type"),
+        inferred.alias("inferred_type"),
+        "unique_count",
+        missing.alias("null_count"),
+        percent(missing, rows).alias("null_pct"),
+        hint.alias("suggestion"),
+    )
 
 
 def _check_targets(df: DataFrame, overrides: dict[str, str]) -> dict[str, str]:

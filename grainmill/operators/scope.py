@@ -16,7 +16,7 @@ from grainmill.functions.columns import (
     string_columns,
     tidy,
 )
-from grainmill.plans.counts import most_frequent, top_values, value_counts
+from grainmill.plans.counts import distinct_counts, most_frequent, top_values, value_counts
 
 # Shares in percent from which a column is flagged.
 NEAR_CONSTANT_PCT = 95
@@ -30,41 +30,45 @@ def _dtype(df: DataFrame, name: str) -> str:
     return "nested" if isinstance(dtype, NESTED_TYPES) else dtype.simpleString()
 
 
-def _cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: ``rows`` and, per column i, present ``n_i`` and distinct ``u_i``."""
+def _cardinality(df: DataFrame, approx: bool, extra=None) -> DataFrame:
+    """Per column: type, rows, distinct and missing values and extra aggregates.
+
+    ``extra`` maps a name to a function that gives the aggregate of a column.
+    """
+    extra = extra or {}
+    columns = list(df.columns)
     aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(columns):
         aggs.append(F.count(col(c)).alias(f"n{i}"))
-        if not isinstance(df.schema[c].dataType, NESTED_TYPES):
-            aggs.append(F.count_distinct(distinct_key(df, c)).alias(f"u{i}"))
-    return df.agg(*aggs)
-
-
-def _mode_counts(df: DataFrame) -> DataFrame:
-    """Count of the most frequent value per text column."""
-    texts = string_columns(df)
-    keys = df.select(*[distinct_key(df, c).alias(c) for c in texts])
-    return most_frequent(value_counts(keys, texts)).select("column", F.col("n").alias("mode_count"))
-
-
-def column_recommendations(df: DataFrame) -> DataFrame:
-    """Per column: counts, flags and the advice to keep, review or drop it."""
-    columns = list(df.columns)
+        aggs += [f(c).alias(f"{name}{i}") for name, f in extra.items()]
     counts = tidy(
-        _cardinality(df, columns),
+        df.agg(*aggs),
         [
             {
                 "column": F.lit(c),
                 "dtype": F.lit(_dtype(df, c)),
                 "rows": F.col("rows"),
-                "unique_count": F.lit(None).cast("bigint")
-                if _dtype(df, c) == "nested"
-                else F.col(f"u{i}"),
                 "null_count": F.col("rows") - F.col(f"n{i}"),
+                **{name: F.col(f"{name}{i}") for name in extra},
             }
             for i, c in enumerate(columns)
         ],
     )
+    # One row per column of the table on either side.
+    unique = F.broadcast(distinct_counts(df, plain_columns(df), approx))
+    return counts.join(unique, "column", "left")
+
+
+def _mode_counts(df: DataFrame) -> DataFrame:
+    """Count of the most frequent value per text column."""
+    texts = string_columns(df)
+    keys = df.select(*[distinct_key(df, c).alias(c) for c in texts])
+    return most_frequent(value_counts(keys, texts)).select("column", F.col("n").alias("mode_count"))
+
+
+def column_recommendations(df: DataFrame) -> DataFrame:
+    """Per column: counts, flags and the advice to keep, review or drop it."""
+    counts = _cardinality(df, approx=False)
     # One row per text column of the table.
     profile = counts.join(F.broadcast(_mode_counts(df)), "column", "left")
 
@@ -119,12 +123,9 @@ def _auto_drop_reasons(
             if row[f"a{i}"] >= row["rows"] * 0.6:
                 candidates.append(c)
     if candidates:
-        exact = df.agg(
-            *[F.count_distinct(distinct_key(df, c)).alias(f"u{i}") for i, c in enumerate(candidates)]
-        ).first()
-        for i, c in enumerate(candidates):
-            if exact[f"u{i}"] == row["rows"]:
-                reasons[c] = "high_cardinality"
+        for r in distinct_counts(df, candidates).collect():
+            if r["unique_count"] == row["rows"]:
+                reasons[r["column"]] = "high_cardinality"
     return reasons
 
 
@@ -154,40 +155,22 @@ def apply_scope_selection(
     return df.select(*[col(c) for c in kept]), stats
 
 
-def column_summary(df: DataFrame) -> DataFrame:
+def column_summary(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Per column: type, distinct and missing counts, numeric range and mean."""
-    columns = list(df.columns)
     numbers = set(numeric_columns(df))
-    aggs = [F.count("*").alias("rows")]
-    for i, c in enumerate(columns):
-        aggs.append(F.count(col(c)).alias(f"n{i}"))
-        if not isinstance(df.schema[c].dataType, NESTED_TYPES):
-            aggs.append(F.count_distinct(distinct_key(df, c)).alias(f"u{i}"))
-        if c in numbers:
-            aggs += [
-                F.min(col(c)).cast("double").alias(f"min{i}"),
-                F.max(col(c)).cast("double").alias(f"max{i}"),
-                F.avg(col(c)).cast("double").alias(f"mean{i}"),
-            ]
-    nothing = F.lit(None).cast("double")
-    total = F.col("rows")
-    return tidy(
-        df.agg(*aggs),
-        [
-            {
-                "column": F.lit(c),
-                "dtype": F.lit(_dtype(df, c)),
-                "unique_count": F.lit(None).cast("bigint")
-                if isinstance(df.schema[c].dataType, NESTED_TYPES)
-                else F.col(f"u{i}"),
-                "null_count": total - F.col(f"n{i}"),
-                "null_pct": percent(total - F.col(f"n{i}"), total),
-                "min": F.col(f"min{i}") if c in numbers else nothing,
-                "max": F.col(f"max{i}") if c in numbers else nothing,
-                "mean": F.col(f"mean{i}") if c in numbers else nothing,
-            }
-            for i, c in enumerate(columns)
-        ],
+
+    def numeric(aggregate):
+        nothing = F.first(F.lit(None).cast("double"))
+        return lambda c: aggregate(col(c)).cast("double") if c in numbers else nothing
+
+    stats = {"min": numeric(F.min), "max": numeric(F.max), "mean": numeric(F.avg)}
+    return _cardinality(df, approx_distinct, stats).select(
+        "column",
+        "dtype",
+        "unique_count",
+        "null_count",
+        percent(F.col("null_count"), F.col("rows")).alias("null_pct"),
+        *stats,
     )
 
 

@@ -15,33 +15,37 @@ BROADCAST_ROWS = 100_000
 def balanced_lookup(
     rows: DataFrame,
     table: DataFrame,
+    counts: DataFrame,
     key: str,
-    weight: str,
     total: int,
     table_rows: int,
     how: str = "inner",
 ) -> DataFrame:
     """Inner or left join with a table that has one row per key.
 
-    ``weight``, which is dropped, is the number of rows per key. A small table
+    ``counts`` has the key and ``n``, the number of rows with it. A small table
     is broadcast. Else keys with more than a thousandth of all rows, fewer than
     a thousand of them, are spread over many tasks by a salt, and so are rows
     without a key.
     """
     if table_rows <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table.drop(weight)), key, how)
-    hot = F.col(quoted(weight)) * F.lit(HOT_KEYS) > F.lit(total)
-    hot_keys = F.broadcast(table.where(hot).select(quoted(key), F.lit(True).alias("_hot")))
-    salt = F.pmod(F.xxhash64("*"), F.lit(SALTS)).cast("int")
+        return rows.join(F.broadcast(table), key, how)
+    # Fewer than HOT_KEYS rows.
+    hot = F.broadcast(
+        counts.where(F.col("n") * F.lit(HOT_KEYS) > F.lit(total)).select(
+            quoted(key), F.lit(True).alias("_hot")
+        )
+    )
+    spread = F.pmod(F.xxhash64("*"), F.lit(SALTS)).cast("int")
     salted = (
-        rows.withColumn("_spread", salt)
-        .join(hot_keys, key, "left")
+        rows.withColumn("_spread", spread)
+        .join(hot, key, "left")
         .withColumn(
             "_salt",
             F.when(F.col("_hot") | F.col(quoted(key)).isNull(), F.col("_spread")).otherwise(0),
         )
         .drop("_spread", "_hot")
     )
-    copies = F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0))
-    spread_table = table.withColumn("_salt", F.explode(copies)).drop(weight)
-    return salted.join(spread_table, [key, "_salt"], how).drop("_salt")
+    copies = F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(0))
+    copied = table.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(copied, [key, "_salt"], how).drop("_salt")

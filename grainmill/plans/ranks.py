@@ -32,11 +32,10 @@ def spearman_matrix(
         blocked = with_blocks(counts, [key], rows_per_block, size["values"])
         ranked = with_running_total(blocked, [key], "n", "_before").select(
             key,
-            "n",
             # Average rank, measured from the mean of all ranks.
             (F.col("_before") + (F.col("n") + 1) / 2.0 - (total + 1) / 2.0).alias(f"r{i}"),
         )
-        rows = balanced_lookup(rows, ranked, key, "n", total, size["values"]).drop(key)
+        rows = balanced_lookup(rows, ranked, counts, key, total, size["values"]).drop(key)
     k = len(columns)
     aggs = [
         F.sum(F.col(f"r{i}") * F.col(f"r{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)
@@ -86,12 +85,15 @@ def kendall_tau(
 
     numbered = with_running_total(
         with_blocks(
-            value_counts[a].select(a, "cells", F.lit(1).alias("one")),
+            value_counts[a].select(a, F.lit(1).alias("one")),
             [a], rows_per_block, tied[a]["values"],
         ),
         [a], "one", "number",
-    ).select(a, "cells", "number")
-    ranked = balanced_lookup(cells, numbered, a, "cells", tied[a]["cells"], tied[a]["values"])
+    ).select(a, "number")
+    cell_counts = value_counts[a].select(a, F.col("cells").alias("n"))
+    ranked = balanced_lookup(
+        cells, numbered, cell_counts, a, tied[a]["cells"], tied[a]["values"]
+    )
 
     digits = max(1, math.ceil(math.log2(tied[a]["values"])))
     per_digit = ranked.select(

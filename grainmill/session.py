@@ -37,10 +37,9 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate result once, so later steps read the same rows.
 
-    Reliable checkpoint: the files are in the shared folder and survive the
-    loss of any executor.
+    The Parquet files are in the shared folder and survive the loss of any
+    executor. Unlike a checkpoint, this computes the rows only once.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = new_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ import json
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,12 +52,16 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
     Row hashes are added up, so repeated rows count.
     """
-    hashed = [c for c, t in df.dtypes if not t.startswith("map")]
+    return df.agg(*_fingerprint_aggregates(df))
+
+
+def _fingerprint_aggregates(df: DataFrame) -> list[Column]:
+    hashed = [c for c, t in df.dtypes if "map<" not in t]
     total = F.sum(F.xxhash64(*[col(c) for c in hashed]).cast("decimal(38,0)"))
-    return df.agg(
+    return [
         F.count("*").alias("row_count"),
         F.coalesce(total, F.lit(0)).cast("string").alias("row_hash_sum"),
-    )
+    ]
 
 
 class SnapshotStore:
@@ -112,9 +116,11 @@ class SnapshotStore:
             raise StateNotFoundError(f"Branch '{branch}' does not exist")
         seq = last["seq"] + 1 if last else 0
         path = f"{self.root}/data/{branch}/{seq:06d}_{state_id}"
-        df.write.parquet(path)
-        stored = self.spark.read.parquet(path)
-        mark = fingerprint(stored).first()
+        # Counted and hashed while it is written: the table is computed once.
+        seen = Observation()
+        df.observe(seen, *_fingerprint_aggregates(df)).write.parquet(path)
+        mark = seen.get
+        stored = self.spark.read.schema(df.schema).parquet(path)
         self._add(
             (
                 branch,

@@ -125,9 +125,9 @@ def test_lookup_with_a_hot_key(spark, monkeypatch, how, limit):
     monkeypatch.setattr(lookup, "BROADCAST_ROWS", limit)
     rows = [(1 if i % 3 == 0 else i, i) for i in range(3000)] + [(None, -1), (None, -2)]
     df = spark.createDataFrame(rows, "k int, v int")
-    counts = df.where("k IS NOT NULL").groupBy("k").count()
-    table = counts.selectExpr("k", "count AS n", "k * 10 AS label")
-    found = balanced_lookup(df, table, "k", "n", 3000, table.count(), how).collect()
+    counts = df.where("k IS NOT NULL").groupBy("k").count().withColumnRenamed("count", "n")
+    table = counts.selectExpr("k", "k * 10 AS label")
+    found = balanced_lookup(df, table, counts, "k", 3000, table.count(), how).collect()
     expected = [(k, v, None if k is None else k * 10) for k, v in rows]
     if how == "inner":
         expected = [r for r in expected if r[0] is not None]
