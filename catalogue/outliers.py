@@ -193,3 +193,30 @@ WHERE rank <= {limit}"""
 @query("categorical_stats", _top_values_sql("part", "p_brand", 10))
 def categorical_stats(spark, sf_dir):
     return distribution.categorical_stats(table(spark, sf_dir, "part"), "p_brand")
+
+
+@query(
+    "outlier_totals",
+    "SELECT CAST(count(*) AS BIGINT) AS columns_analyzed,"
+    " CAST(count(*) FILTER (outlier_count > 0) AS BIGINT) AS columns_with_outliers,"
+    " CAST(sum(outlier_count) AS BIGINT) AS total_outliers FROM ("
+    + _report_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "modified_zscore")
+    + ")",
+)
+def outlier_totals(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+    )
+    return outliers.outlier_totals(lines, "modified_zscore")
+
+
+@query(
+    "outlier_samples",
+    """
+WITH b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+SELECT event_id, value FROM events, b
+WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) ORDER BY event_id LIMIT 20""",
+)
+def outlier_samples(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    return outliers.outlier_samples(events, "value", ["event_id"])

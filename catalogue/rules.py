@@ -74,6 +74,21 @@ def validate_constraints(spark, sf_dir):
     return rules.validate_constraints(_lines(spark, sf_dir), RULES)
 
 
+@query(
+    "constraint_totals",
+    cte("rule_lineitem")
+    + """
+SELECT CAST(a + b + c + d AS BIGINT) AS total_violations,
+       CAST((a + b > 0)::INT + (c > 0)::INT + (d > 0)::INT AS BIGINT) AS columns_with_violations,
+       CAST(5 AS BIGINT) AS rule_errors FROM (
+SELECT count(*) FILTER (NOT coalesce(l_quantity > 0, false)) AS a, count(*) FILTER (l_quantity = 20) AS b,
+       count(*) FILTER (l_discount < l_tax) AS c, count(*) FILTER (l_returnflag NOT IN ('A', 'N')) AS d
+FROM rule_lineitem)""",
+)
+def constraint_totals(spark, sf_dir):
+    return rules.constraint_totals(_lines(spark, sf_dir), RULES[:4] + BAD_RULES)
+
+
 @query("rule_errors")
 def rule_errors(spark, sf_dir):
     checked = rules.validate_constraints(_lines(spark, sf_dir), RULES[:1] + BAD_RULES)

@@ -52,11 +52,12 @@ def ingest_json(spark, sf_dir):
     "SELECT doc_id, text, source FROM documents",
 )
 def ingest_encoding(spark, sf_dir):
-    # The texts are written in UTF-8, told apart from Latin-1 and read back.
+    # Accented letters in Latin-1 are not valid UTF-8, which tells them apart.
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    path = _written(spark, docs, "documents.csv")
-    types = {"doc_id": "int64"}
-    return files.read_csv(spark, path, delimiter=",", types=types)
+    path = f"{new_folder(spark, 'ingest')}/documents.csv"
+    writer = docs.write.option("header", True).option("encoding", files.FALLBACK)
+    writer.option("sep", ";").option("escape", '"').csv(path)
+    return files.read_csv(spark, path, delimiter=";", types={"doc_id": "int64"})
 
 
 _DELIMITERS = {",": "','", ";": "';'", "\t": "chr(9)", "|": "'|'"}

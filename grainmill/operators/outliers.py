@@ -174,6 +174,17 @@ def outlier_summary(
     return detect_outliers(df, None, method, threshold, approx).where("outlier_count > 0")
 
 
+def outlier_totals(
+    df: DataFrame, method: str = "iqr", threshold: float | None = None, approx: bool = False
+) -> DataFrame:
+    """One row: columns looked at, columns with outliers, number of outliers."""
+    return detect_outliers(df, None, method, threshold, approx).agg(
+        F.count("*").alias("columns_analyzed"),
+        F.count_if(F.col("outlier_count") > 0).alias("columns_with_outliers"),
+        F.sum("outlier_count").alias("total_outliers"),
+    )
+
+
 def outlier_rows(
     df: DataFrame,
     column: str,

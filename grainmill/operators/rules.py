@@ -135,6 +135,17 @@ def validate_constraints(df: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
+def constraint_totals(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One row: violations of all rules, columns that break a rule, bad rules."""
+    checked = validate_constraints(df, rules)
+    broken = F.when(F.col("violation_count") > 0, F.col("column"))
+    return checked.agg(
+        F.coalesce(F.sum("violation_count"), F.lit(0)).cast("bigint").alias("total_violations"),
+        F.count_distinct(broken).alias("columns_with_violations"),
+        F.count("error").alias("rule_errors"),
+    )
+
+
 def constraint_samples(
     df: DataFrame, rule: Rule, order_by: list[str], n: int = SAMPLES
 ) -> DataFrame:

@@ -30,8 +30,8 @@ def _dtype(df: DataFrame, name: str) -> str:
     return "nested" if isinstance(dtype, NESTED_TYPES) else dtype.simpleString()
 
 
-def _cardinality(df: DataFrame, approx: bool, extra=None) -> DataFrame:
-    """Per column: type, rows, distinct and missing values and extra aggregates.
+def _cardinality(df: DataFrame, extra=None) -> DataFrame:
+    """Per column: type, rows, missing values and extra aggregates.
 
     ``extra`` maps a name to a function that gives the aggregate of a column.
     """
@@ -41,7 +41,7 @@ def _cardinality(df: DataFrame, approx: bool, extra=None) -> DataFrame:
     for i, c in enumerate(columns):
         aggs.append(F.count(col(c)).alias(f"n{i}"))
         aggs += [f(c).alias(f"{name}{i}") for name, f in extra.items()]
-    counts = tidy(
+    return tidy(
         df.agg(*aggs),
         [
             {
@@ -54,28 +54,33 @@ def _cardinality(df: DataFrame, approx: bool, extra=None) -> DataFrame:
             for i, c in enumerate(columns)
         ],
     )
-    # One row per column of the table on either side.
-    unique = F.broadcast(distinct_counts(df, plain_columns(df), approx))
-    return counts.join(unique, "column", "left")
 
 
-def _mode_counts(df: DataFrame) -> DataFrame:
-    """Count of the most frequent value per text column."""
+def _unique_and_mode(df: DataFrame) -> DataFrame:
+    """Distinct values per column; for text columns the top count as well."""
     texts = string_columns(df)
+    others = [c for c in plain_columns(df) if c not in set(texts)]
     keys = df.select(*[distinct_key(df, c).alias(c) for c in texts])
-    return most_frequent(value_counts(keys, texts)).select("column", F.col("n").alias("mode_count"))
+    # The counts per value of a text column give both numbers.
+    modes = most_frequent(value_counts(keys, texts))
+    return modes.select(
+        "column", F.col("distinct").alias("unique_count"), F.col("n").alias("mode_count")
+    ).unionByName(
+        distinct_counts(df, others).withColumn("mode_count", F.lit(0).cast("bigint"))
+    )
 
 
 def column_recommendations(df: DataFrame) -> DataFrame:
     """Per column: counts, flags and the advice to keep, review or drop it."""
-    counts = _cardinality(df, approx=False)
-    # One row per text column of the table.
-    profile = counts.join(F.broadcast(_mode_counts(df)), "column", "left")
+    # One row per column of the table on either side.
+    profile = _cardinality(df).join(F.broadcast(_unique_and_mode(df)), "column", "left")
 
     def share(part: str) -> Column:
         return F.coalesce(F.try_divide(F.col(part) * F.lit(100.0), F.col("rows")), F.lit(0.0))
 
-    unique = F.col("unique_count")
+    # A text column without values has no counts at all.
+    nested = F.col("dtype") == "nested"
+    unique = F.when(~nested, F.coalesce("unique_count", F.lit(0)))
     zero = F.coalesce(unique <= 1, F.lit(False))
     identifier = F.coalesce(~zero & (unique == F.col("rows")), F.lit(False))
     near = ~zero & ~identifier & (share("mode_count") > NEAR_CONSTANT_PCT)
@@ -83,7 +88,7 @@ def column_recommendations(df: DataFrame) -> DataFrame:
     return profile.select(
         "column",
         "dtype",
-        "unique_count",
+        unique.alias("unique_count"),
         "null_count",
         percent(F.col("null_count"), F.col("rows")).alias("null_pct"),
         F.concat_ws(
@@ -164,7 +169,9 @@ def column_summary(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
         return lambda c: aggregate(col(c)).cast("double") if c in numbers else nothing
 
     stats = {"min": numeric(F.min), "max": numeric(F.max), "mean": numeric(F.avg)}
-    return _cardinality(df, approx_distinct, stats).select(
+    # One row per column of the table on either side.
+    unique = F.broadcast(distinct_counts(df, plain_columns(df), approx_distinct))
+    return _cardinality(df, stats).join(unique, "column", "left").select(
         "column",
         "dtype",
         "unique_count",

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.columns import col
 from grainmill.plans.lookup import balanced_lookup
-from grainmill.plans.ordering import ROWS_PER_BLOCK, with_blocks, with_running_total
+from grainmill.plans.ordering import (
+    BLOCK,
+    ROWS_PER_BLOCK,
+    block_number,
+    split_points,
+    with_blocks,
+    with_running_total,
+)
 from grainmill.session import settle
 
 
@@ -105,9 +112,8 @@ def kendall_tau(
         F.sum(F.when(~is_one, F.col("n")).otherwise(0)).alias("zeros"),
         F.sum(F.when(is_one, F.col("n")).otherwise(0)).alias("ones"),
     )
-    blocked = settle(
-        with_blocks(sides, [b], rows_per_block, rows=tied[b]["values"])
-    )
+    points = split_points(value_counts[b], [b], rows_per_block, tied[b]["values"])
+    blocked = settle(sides.withColumn(BLOCK, block_number(sides, [b], points)))
     group = ["digit", "upper"]
     running = with_running_total(blocked, [b], "zeros", "smaller", within=group)
     balance = F.sum(
