@@ -36,7 +36,7 @@ def detect_categorical(spark, sf_dir):
 SELECT 'o_orderstatus' AS "column", 'one_hot' AS method, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS size,
        CAST(NULL AS VARCHAR) AS error FROM orders
 UNION ALL SELECT 'o_orderpriority', 'label', CAST(count(DISTINCT o_orderpriority) AS BIGINT), NULL FROM orders
-UNION ALL SELECT 'o_custkey', NULL, NULL, 'Unknown method: hash'""",
+UNION ALL SELECT 'o_custkey', NULL, NULL, 'no such method: hash'""",
 )
 def encode_stats(spark, sf_dir):
     config = {

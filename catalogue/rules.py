@@ -89,7 +89,16 @@ def constraint_totals(spark, sf_dir):
     return rules.constraint_totals(_lines(spark, sf_dir), RULES[:4] + BAD_RULES)
 
 
-@query("rule_errors")
+@query(
+    "rule_errors",
+    """
+SELECT CAST(rule_no AS BIGINT) AS rule_no, "column", rule, CAST(NULL AS BIGINT) AS violation_count, error
+FROM (VALUES (2, 'l_quantity', 'l_quantity => 3', 'no such operator: =>'),
+  (3, 'nope', 'nope > 0', 'no such column: nope'),
+  (4, 'l_quantity', 'l_quantity > many', 'not a number: ''many'''),
+  (5, 'l_quantity', 'l_quantity < nope', 'no such column: nope'),
+  (6, 'l_tax', 'l_tax <', 'cannot apply rule: PARSE_SYNTAX_ERROR')) t(rule_no, "column", rule, error)""",
+)
 def rule_errors(spark, sf_dir):
     checked = rules.validate_constraints(_lines(spark, sf_dir), RULES[:1] + BAD_RULES)
     return checked.where(F.col("error").isNotNull())

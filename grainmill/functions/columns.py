@@ -47,7 +47,7 @@ def existing(df: DataFrame, names) -> list[str]:
 def require(df: DataFrame, names) -> list[str]:
     missing = [n for n in names if n not in df.columns]
     if missing:
-        raise ValueError(f"Columns not found: {missing}")
+        raise ValueError(f"no such columns: {missing}")
     return list(names)
 
 

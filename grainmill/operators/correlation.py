@@ -56,9 +56,9 @@ def fit_correlations(
     ``None`` where a column is constant.
     """
     if method not in METHODS:
-        raise ValueError(f"Unknown method: {method}")
+        raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     if len(columns) < 2:
-        raise ValueError("Need at least 2 numeric columns for correlation analysis")
+        raise ValueError("correlation takes two or more numeric columns")
     rows = _complete_rows(df, columns)
     pairs = _pair_keys(columns)
     if method == "spearman":
@@ -186,14 +186,14 @@ def fit_vif(
     """
     names = _chosen(df, columns)
     if len(names) < 2:
-        raise ValueError("Need at least 2 columns for VIF analysis")
+        raise ValueError("variance inflation takes two or more columns")
     if not include_binary:
         names = _many_valued(df, names)
     if not names:
         return {}
     rows = _complete_rows(df, names)
     if rows.limit(len(names)).count() < len(names):
-        raise ValueError("Not enough data points for VIF calculation")
+        raise ValueError("fewer complete rows than columns")
     if len(names) == 1:
         return {names[0]: 1.0}
     found = fit_correlations(rows, names)
@@ -304,6 +304,7 @@ def detect_multicollinearity(
         if a in gone or b in gone:
             continue
         drop, keep = (a, b) if known.get(a, 0) > known.get(b, 0) else (b, a)
+        # Fixed format of the reason.
         recommendations.append(("drop", drop, f"High correlation ({r:.2f}) with {keep}"))
         gone.add(drop)
     return Multicollinearity(
@@ -323,7 +324,7 @@ def resolve_multicollinearity(
     """
     for action in actions.values():
         if action not in ("drop", "keep", "flag"):
-            raise ValueError(f"Unknown action: {action}")
+            raise ValueError(f"action must be drop, keep or flag, not {action!r}")
     done: list[tuple] = []
     drops = [c for c, a in actions.items() if a == "drop" and c in df.columns]
     df = df.drop(*drops)

@@ -168,7 +168,7 @@ def histogram_compare(
     found = [_ranges(frame, [column]).get(column) for _, frame in states]
     found = [r for r in found if r]
     if not found:
-        raise ValueError(f"Column '{column}' has no values")
+        raise ValueError(f"{column!r} has no values")
     low, high = min(r[0] for r in found), max(r[1] for r in found)
     tagged = before.select(F.lit("before").alias("state"), col(column).alias("v")).unionByName(
         after.select(F.lit("after").alias("state"), col(column).alias("v"))
@@ -230,7 +230,7 @@ def boxplot(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
     require(df, [column])
     q1, median, q3 = quantiles(df, {column: [0.25, 0.5, 0.75]}, approx)[column]
     if q1 is None:
-        raise ValueError(f"Column '{column}' has no values")
+        raise ValueError(f"{column!r} has no values")
     fences = Bounds(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     v = col(column).cast("double")
     outside = fences.is_outlier(v)

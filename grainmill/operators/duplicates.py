@@ -18,7 +18,7 @@ def _keys(df: DataFrame, keys) -> list[str]:
     if keys is None:
         return list(df.columns)
     if not keys:
-        raise ValueError("No key columns specified")
+        raise ValueError("keys must name at least one column")
     return require(df, keys)
 
 
@@ -95,7 +95,7 @@ def resolve_duplicates(
     with very many rows is reduced where it is read.
     """
     if strategy not in STRATEGIES:
-        raise ValueError(f"Invalid strategy: {strategy}")
+        raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
     if subset is None:
         if strategy == "drop_all":
             return _group_sizes(df, df.columns).where("_size = 1").drop("_size")
@@ -126,7 +126,7 @@ def resolution_stats(
 ) -> DataFrame:
     """Rows before, after and removed, from the group sizes alone."""
     if strategy not in STRATEGIES:
-        raise ValueError(f"Invalid strategy: {strategy}")
+        raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
     sizes = _group_sizes(df, _keys(df, subset))
     before = F.coalesce(F.sum("_size"), F.lit(0)).cast("bigint")
     after = F.count_if(F.col("_size") == 1) if strategy == "drop_all" else F.count("*")

@@ -114,7 +114,7 @@ def fit_one_hot(
     require(df, [column])
     values = _few_categories(df, column, max_values)
     if values is None:
-        raise ValueError(f"Column '{column}' has more than {max_values} values")
+        raise ValueError(f"{column!r} has more than {max_values} values")
     return OneHot(column, values, drop_first)
 
 
@@ -130,19 +130,19 @@ class Labels:
     mapping: dict[Any, int] | None = None
     table: DataFrame | None = None
     size: int = 0
+    total: int = 0
     any_case: bool = False
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Replace the column; unmapped and missing values become NULL."""
         if self.table is not None:
-            total = self.table.agg(F.sum("n")).first()[0]
             table = self.table.withColumnRenamed("value", "_value")
             joined = balanced_lookup(
                 df.withColumnRenamed(self.column, "_value"),
                 table.drop("n"),
                 table,
                 "_value",
-                total,
+                self.total,
                 self.size,
                 "left",
             )
@@ -208,11 +208,12 @@ def fit_labels(
         .agg(F.count("*").alias("n"), F.lit(1).alias("one"))
         .withColumn("text", F.col("value").cast("string"))
     )
-    size = counts.count()
+    seen = counts.agg(F.count("*").alias("size"), F.sum("n").alias("total")).first()
+    size = seen["size"]
     numbered = with_running_total(
         with_blocks(counts, ["text"], rows_per_block, size), ["text"], "one", "label"
     )
-    return Labels(column, None, settle(numbered.select("value", "label", "n")), size)
+    return Labels(column, None, settle(numbered.select("value", "label", "n")), size, seen["total"])
 
 
 def _value_texts(df: DataFrame, column: str, values: list[Any]):
@@ -263,7 +264,7 @@ def fit_encoding(df: DataFrame, config: dict[str, dict[str, Any]]) -> Encoding:
             elif method == "label":
                 fitted.steps.append(fit_labels(df, c, conf.get("mapping", "auto")))
             else:
-                fitted.errors[c] = f"Unknown method: {method}"
+                fitted.errors[c] = f"no such method: {method}"
         except ValueError as error:
             fitted.errors[c] = str(error)
     return fitted
@@ -281,7 +282,7 @@ def encoding_preview(df: DataFrame, column: str, method: str = "one_hot") -> Dat
     """The first values with the column or the label they would get."""
     require(df, [column])
     if method not in ("one_hot", "label"):
-        raise ValueError(f"Unknown method: {method}")
+        raise ValueError(f"method must be one_hot or label, not {method!r}")
     values = _categories(df, column)
     total = values.count()
     if method == "one_hot":

@@ -138,7 +138,7 @@ def fit_imputation(
     for c in names:
         method = strategies[c].get("method", "drop")
         if method not in METHODS:
-            raise ValueError(f"Unknown method: {method}")
+            raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     kept: Column = F.lit(True)
     seen: dict[str, Column] = {}
     aggs: list[Column] = []

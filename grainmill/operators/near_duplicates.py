@@ -19,8 +19,8 @@ DEFAULT_COLUMNS = 3
 def near_duplicates(
     df: DataFrame,
     order_by: list[str],
-    string_columns_: list[str] | None = None,
-    numeric_columns_: list[str] | None = None,
+    texts: list[str] | None = None,
+    numbers: list[str] | None = None,
     string_threshold: float = 0.9,
     numeric_threshold: float = 0.05,
     block_by: list[str] | None = None,
@@ -28,41 +28,42 @@ def near_duplicates(
 ) -> DataFrame:
     """Pairs of neighbouring rows that are similar in all compared columns.
 
-    Neighbours follow ``order_by``, which must name a unique key; with
-    ``block_by`` both rows must also agree in those columns, and rows are
-    ordered by them first. Result: the order columns of the earlier row with
-    the prefix ``previous_`` and those of the later row.
+    ``texts`` and ``numbers`` are the columns to compare, by default the first
+    three of each kind. Neighbours follow ``order_by``, which must name a
+    unique key; with ``block_by`` both rows must also agree in those columns,
+    and rows are ordered by them first. Result: the order columns of the
+    earlier row with the prefix ``previous_`` and those of the later row.
 
     Only the character sets of the texts are moved and compared, however long
     the texts are. At most one pair per row is produced.
     """
     if not 0 <= string_threshold <= 1:
         raise ValueError("string_threshold must be between 0 and 1")
-    if string_columns_ is None:
-        string_columns_ = string_columns(df)[:DEFAULT_COLUMNS]
-    if numeric_columns_ is None:
-        numeric_columns_ = numeric_columns(df)[:DEFAULT_COLUMNS]
-    if not string_columns_ and not numeric_columns_:
-        raise ValueError("Name at least one column to compare")
+    if texts is None:
+        texts = string_columns(df)[:DEFAULT_COLUMNS]
+    if numbers is None:
+        numbers = numeric_columns(df)[:DEFAULT_COLUMNS]
+    if not texts and not numbers:
+        raise ValueError("no column to compare")
     blocks = list(block_by or [])
     order = blocks + [c for c in order_by if c not in blocks]
-    require(df, order + list(string_columns_) + list(numeric_columns_))
+    require(df, order + list(texts) + list(numbers))
 
     points = split_points(df, order, rows_per_block)
     narrow = df.select(
         *[col(c) for c in order],
         *[F.array_join(character_set(col(c)), "").alias(f"_s{i}")
-          for i, c in enumerate(string_columns_)],
-        *[col(c).cast("double").alias(f"_n{i}") for i, c in enumerate(numeric_columns_)],
+          for i, c in enumerate(texts)],
+        *[col(c).cast("double").alias(f"_n{i}") for i, c in enumerate(numbers)],
     )
-    sets = [f"_s{i}" for i in range(len(string_columns_))]
-    numbers = [f"_n{i}" for i in range(len(numeric_columns_))]
-    paired = with_previous(narrow, order, order + sets + numbers, "_previous", points)
+    sets = [f"_s{i}" for i in range(len(texts))]
+    amounts = [f"_n{i}" for i in range(len(numbers))]
+    paired = with_previous(narrow, order, order + sets + amounts, "_previous", points)
 
     similar = F.col("_previous").isNotNull()
     for b in blocks:
         similar &= col(b).eqNullSafe(F.col("_previous").getField(b))
-    for n in numbers:
+    for n in amounts:
         similar &= similar_numbers(F.col(n), F.col("_previous").getField(n), numeric_threshold)
     for s in sets:
         similar &= similar_character_sets(

@@ -18,6 +18,11 @@ METHODS = ("iqr", "zscore", "modified_zscore", "percentile")
 THRESHOLDS = {"iqr": 1.5, "zscore": 3.0, "modified_zscore": 3.5, "percentile": 1.0}
 MAD_FACTOR = 0.6745
 SAMPLE_VALUES = 20
+REPORT_SCHEMA = (
+    "column string, outlier_count bigint, outlier_pct double, lower_bound double, "
+    "upper_bound double, mean double, median double, std double, min double, max double, "
+    "skewness double, kurtosis double"
+)
 
 
 @dataclass(frozen=True)
@@ -50,7 +55,7 @@ class Bounds:
 
 def _threshold(method: str, threshold: float | None) -> float:
     if method not in METHODS:
-        raise ValueError(f"Unknown method: {method}")
+        raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     return THRESHOLDS[method] if threshold is None else threshold
 
 
@@ -144,7 +149,7 @@ def detect_outliers(
             sample_kurtosis(v).alias(f"kurt{i}"),
         ]
     if not bounds:
-        raise ValueError("No numeric column with values")
+        return df.sparkSession.createDataFrame([], REPORT_SCHEMA)
     return tidy(
         df.agg(*aggs),
         [
@@ -181,7 +186,7 @@ def outlier_totals(
     return detect_outliers(df, None, method, threshold, approx).agg(
         F.count("*").alias("columns_analyzed"),
         F.count_if(F.col("outlier_count") > 0).alias("columns_with_outliers"),
-        F.sum("outlier_count").alias("total_outliers"),
+        F.coalesce(F.sum("outlier_count"), F.lit(0)).cast("bigint").alias("total_outliers"),
     )
 
 
@@ -283,7 +288,7 @@ def fit_outlier_treatment(
     actions = {c: conf.get("action", "keep") for c, conf in config.items()}
     for action in actions.values():
         if action not in ("keep", "drop", "winsorize"):
-            raise ValueError(f"Unknown action: {action}")
+            raise ValueError(f"action must be keep, drop or winsorize, not {action!r}")
     active = [c for c, a in actions.items() if a != "keep"]
     bounds = fit_outlier_bounds(df, active, method, threshold, approx) if active else {}
     shares = {

@@ -76,7 +76,7 @@ def violation(df: DataFrame, rule: Rule) -> Column:
     ``!=``, and it breaks a free predicate.
     """
     if rule.column not in df.columns:
-        raise RuleError(f"Column '{rule.column}' not found")
+        raise RuleError(f"no such column: {rule.column}")
     c = col(rule.column)
     dtype = df.schema[rule.column].dataType
     if rule.predicate:
@@ -88,13 +88,13 @@ def violation(df: DataFrame, rule: Rule) -> Column:
     elif rule.op in COMPARISONS:
         if rule.other is not None:
             if rule.other not in df.columns:
-                raise RuleError(f"Column '{rule.other}' not found")
+                raise RuleError(f"no such column: {rule.other}")
             operand = col(rule.other)
         else:
             operand = _constant(rule.value, dtype)
         met, if_missing = COMPARISONS[rule.op](c, operand), rule.op == "!="
     else:
-        raise RuleError(f"Unknown operator: {rule.op}")
+        raise RuleError(f"no such operator: {rule.op}")
     broken = ~F.coalesce(met, F.lit(if_missing))
     try:
         if not isinstance(df.select(broken.alias("b")).schema["b"].dataType, T.BooleanType):
@@ -162,7 +162,7 @@ def _with_violations(df: DataFrame, rules: list[Rule], actions: dict[str, str]):
     for i, rule in enumerate(rules):
         action = actions.get(rule.column, "flag_retain")
         if action not in ACTIONS:
-            raise ValueError(f"Unknown action: {action}")
+            raise ValueError(f"action must be one of {ACTIONS}, not {action!r}")
         try:
             broken = violation(df, rule)
         except RuleError as error:

@@ -52,7 +52,7 @@ def fit_scaling(
 ) -> Scaling:
     """Parameters per numeric column; constant and empty columns are left out."""
     if method not in METHODS:
-        raise ValueError(f"Unknown method: {method}")
+        raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     names = existing(df, columns) if columns is not None else numeric_columns(df)
     fitted = Scaling(method)
     if method == "robust":
@@ -85,7 +85,7 @@ def scaling_preview(df: DataFrame, column: str, method: str = "standard") -> Dat
     """Range, mean and deviation of a column before and after scaling."""
     require(df, [column])
     if column not in numeric_columns(df):
-        raise ValueError(f"Column '{column}' is not numeric")
+        raise ValueError(f"{column!r} has no numbers to scale")
     fitted = fit_scaling(df, method, [column])
     before = col(column).cast("double")
     after = fitted.scaled(column) if column in fitted.params else F.lit(None).cast("double")

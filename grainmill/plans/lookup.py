@@ -36,7 +36,8 @@ def balanced_lookup(
             quoted(key), F.lit(True).alias("_hot")
         )
     )
-    spread = F.pmod(F.xxhash64("*"), F.lit(SALTS)).cast("int")
+    hashed = [quoted(c) for c, t in rows.dtypes if "map<" not in t]
+    spread = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
     salted = (
         rows.withColumn("_spread", spread)
         .join(hot, key, "left")

@@ -12,7 +12,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from grainmill.functions.columns import col, quoted
 

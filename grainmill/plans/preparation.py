@@ -24,17 +24,6 @@ from grainmill.operators.scope import apply_scope_selection
 from grainmill.session import settle
 from grainmill.sources.snapshots import SnapshotStore
 
-PHASES = [
-    "df_raw",
-    "df_schema",
-    "df_deduplicated",
-    "df_scoped",
-    "df_clean",
-    "df_outlier_handled",
-    "df_collinear_resolved",
-    "df_final",
-]
-
 
 @dataclass
 class Preparation:

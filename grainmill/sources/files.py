@@ -36,7 +36,7 @@ def file_format(path: str, fmt: str | None = None) -> str:
     suffix = PurePosixPath(path).suffix.lower()
     if fmt is None and suffix in FORMATS:
         return FORMATS[suffix]
-    raise ValueError(f"Unsupported file format: {fmt or suffix}")
+    raise ValueError(f"format must be one of {list(FORMATS.values())}, not {fmt or suffix!r}")
 
 
 def delimiter_counts(df: DataFrame, column: str) -> DataFrame:

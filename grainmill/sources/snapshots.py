@@ -106,7 +106,7 @@ class SnapshotStore:
         rows = self.manifest().where((F.col("branch") == branch) & (F.col("id") == state_id))
         found = rows.orderBy(F.col("seq").desc()).first()
         if found is None:
-            raise StateNotFoundError(f"State {branch}::{state_id} not found")
+            raise StateNotFoundError(f"no state {state_id!r} on branch {branch!r}")
         return found
 
     def commit(
@@ -120,7 +120,7 @@ class SnapshotStore:
         """Write a snapshot, add it to the branch and return the stored table."""
         last = self._last(branch)
         if last is None and branch != MAIN:
-            raise StateNotFoundError(f"Branch '{branch}' does not exist")
+            raise StateNotFoundError(f"no branch {branch!r}")
         seq = last["seq"] + 1 if last else 0
         path = f"{self.root}/data/{branch}/{seq:06d}_{state_id}"
         # Counted and hashed while it is written: the table is computed once.
@@ -160,7 +160,7 @@ class SnapshotStore:
     def create_branch(self, name: str, fork_from: str, source: str = MAIN) -> None:
         """Start a branch at a state of another one; no data is copied."""
         if self._last(name) is not None:
-            raise ValueError(f"Branch '{name}' already exists")
+            raise ValueError(f"there is a branch {name!r} already")
         origin = self._record(source, fork_from)
         self._add(
             (
