@@ -169,12 +169,12 @@ SELECT conv_id, turn, {_JACCARD} AS similar FROM (
   SELECT conv_id, turn, {_chars('text')} AS a, {_chars('role')} AS b FROM conversations)
 UNION ALL
 SELECT conv_id, turn, {_JACCARD} FROM (
-  SELECT conv_id, turn, {_chars('text')} AS a, {_chars("upper(text)")} AS b FROM conversations)""",
+  SELECT conv_id, turn, {_chars('text')} AS a, {_chars("replace(text, 'e', 'E')")} AS b FROM conversations)""",
 )
 def similar_strings(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     pairs = turns.select("conv_id", "turn", "text", F.col("role").alias("other")).unionByName(
-        turns.select("conv_id", "turn", "text", F.upper("text").alias("other"))
+        turns.select("conv_id", "turn", "text", F.replace("text", F.lit("e"), F.lit("E")).alias("other"))
     )
     similar = similarity.similar_strings(F.col("text"), F.col("other"), 0.9)
     return pairs.select("conv_id", "turn", similar.alias("similar"))

@@ -8,34 +8,35 @@ from grainmill.session import new_folder
 from grainmill.sources.snapshots import SnapshotStore
 
 CHOICES = Preparation(
-    columns=["event_id", "user_id", "event_type", "value", "value2", "const_col"],
+    columns=["event_id", "user_id", "event_type", "value", "mostly_missing", "const_col"],
     rules=[Rule("value", "<=", 400)],
     imputation={
         "value": {"method": "median"},
-        "value2": {"method": "mean"},
+        "mostly_missing": {"method": "mean"},
         "event_type": {"method": "unknown_tag"},
     },
     outliers={"value": {"action": "winsorize", "lower_pct": 1, "upper_pct": 99}},
-    collinear_columns=["value", "value2"],
-    collinear_threshold=0.7,
+    collinear_columns=["value", "mostly_missing"],
+    collinear_threshold=0.4,
     encoding={"event_type": {"method": "label"}},
     scaling_method="standard",
     scaling_columns=["value", "user_id"],
 )
 
 # Constant columns go, values above 400 become missing and are filled, values are
-# clipped, labels are numbered in text order, two columns are scaled.
+# clipped, the second of two related columns is dropped, labels are numbered in
+# text order, two columns are scaled.
 _SQL = (
     cte("dirty_events")
     + """,
-d AS (SELECT DISTINCT event_id, user_id, event_type, value, value2 FROM dirty_events),
-r AS (SELECT event_id, user_id, event_type, CASE WHEN value <= 400 THEN value END AS value, value2 FROM d),
+d AS (SELECT DISTINCT event_id, user_id, event_type, value, mostly_missing FROM dirty_events),
+r AS (SELECT event_id, user_id, event_type, CASE WHEN value <= 400 THEN value END AS value, mostly_missing FROM d),
 i AS (SELECT event_id, user_id, coalesce(event_type, 'Unknown') AS event_type,
              coalesce(value, (SELECT median(value) FROM r)) AS value,
-             coalesce(value2, (SELECT avg(value2) FROM r)) AS value2 FROM r),
-o AS (SELECT event_id, user_id, event_type, value2, least(greatest(value,
+             coalesce(mostly_missing, (SELECT avg(mostly_missing) FROM r)) AS mostly_missing FROM r),
+o AS (SELECT event_id, user_id, event_type, mostly_missing, least(greatest(value,
              (SELECT quantile_cont(value, 0.01) FROM i)), (SELECT quantile_cont(value, 0.99) FROM i)) AS value FROM i),
-c AS (SELECT abs(round(corr(value, value2), 4)) > 0.7 AS related FROM o),
+c AS (SELECT abs(round(corr(value, mostly_missing), 4)) > 0.4 AS related FROM o),
 l AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS label FROM o GROUP BY event_type),
 m AS (SELECT avg(value) AS vm, stddev_samp(value) AS vs, avg(user_id) AS um, stddev_samp(user_id) AS us FROM o)
 SELECT event_id, round((user_id - um) / us, 5) AS user_id, CAST(label AS BIGINT) AS event_type,
