@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.functions.columns import col, plain_columns, quoted, require
+from grainmill.functions.columns import col, distinct_key, plain_columns, quoted, require
 
 STRATEGIES = ("keep_first", "keep_last", "drop_all")
 
@@ -14,6 +14,11 @@ def _group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*map(quoted, keys)).agg(F.count("*").alias("_size"))
 
 
+def _narrow(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Key columns with long texts replaced by their hash, for counting only."""
+    return df.select(*[distinct_key(df, c).alias(c) for c in keys])
+
+
 def _keys(df: DataFrame, keys) -> list[str]:
     if keys is None:
         return list(df.columns)
@@ -27,7 +32,8 @@ def duplicate_stats(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     ``keys=None`` compares whole rows. Missing keys are equal to each other.
     """
-    repeated = _group_sizes(df, _keys(df, keys)).where("_size > 1")
+    names = _keys(df, keys)
+    repeated = _group_sizes(_narrow(df, names), names).where("_size > 1")
     total = F.coalesce(F.sum("_size"), F.lit(0)).cast("bigint")
     return repeated.agg(
         total.alias("total_duplicates"),
@@ -127,7 +133,8 @@ def resolution_stats(
     """Rows before, after and removed, from the group sizes alone."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
-    sizes = _group_sizes(df, _keys(df, subset))
+    names = _keys(df, subset)
+    sizes = _group_sizes(_narrow(df, names), names)
     before = F.coalesce(F.sum("_size"), F.lit(0)).cast("bigint")
     after = F.count_if(F.col("_size") == 1) if strategy == "drop_all" else F.count("*")
     return sizes.agg(

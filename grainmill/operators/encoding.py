@@ -160,20 +160,23 @@ class Labels:
         return df.withColumn(self.column, label)
 
 
-def _ordinal_scale(df: DataFrame, column: str) -> list[str] | None:
-    """First scale that contains every present value in any case."""
-    word = F.lower(col(column))
-    row = df.agg(
+def _look_at(df: DataFrame, column: str) -> tuple[list[str] | None, int]:
+    """First scale that contains every present value in any case, and an
+    estimate of the number of values, from one pass without a shuffle of values.
+    """
+    aggs = [
         F.count(col(column)).alias("n"),
-        *[
+        F.approx_count_distinct(col(column), 0.02).alias("values"),
+    ]
+    if isinstance(df.schema[column].dataType, T.StringType):
+        word = F.lower(col(column))
+        aggs += [
             F.coalesce(F.bool_and(word.isin(scale)), F.lit(False)).alias(f"s{i}")
             for i, scale in enumerate(ORDINAL_SCALES)
-        ],
-    ).first()
-    for i, scale in enumerate(ORDINAL_SCALES):
-        if row["n"] and row[f"s{i}"]:
-            return scale
-    return None
+        ]
+    row = df.agg(*aggs).first().asDict()
+    found = [s for i, s in enumerate(ORDINAL_SCALES) if row["n"] and row.get(f"s{i}")]
+    return (found[0] if found else None), row["values"]
 
 
 def fit_labels(
@@ -190,15 +193,15 @@ def fit_labels(
     require(df, [column])
     if mapping != "auto":
         return Labels(column, dict(mapping), size=len(mapping))
-    values = _few_categories(df, column, max_inline)
-    if isinstance(df.schema[column].dataType, T.StringType):
-        scale = _ordinal_scale(df, column)
-        if scale and values is not None:
-            ranks = {v: scale.index(v.lower()) + 1 for v in values}
-            return Labels(column, ranks, size=len(ranks))
-        if scale:
-            ranks = {word: i + 1 for i, word in enumerate(scale)}
-            return Labels(column, ranks, size=len(ranks), any_case=True)
+    scale, estimate = _look_at(df, column)
+    # Values are fetched only if the estimate, off by some percent, allows it.
+    values = _few_categories(df, column, max_inline) if estimate <= 2 * max_inline else None
+    if scale and values is not None:
+        ranks = {v: scale.index(v.lower()) + 1 for v in values}
+        return Labels(column, ranks, size=len(ranks))
+    if scale:
+        ranks = {word: i + 1 for i, word in enumerate(scale)}
+        return Labels(column, ranks, size=len(ranks), any_case=True)
     if values is not None:
         ordered = [v for v, _ in sorted(_value_texts(df, column, values), key=lambda p: p[1])]
         return Labels(column, {v: i for i, v in enumerate(ordered)}, size=len(ordered))

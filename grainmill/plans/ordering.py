@@ -8,16 +8,18 @@ first one of its block.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainmill.functions.columns import col, quoted
 
 ROWS_PER_BLOCK = 1_000_000
-MAX_BLOCKS = 1024
-SAMPLES_PER_BLOCK = 50
+MAX_BLOCKS = 16_384
+SAMPLES_PER_BLOCK = 30
 BLOCK = "_block"
 
 
@@ -25,6 +27,30 @@ def _sort_key(values):
     return tuple((v is not None, v) for v in values)
 
 
+def _is_regular(value) -> bool:
+    """Not NaN or infinite, which neither sort here nor fit into JSON."""
+    return not isinstance(value, float) or math.isfinite(value)
+
+
+def _comparable(df: DataFrame, name: str) -> Column:
+    """The key in a form that is the same on the driver and in the plan.
+
+    Times would pass through time zones on their way.
+    """
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(col(name))
+    if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
+        return col(name).cast("string")
+    if isinstance(dtype, T.BinaryType):
+        return F.hex(col(name))
+    return col(name)
+
+
+def _keys_only(df: DataFrame, order_by: list[str]) -> DataFrame:
+    return df.select(*[_comparable(df, c).alias(f"k{i}") for i, c in enumerate(order_by)])
+
+
 def split_points(
     df: DataFrame, order_by: list[str], rows_per_block: int, rows: int | None = None
 ) -> list[tuple]:
@@ -34,46 +60,48 @@ def split_points(
     if blocks <= 1:
         return []
     share = min(1.0, blocks * SAMPLES_PER_BLOCK / rows)
-    sample = df.select(*[col(c) for c in order_by]).sample(fraction=share, seed=7).collect()
-    keys = sorted({tuple(r) for r in sample if any(v is not None for v in r)}, key=_sort_key)
+    sample = _keys_only(df, order_by).sample(fraction=share, seed=7).collect()
+    usable = {tuple(r) for r in sample if any(v is not None for v in r)}
+    keys = sorted((k for k in usable if all(map(_is_regular, k))), key=_sort_key)
     step = len(keys) / blocks
     return sorted({keys[int(step * i)] for i in range(1, blocks) if keys}, key=_sort_key)
 
 
+def _constant_array(df: DataFrame, order_by: list[str], points: list[tuple]) -> Column:
+    """The points as one constant, written as JSON so that the plan stays small."""
+    types = [f.dataType.simpleString() for f in _keys_only(df, order_by).schema.fields]
+    if len(order_by) == 1:
+        values, schema = [p[0] for p in points], f"array<{types[0]}>"
+    else:
+        names = [f"k{i}" for i in range(len(types))]
+        values = [dict(zip(names, p)) for p in points]
+        schema = f"array<struct<{','.join(f'{n}:{t}' for n, t in zip(names, types))}>>"
+    return F.from_json(F.lit(json.dumps(values, default=str)), schema)
+
+
 def block_number(
     df: DataFrame, order_by: list[str], points: list[tuple], mark_first: bool = False
 ) -> Column:
-    """Block of a row, found by comparing with about log2(blocks) points.
+    """Block of a row: how many points are not above its key, by binary search.
 
     With ``mark_first`` the number is negative for a row whose key is the split
     point that starts its block.
     """
     if not points:
         return F.lit(0)
-    single = len(order_by) == 1
-    types = [df.schema[c].dataType for c in order_by]
-
-    def joined(parts: list[Column]) -> Column:
-        if single:
-            return parts[0]
-        return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
-
-    key = joined([col(c) for c in order_by])
-
-    def point(values) -> Column:
-        return joined([F.lit(v).cast(t) for v, t in zip(values, types)])
-
-    def search(low: int, high: int) -> Column:
-        if low < high:
-            middle = (low + high) // 2
-            return F.when(key >= point(points[middle]), search(middle + 1, high)).otherwise(
-                search(low, middle)
-            )
-        if mark_first and low:
-            return F.when(key == point(points[low - 1]), F.lit(-low)).otherwise(F.lit(low))
-        return F.lit(low)
-
-    return search(0, len(points))
+    parts = [_comparable(df, c).alias(f"k{i}") for i, c in enumerate(order_by)]
+    key = parts[0] if len(parts) == 1 else F.struct(*parts)
+    array = _constant_array(df, order_by, points)
+    steps = [1 << i for i in reversed(range(len(points).bit_length()))]
+
+    def step(found: Column, size: Column) -> Column:
+        # Beyond the end there is no point, and the test is not true.
+        return F.when(key >= F.get(array, found + size - 1), found + size).otherwise(found)
+
+    number = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+    if not mark_first:
+        return number
+    return F.when(key == F.get(array, number - 1), -number).otherwise(number)
 
 
 def with_blocks(

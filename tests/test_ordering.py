@@ -68,6 +68,30 @@ def test_composite_text_keys(spark):
         assert previous == expected.get((r["a"], r["b"], r["c"]))
 
 
+@pytest.mark.parametrize("dtype", ["timestamp", "timestamp_ntz", "date", "double", "decimal(20,6)"])
+def test_key_types(spark, dtype):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        source = {
+            # Spans the night the clock is set back.
+            "timestamp": "timestamp_micros(1699160000000000 + id * 60000001)",
+            "timestamp_ntz": "cast('2023-11-05 00:00:00' as timestamp_ntz) + make_dt_interval(0, 0, id, id / 7)",
+            "date": "date_add(DATE'2023-11-05', cast(id as int))",
+            "double": "case when id = 77 then double('NaN') else id / 7.0D end",
+            "decimal(20,6)": "cast(id / 7 as decimal(20,6))",
+        }[dtype]
+        df = spark.range(200).selectExpr(f"{source} AS k", "id")
+        points = split_points(df, ["k"], 9)
+        assert len(points) > 10
+        found = with_previous(df, ["k"], ["id"], "p", points).collect()
+        pairs = {r["id"]: r["p"] and r["p"]["id"] for r in found}
+        ids = [r["id"] for r in df.orderBy("k").collect()]
+        assert len(found) == 200 and pairs == dict(zip(ids, [None, *ids]))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def _similar_text(a, b, t):
     if a is None or b is None:
         return a is None and b is None
