@@ -1,9 +1,7 @@
-"""Session settings and the shared folder for written intermediate results."""
+"""The shared folder for written intermediate results, and who removes them."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,34 +10,65 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by the cluster.
-
-    Only a local session without the setting gets a temporary folder.
-    """
+    """The folder all executors can reach, as named by the cluster."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError(f"Set {CHECKPOINT_KEY} to a folder shared by all executors")
-    return _local_folder()
+    return folder
 
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="grainmill-")
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has written to yet."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has written to yet.
+
+    It goes when the application ends, if nobody removes it before.
+    """
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    files, place = _file_system(spark, path)
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{path}/data"
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove folders made by ``new_folder`` that no result reads any more."""
+    for path in paths:
+        files, place = _file_system(spark, path.removesuffix("/data"))
+        files.delete(place, True)
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, owner: Scratch | None = None) -> DataFrame:
     """Write an intermediate result once, so later steps read the same rows.
 
     The Parquet files are in the shared folder and survive the loss of any
-    executor. Unlike a checkpoint, this computes the rows only once.
+    executor. Unlike a checkpoint, this computes the rows only once. An owner
+    removes them when it closes, else they stay until the application ends.
     """
-    path = new_folder(df.sparkSession, "settled")
+    spark = df.sparkSession
+    path = new_folder(spark, "settled")
+    if owner is not None:
+        owner.paths.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Owner of the settled results of one call: ``with Scratch(spark) as scratch``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        return settle(df, self)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        discard(self.spark, *self.paths)
+        self.paths.clear()
