@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import is_held_out, read
+from grainmill.llm.packing import pack
 from grainmill.llm.toxicity import fit_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(function):
     QUERIES[function.__name__] = function
     return function
@@ -27,3 +34,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.apply(docs.select("doc_id", "text")).select(
         "doc_id", is_held_out().alias("held_out"), "score", "predicted"
     )
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their place in a sequence."""
+    packed = pack(read(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
