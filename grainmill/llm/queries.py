@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import is_held_out, read
+from grainmill.llm.jaccard import jaccard_components
 from grainmill.llm.packing import pack
 from grainmill.llm.toxicity import fit_toxicity
 
@@ -43,3 +44,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+@query
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under the Jaccard join."""
+    found = jaccard_components(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
