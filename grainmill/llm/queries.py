@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import is_held_out, read
+from grainmill.llm.decontaminate import benchmark_overlaps
 from grainmill.llm.jaccard import jaccard_components
 from grainmill.llm.packing import pack
 from grainmill.llm.toxicity import fit_toxicity
@@ -51,3 +52,9 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under the Jaccard join."""
     found = jaccard_components(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contaminated documents, with the items and passages they share."""
+    return benchmark_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
