@@ -11,6 +11,7 @@ from grainmill.llm.common import is_held_out, read
 from grainmill.llm.decontaminate import benchmark_overlaps
 from grainmill.llm.jaccard import jaccard_components
 from grainmill.llm.packing import pack
+from grainmill.llm.secrets import fit_secrets, joined, number_of, scan_secrets
 from grainmill.llm.toxicity import fit_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +59,14 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contaminated documents, with the items and passages they share."""
     return benchmark_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of the secrets of every document."""
+    docs = read(spark, sf_dir, "documents")
+    found = scan_secrets(docs, fit_secrets(docs))
+    kinds = [number_of("base", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select(
+        "doc_id", *kinds, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans")
+    )
