@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,16 @@ def settle(df: DataFrame, owner: Scratch | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that only finished jobs have used.
+
+    Spark removes them when the driver's garbage is collected, which a small
+    driver may not need for a long time.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Owner of the settled results of one call: ``with Scratch(spark) as scratch``."""
 
