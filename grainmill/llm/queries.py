@@ -12,10 +12,13 @@ from grainmill.llm.decontaminate import benchmark_overlaps
 from grainmill.llm.jaccard import jaccard_components
 from grainmill.llm.licenses import scan_licenses
 from grainmill.llm.packing import pack
+from grainmill.llm.quality import fit_quality
 from grainmill.llm.secrets import fit_secrets, joined, number_of, scan_secrets
 from grainmill.llm.topk import top_k
 from grainmill.llm.toxicity import fit_toxicity
 from grainmill.llm.urls import filter_urls
+from grainmill.llm.warc import read_archives, with_types, write_archives
+from grainmill.session import new_folder, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +142,40 @@ WITH scaled AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written to WARC archives and read back."""
+    pages = read(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    files = settle(write_archives(with_types(pages), new_folder(spark, "warc")))
+    found = read_archives(files, payloads=False)
+    return found.select(
+        F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind)
+    )
+
+
+ORACLES["op5_warc"] = """
+WITH sized AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+           sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), firsts AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM sized
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
+FROM firsts
+"""
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read(spark, sf_dir, "documents")
+    model = fit_quality(docs, read(spark, sf_dir, "labels"))
+    return model.apply(docs).select(
+        "doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
