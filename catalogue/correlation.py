@@ -211,3 +211,28 @@ def corr_pairwise(spark, sf_dir):
 def corr_masked(spark, sf_dir):
     lines = derived(spark, sf_dir, "collinear")
     return rounded(correlation.pairwise_correlations(lines, NUMBERS, 0.5), 4)
+
+
+WIDE = [f"w{k}" for k in range(1, 28)]
+
+
+@query(
+    "corr_pearson_wide",
+    cte("wide_lines")
+    + "\nSELECT column1, column2, round(r, 4) AS r FROM ("
+    + _corr_rows("wide_lines", [(a, b) for i, a in enumerate(WIDE) for b in WIDE[i + 1 :]])
+    + ")",
+)
+def corr_pearson_wide(spark, sf_dir):
+    return correlation.correlation_matrix(derived(spark, sf_dir, "wide_lines"))
+
+
+@query(
+    "corr_pairwise_wide",
+    cte("wide_lines")
+    + "\nSELECT column1, column2, round(r, 4) AS r FROM ("
+    + _corr_rows("wide_lines", [(a, b) for a in WIDE for b in WIDE])
+    + ")",
+)
+def corr_pairwise_wide(spark, sf_dir):
+    return rounded(correlation.pairwise_correlations(derived(spark, sf_dir, "wide_lines")), 4)

@@ -7,9 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from grainmill.functions.columns import col, existing, numeric_columns
@@ -17,16 +16,13 @@ from grainmill.functions.moments import collect_moments, safe_corr
 from grainmill.plans.ranks import kendall_tau, spearman_matrix
 
 METHODS = ("pearson", "spearman", "kendall")
-# Limits for strong pairs, the length of the pair list, the
-# default thresholds and the VIF grades.
+# Limits for strong pairs, the default thresholds and the VIF grades.
 MODERATE, HIGH = 0.7, 0.9
-MAX_PAIRS = 20
 PAIR_THRESHOLD = 0.90
 VIF_THRESHOLD = 10.0
 VIF_GRADES = [(20, "very_high"), (10, "high"), (5, "moderate")]
-HEATMAP_COLUMNS = 20
-# From here on one vector per row is cheaper than an aggregate per pair.
-WIDE_COLUMNS = 40
+# Pairs that one aggregation covers; more take further passes of the same kind.
+PAIRS_A_PASS = 100
 # Below this share of unexplained variance a column counts as determined.
 SINGULAR = 1e-12
 
@@ -45,7 +41,20 @@ def _complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _chosen(df: DataFrame, columns: list[str] | None) -> list[str]:
-    return existing(df, columns) if columns is not None else numeric_columns(df)
+    names = existing(df, columns) if columns is not None else numeric_columns(df)
+    for c in names:
+        dtype = df.schema[c].dataType
+        if not isinstance(dtype, (T.NumericType, T.BooleanType)):
+            raise ValueError(f"{c!r} is not numeric but {dtype.simpleString()}")
+    return names
+
+
+def _in_passes(df: DataFrame, aggs: list[Column]) -> dict[str, float | None]:
+    """The aggregates, PAIRS_A_PASS at a time."""
+    row: dict[str, float | None] = {}
+    for k in range(0, len(aggs), PAIRS_A_PASS):
+        row |= df.agg(*aggs[k : k + PAIRS_A_PASS]).first().asDict()
+    return row
 
 
 def fit_correlations(
@@ -66,31 +75,24 @@ def fit_correlations(
         return {p: found.get(p) for p in pairs}
     if method == "kendall":
         return {p: kendall_tau(rows, *p) for p in pairs}
-    if len(columns) > WIDE_COLUMNS:
-        return _wide_pearson(rows, columns)
-    aggs = [F.stddev_samp(col(c)).alias(f"s{i}") for i, c in enumerate(columns)]
-    aggs += [F.covar_samp(col(a), col(b)).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]
-    row = rows.agg(*aggs).first()
-    deviation = {c: row[f"s{i}"] for i, c in enumerate(columns)}
+    # Products of deviations from the means, which lose no digits to large means.
+    means = rows.agg(
+        *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[(F.min(col(c)) < F.max(col(c))).alias(f"e{i}") for i, c in enumerate(columns)],
+    ).first()
+    away = {c: col(c) - F.lit(means[f"m{i}"]) for i, c in enumerate(columns)}
+    varies = {c: bool(means[f"e{i}"]) for i, c in enumerate(columns)}
+    aggs = [F.sum(away[c] * away[c]).alias(f"s{i}") for i, c in enumerate(columns)]
+    aggs += [F.sum(away[a] * away[b]).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]
+    row = _in_passes(rows, aggs)
+    squares = {c: row[f"s{i}"] if varies[c] else 0.0 for i, c in enumerate(columns)}
     result = {}
     for k, (a, b) in enumerate(pairs):
-        spread = (deviation[a] or 0.0) * (deviation[b] or 0.0)
+        spread = math.sqrt(squares[a] or 0.0) * math.sqrt(squares[b] or 0.0)
         result[a, b] = row[f"p{k}"] / spread if spread else None
     return result
 
 
-def _wide_pearson(rows: DataFrame, columns: list[str]) -> dict[tuple[str, str], float | None]:
-    """Many columns: one matrix product per task instead of an aggregate per pair."""
-    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(rows)
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    return {
-        (a, b): None if math.isnan(matrix[i, j]) else float(matrix[i, j])
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-        if i < j
-    }
-
-
 def correlation_matrix(
     df: DataFrame, columns: list[str] | None = None, method: str = "pearson"
 ) -> DataFrame:
@@ -101,9 +103,12 @@ def correlation_matrix(
 
 
 def high_correlation_pairs(
-    df: DataFrame, columns: list[str] | None = None, method: str = "pearson"
+    df: DataFrame,
+    columns: list[str] | None = None,
+    method: str = "pearson",
+    limit: int | None = None,
 ) -> DataFrame:
-    """The strongest pairs with their strength and the number of strong pairs."""
+    """The strong pairs, strongest first, with their strength and their number."""
     found = fit_correlations(df, _chosen(df, columns), method)
     strong = [
         (a, b, round(r, 4), "high" if abs(r) > HIGH else "moderate")
@@ -111,7 +116,7 @@ def high_correlation_pairs(
         if r is not None and abs(r) > MODERATE
     ]
     strong.sort(key=lambda row: (-abs(row[2]), row[0], row[1]))
-    rows = [(i + 1, *row, len(strong)) for i, row in enumerate(strong[:MAX_PAIRS])]
+    rows = [(i + 1, *row, len(strong)) for i, row in enumerate(strong[:limit])]
     return df.sparkSession.createDataFrame(
         rows,
         "rank bigint, column1 string, column2 string, correlation double, "
@@ -126,8 +131,8 @@ def pairwise_correlations(
 
     Cells below the threshold are blanked.
     """
-    names = _chosen(df, columns)[:HEATMAP_COLUMNS]
-    single = collect_moments(df, {c: col(c) for c in names}, ["std"])
+    names = _chosen(df, columns)
+    single = collect_moments(df, {c: col(c) for c in names}, ["mean", "std"])
     gaps = {c for c in names if single[c]["missing"]}
     pairs = _pair_keys(names)
     aggs = [F.count("*").alias("rows")]
@@ -136,10 +141,11 @@ def pairwise_correlations(
         if a in gaps or b in gaps:
             aggs.append(safe_corr(x, y).alias(f"p{k}"))
         else:
-            # Without missing cells the deviations of the pair are already known.
-            spread = (single[a]["std"] or 0.0) * (single[b]["std"] or 0.0)
-            aggs.append(F.try_divide(F.covar_samp(x, y), F.lit(spread)).alias(f"p{k}"))
-    row = df.agg(*aggs).first()
+            # Without missing cells the means and deviations of the pair are already known.
+            spread = (single[a]["std"] or 0.0) * (single[b]["std"] or 0.0) * (single[a]["count"] - 1)
+            product = (x - F.lit(single[a]["mean"])) * (y - F.lit(single[b]["mean"]))
+            aggs.append(F.try_divide(F.sum(product), F.lit(spread)).alias(f"p{k}"))
+    row = _in_passes(df, aggs)
     cells = {(c, c): 1.0 if single[c]["std"] else None for c in names}
     for k, (a, b) in enumerate(pairs):
         cells[a, b] = cells[b, a] = row[f"p{k}"]
@@ -198,9 +204,10 @@ def fit_vif(
         return {names[0]: 1.0}
     found = fit_correlations(rows, names)
     size = len(names)
+    place = {c: i for i, c in enumerate(names)}
     matrix = np.eye(size)
     for (a, b), r in found.items():
-        i, j = names.index(a), names.index(b)
+        i, j = place[a], place[b]
         matrix[i, j] = matrix[j, i] = 0.0 if r is None else r
     result = {}
     for i, c in enumerate(names):

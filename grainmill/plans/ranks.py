@@ -17,7 +17,7 @@ from grainmill.plans.ordering import (
     with_blocks,
     with_running_total,
 )
-from grainmill.session import settle
+from grainmill.session import Scratch, settle
 
 
 def spearman_matrix(
@@ -25,29 +25,37 @@ def spearman_matrix(
 ) -> dict[tuple[str, str], float | None]:
     """Correlation of average ranks; ``df`` has no missing value in ``columns``.
 
-    Ranks come from the counts per value, numbered block by block.
+    The values of all columns are counted in one pass over the rows and numbered
+    block by block; the ranks are then looked up, once per column.
     """
+    k = len(columns)
     rows = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    total = None
-    for i in range(len(columns)):
-        key = f"c{i}"
-        counts = settle(rows.groupBy(key).agg(F.count("*").alias("n")))
-        size = counts.agg(F.count("*").alias("values"), F.sum("n").alias("total")).first()
-        total = size["total"] or 0
+    values = F.array(*[F.col(f"c{i}") for i in range(k)])
+    with Scratch(df.sparkSession) as scratch:
+        long = rows.select(F.posexplode(values).alias("i", "value"))
+        counts = scratch.settle(long.groupBy("i", "value").agg(F.count("*").alias("n")))
+        sizes = {
+            r["i"]: r["values"]
+            for r in counts.groupBy("i").agg(F.count("*").alias("values")).collect()
+        }
+        total = counts.where("i = 0").agg(F.sum("n").alias("total")).first()["total"] or 0
         if total < 2:
             return {}
-        blocked = with_blocks(counts, [key], rows_per_block, size["values"])
-        ranked = with_running_total(blocked, [key], "n", "_before").select(
-            key,
+        blocked = with_blocks(counts, ["value"], rows_per_block, sum(sizes.values()))
+        ranked = with_running_total(blocked, ["value"], "n", "_before", within=["i"]).select(
+            "i", "value", "n",
             # Average rank, measured from the mean of all ranks.
-            (F.col("_before") + (F.col("n") + 1) / 2.0 - (total + 1) / 2.0).alias(f"r{i}"),
+            (F.col("_before") + (F.col("n") + 1) / 2.0 - (total + 1) / 2.0).alias("r"),
         )
-        rows = balanced_lookup(rows, ranked, counts, key, total, size["values"]).drop(key)
-    k = len(columns)
-    aggs = [
-        F.sum(F.col(f"r{i}") * F.col(f"r{j}")).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)
-    ]
-    sums = rows.agg(*aggs).first()
+        ranked = scratch.settle(ranked)
+        for i in range(k):
+            own = ranked.where(F.col("i") == i).select(F.col("value").alias(f"c{i}"), "n", F.col("r").alias(f"r{i}"))
+            rows = balanced_lookup(rows, own.drop("n"), own.drop(f"r{i}"), f"c{i}", total, sizes[i])
+        aggs = [
+            F.sum(F.col(f"r{i}") * F.col(f"r{j}")).alias(f"s{i}_{j}")
+            for i in range(k) for j in range(i, k)
+        ]
+        sums = rows.agg(*aggs).first()
     result = {}
     for i in range(k):
         for j in range(i + 1, k):
