@@ -34,9 +34,11 @@ def detect_categorical(spark, sf_dir):
     "encode_stats",
     """
 SELECT 'o_orderstatus' AS "column", 'one_hot' AS method, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS size,
+       string_agg(DISTINCT 'o_orderstatus_' || o_orderstatus, ',' ORDER BY 'o_orderstatus_' || o_orderstatus) AS new_columns,
        CAST(NULL AS VARCHAR) AS error FROM orders
-UNION ALL SELECT 'o_orderpriority', 'label', CAST(count(DISTINCT o_orderpriority) AS BIGINT), NULL FROM orders
-UNION ALL SELECT 'o_custkey', NULL, NULL, 'no such method: hash'""",
+UNION ALL SELECT 'o_orderpriority', 'label', CAST(count(DISTINCT o_orderpriority) AS BIGINT), 'o_orderpriority', NULL
+FROM orders
+UNION ALL SELECT 'o_custkey', NULL, NULL, NULL, 'no such method: hash'""",
 )
 def encode_stats(spark, sf_dir):
     config = {
@@ -49,6 +51,42 @@ def encode_stats(spark, sf_dir):
     return stats
 
 
+@query(
+    "encode_mapping",
+    """
+SELECT 'o_orderpriority' AS "column", o_orderpriority AS value,
+       CAST(row_number() OVER (ORDER BY o_orderpriority) - 1 AS VARCHAR) AS label
+FROM (SELECT DISTINCT o_orderpriority FROM orders)
+UNION ALL SELECT 'o_orderstatus', 'F', '0.5' UNION ALL SELECT 'o_orderstatus', 'O', '2.75'""",
+)
+def encode_mapping(spark, sf_dir):
+    config = {
+        "o_orderpriority": {"method": "label"},
+        "o_orderstatus": {"method": "label", "mapping": {"F": 0.5, "O": 2.75}},
+    }
+    return encoding.fit_encoding(table(spark, sf_dir, "orders"), config).mapping_frame(spark)
+
+
+@query(
+    "label_mapping_float",
+    """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0.5::DOUBLE WHEN 'O' THEN 2.75::DOUBLE END AS o_orderstatus
+FROM orders""",
+)
+def label_mapping_float(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return encoding.fit_labels(orders, "o_orderstatus", {"F": 0.5, "O": 2.75}).apply(orders)
+
+
+@query(
+    "label_name_clash",
+    """
+SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS BIGINT) AS label, p_size AS n, p_name AS value FROM part""",
+)
+def label_name_clash(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_type AS label", "p_size AS n", "p_name AS value")
+    return encoding.fit_labels(parts, "label").apply(parts)
+
+
 def _register_one_hot(name: str, drop_first: bool):
     values = PRIORITIES[1:] if drop_first else PRIORITIES
     flags = ", ".join(f"o_orderpriority = '{v}' AS \"o_orderpriority_{v}\"" for v in values)
@@ -86,9 +124,8 @@ JOIN (SELECT c_name AS m, row_number() OVER (ORDER BY c_name) - 1 AS n FROM cust
 )
 def label_alphabetical(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
-    # Few values become an inline mapping, many a table of labels.
     few = encoding.fit_labels(customers, "c_nationkey")
-    many = encoding.fit_labels(customers, "c_name", max_inline=0)
+    many = encoding.fit_labels(customers, "c_name")
     return many.apply(few.apply(customers))
 
 

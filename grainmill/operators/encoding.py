@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +32,6 @@ ORDINAL_SCALES = [
     ["never", "rarely", "sometimes", "often", "always"],
 ]
 FEW_INTEGERS = 10
-MAX_ONE_HOT = 1000
-# Up to this many categories a label mapping is written into the plan.
-MAX_INLINE_LABELS = 500
 PREVIEW_VALUES = 20
 
 
@@ -80,10 +77,11 @@ def _categories(df: DataFrame, column: str) -> DataFrame:
     return df.select(col(column).alias("value")).where("value IS NOT NULL").distinct()
 
 
-def _few_categories(df: DataFrame, column: str, limit: int) -> list[Any] | None:
+def _sorted_categories(df: DataFrame, column: str, limit: int | None) -> list[Any] | None:
     """Sorted values, or ``None`` if there are more than ``limit``."""
-    found = _categories(df, column).limit(limit + 1).collect()
-    return sorted(r["value"] for r in found) if len(found) <= limit else None
+    found = _categories(df, column)
+    rows = (found if limit is None else found.limit(limit + 1)).collect()
+    return sorted(r["value"] for r in rows) if limit is None or len(rows) <= limit else None
 
 
 @dataclass
@@ -109,10 +107,11 @@ class OneHot:
 
 
 def fit_one_hot(
-    df: DataFrame, column: str, drop_first: bool = False, max_values: int = MAX_ONE_HOT
+    df: DataFrame, column: str, drop_first: bool = False, max_values: int | None = None
 ) -> OneHot:
+    """A column for every value; it fails if there are more than ``max_values``, if given."""
     require(df, [column])
-    values = _few_categories(df, column, max_values)
+    values = _sorted_categories(df, column, max_values)
     if values is None:
         raise ValueError(f"{column!r} has more than {max_values} values")
     return OneHot(column, values, drop_first)
@@ -120,113 +119,84 @@ def fit_one_hot(
 
 @dataclass
 class Labels:
-    """Fitted label encoding: an inline mapping or, for many values, a table.
-
-    With ``any_case`` the keys of the mapping are lower-cased words. The table
-    has the columns value, label and n, the number of rows with that value.
-    """
+    """Fitted label encoding: a table of value, label and n, the rows with that value."""
 
     column: str
-    mapping: dict[Any, int] | None = None
-    table: DataFrame | None = None
+    table: DataFrame
     size: int = 0
     total: int = 0
-    any_case: bool = False
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Replace the column; unmapped and missing values become NULL."""
-        if self.table is not None:
-            table = self.table.withColumnRenamed("value", "_value")
-            joined = balanced_lookup(
-                df.withColumnRenamed(self.column, "_value"),
-                table.drop("n"),
-                table,
-                "_value",
-                self.total,
-                self.size,
-                "left",
-            )
-            return joined.select(
-                *[
-                    F.col("label").alias(c) if c == self.column else col(c)
-                    for c in df.columns
-                ]
-            )
-        label: Column = F.lit(None).cast("bigint")
-        if self.mapping:
-            pairs = [F.lit(x) for item in self.mapping.items() for x in item]
-            key = F.lower(col(self.column)) if self.any_case else col(self.column)
-            label = F.create_map(*pairs)[key].cast("bigint")
-        return df.withColumn(self.column, label)
-
-
-def _look_at(df: DataFrame, column: str) -> tuple[list[str] | None, int]:
-    """First scale that contains every present value in any case, and an
-    estimate of the number of values, from one pass without a shuffle of values.
-    """
-    aggs = [
-        F.count(col(column)).alias("n"),
-        F.approx_count_distinct(col(column), 0.02).alias("values"),
-    ]
-    if isinstance(df.schema[column].dataType, T.StringType):
-        word = F.lower(col(column))
-        aggs += [
-            F.coalesce(F.bool_and(word.isin(scale)), F.lit(False)).alias(f"s{i}")
-            for i, scale in enumerate(ORDINAL_SCALES)
+        rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("_row"), col(self.column).alias("_value"))
+        table = self.table.select(F.col("value").alias("_value"), F.col("label").alias("_label"), "n")
+        joined = balanced_lookup(rows, table.drop("n"), table, "_value", self.total, self.size, "left")
+        return joined.select(
+            *[
+                F.col("_label").alias(c) if c == self.column else F.col("_row").getField(c).alias(c)
+                for c in df.columns
+            ]
+        )
+
+
+def _given_labels(df: DataFrame, column: str, mapping: dict[Any, Any]) -> Labels:
+    """Labels as the caller gave them: whole numbers, numbers, booleans or texts."""
+    labels = [v for v in mapping.values() if v is not None]
+    label: T.DataType = T.StringType()
+    if labels and all(isinstance(v, bool) for v in labels):
+        label = T.BooleanType()
+    elif all(isinstance(v, int) and not isinstance(v, bool) for v in labels):
+        label = T.LongType()
+    elif all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in labels):
+        label = T.DoubleType()
+    python = {T.StringType: str, T.BooleanType: bool, T.LongType: int, T.DoubleType: float}[type(label)]
+    rows = [(k, None if v is None else python(v), 1) for k, v in mapping.items()]
+    schema = T.StructType(
+        [
+            T.StructField("value", df.schema[column].dataType),
+            T.StructField("label", label),
+            T.StructField("n", T.LongType()),
         ]
-    row = df.agg(*aggs).first().asDict()
-    found = [s for i, s in enumerate(ORDINAL_SCALES) if row["n"] and row.get(f"s{i}")]
-    return (found[0] if found else None), row["values"]
+    )
+    return Labels(column, df.sparkSession.createDataFrame(rows, schema), len(rows), len(rows))
 
 
 def fit_labels(
     df: DataFrame,
     column: str,
-    mapping: dict[Any, int] | str = "auto",
-    max_inline: int = MAX_INLINE_LABELS,
+    mapping: dict[Any, Any] | str = "auto",
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> Labels:
     """Labels from a known scale (from 1), else in text order (from 0).
 
-    A mapping given as a dict is used as it is.
+    A mapping given as a dict is used as it is. All values are counted once;
+    the labels are a table of them, however many there are.
     """
     require(df, [column])
     if mapping != "auto":
-        return Labels(column, dict(mapping), size=len(mapping))
-    scale, estimate = _look_at(df, column)
-    # Values are fetched only if the estimate, off by some percent, allows it.
-    values = _few_categories(df, column, max_inline) if estimate <= 2 * max_inline else None
-    if scale and values is not None:
-        ranks = {v: scale.index(v.lower()) + 1 for v in values}
-        return Labels(column, ranks, size=len(ranks))
-    if scale:
-        ranks = {word: i + 1 for i, word in enumerate(scale)}
-        return Labels(column, ranks, size=len(ranks), any_case=True)
-    if values is not None:
-        ordered = [v for v, _ in sorted(_value_texts(df, column, values), key=lambda p: p[1])]
-        return Labels(column, {v: i for i, v in enumerate(ordered)}, size=len(ordered))
+        return _given_labels(df, column, mapping)
     counts = settle(
         df.where(col(column).isNotNull())
         .groupBy(col(column).alias("value"))
         .agg(F.count("*").alias("n"), F.lit(1).alias("one"))
         .withColumn("text", F.col("value").cast("string"))
     )
-    seen = counts.agg(F.count("*").alias("size"), F.sum("n").alias("total")).first()
-    size = seen["size"]
-    numbered = with_running_total(
-        with_blocks(counts, ["text"], rows_per_block, size), ["text"], "one", "label"
-    )
-    return Labels(column, None, settle(numbered.select("value", "label", "n")), size, seen["total"])
-
-
-def _value_texts(df: DataFrame, column: str, values: list[Any]):
-    """Values with the text Spark prints for them, which gives their order."""
-    if isinstance(df.schema[column].dataType, T.StringType):
-        return [(v, v) for v in values]
-    spark = df.sparkSession
-    schema = T.StructType([T.StructField("v", df.schema[column].dataType)])
-    frame = spark.createDataFrame([(v,) for v in values], schema)
-    return [(r["v"], r["t"]) for r in frame.select("v", F.col("v").cast("string").alias("t")).collect()]
+    aggs = [F.count("*").alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")]
+    text = isinstance(df.schema[column].dataType, T.StringType)
+    word = F.lower("text")
+    if text:
+        aggs += [F.bool_and(word.isin(scale)).alias(f"s{i}") for i, scale in enumerate(ORDINAL_SCALES)]
+    seen = counts.agg(*aggs).first().asDict()
+    scale = next((s for i, s in enumerate(ORDINAL_SCALES) if seen.get(f"s{i}")), None)
+    if scale:
+        label = F.array_position(F.array(*map(F.lit, scale)), word).cast("bigint")
+        table = counts.select("value", label.alias("label"), "n")
+    else:
+        numbered = with_running_total(
+            with_blocks(counts, ["text"], rows_per_block, seen["size"]), ["text"], "one", "label"
+        )
+        table = settle(numbered.select("value", "label", "n"))
+    return Labels(column, table, seen["size"], seen["total"])
 
 
 @dataclass
@@ -245,14 +215,24 @@ class Encoding:
         rows = []
         for step in self.steps:
             if isinstance(step, OneHot):
-                rows.append((step.column, "one_hot", len(step.new_columns), None))
+                names = ",".join(step.new_columns)
+                rows.append((step.column, "one_hot", len(step.new_columns), names, None))
             else:
-                rows.append((step.column, "label", step.size, None))
-        rows += [(c, None, None, e) for c, e in self.errors.items()]
+                rows.append((step.column, "label", step.size, step.column, None))
+        rows += [(c, None, None, None, e) for c, e in self.errors.items()]
         return spark.createDataFrame(
-            rows, "column string, method string, size bigint, error string"
+            rows, "column string, method string, size bigint, new_columns string, error string"
         )
 
+    def mapping_frame(self, spark) -> DataFrame:
+        """The labels of all label-encoded columns: column, value and label as text."""
+        found = spark.createDataFrame([], "column string, value string, label string")
+        for step in self.steps:
+            if isinstance(step, Labels):
+                text = [F.col(c).cast("string").alias(c) for c in ("value", "label")]
+                found = found.union(step.table.select(F.lit(step.column).alias("column"), *text))
+        return found
+
 
 def fit_encoding(df: DataFrame, config: dict[str, dict[str, Any]]) -> Encoding:
     """Encoders per column; unknown columns are skipped, failures recorded."""
@@ -295,17 +275,9 @@ def encoding_preview(df: DataFrame, column: str, method: str = "one_hot") -> Dat
             F.concat(F.lit(column + "_"), F.col("value").cast("string")).alias("result"),
             F.lit(total).cast("bigint").alias("total_values"),
         )
-    labels = fit_labels(df, column)
-    if labels.mapping is not None:
-        rows = sorted(((str(v), i) for v, i in labels.mapping.items()), key=lambda r: (r[1], r[0]))
-        table = df.sparkSession.createDataFrame(
-            rows[:PREVIEW_VALUES] or [], "value string, result bigint"
-        )
-    else:
-        table = labels.table.select("value", F.col("label").alias("result"))
-        table = table.orderBy("result").limit(PREVIEW_VALUES)
-    return table.select(
-        F.col("value").cast("string").alias("value"),
-        F.col("result").cast("string").alias("result"),
-        F.lit(total).cast("bigint").alias("total_values"),
+    table = fit_labels(df, column).table.select(
+        F.col("value").cast("string").alias("value"), F.col("label").alias("result")
+    )
+    return table.orderBy("result", "value").limit(PREVIEW_VALUES).select(
+        "value", F.col("result").cast("string").alias("result"), F.lit(total).cast("bigint").alias("total_values")
     )

@@ -98,7 +98,10 @@ class Preparation:
         )
         table = keep("df_collinear_resolved", table, "related columns resolved")
 
-        table = fit_encoding(table, self.encoding).apply(table)
+        encoding = fit_encoding(table, self.encoding)
+        if encoding.errors:
+            raise ValueError(f"cannot encode: {encoding.errors}")
+        table = encoding.apply(table)
         if self.scaling_method:
             columns = existing(table, self.scaling_columns or numeric_columns(table))
             table = fit_scaling(table, self.scaling_method, columns).apply(table)

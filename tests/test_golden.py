@@ -312,7 +312,7 @@ def test_ordinal_labels(spark):
 def test_labels_follow_text_order(spark):
     df = _column(spark, [2, 10, 1, None], "int")
     assert _values(encoding.fit_labels(df, "x").apply(df)) == [2, 1, 0, None]
-    table = encoding.fit_labels(df, "x", max_inline=1, rows_per_block=1)
+    table = encoding.fit_labels(df, "x", rows_per_block=1)
     found = {r["x"] for r in table.apply(df).collect()}
     assert found == {2, 1, 0, None} and table.table is not None
 
