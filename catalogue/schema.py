@@ -129,6 +129,8 @@ _register_cast(
     "CASE WHEN try_cast(num_text_bad AS DOUBLE) = floor(try_cast(num_text_bad AS DOUBLE))"
     " THEN CAST(try_cast(num_text_bad AS DOUBLE) AS BIGINT) END",
 )
+_register_cast("cast_category", "bool_text", "category", "bool_text")
+_register_cast("cast_free_type", "zip_like", "double", "CAST(zip_like AS DOUBLE)")
 _register_cast("cast_float", "num_text_bad", "float64", "try_cast(num_text_bad AS DOUBLE)")
 
 
@@ -179,3 +181,20 @@ def type_distribution(spark, sf_dir):
 )
 def sample_values(spark, sf_dir):
     return rounded(schema.sample_values(table(spark, sf_dir, "events"), "user_id"))
+
+
+_LAYOUTS = [
+    "dd.MM.yyyy", "MMM d, yyyy", "d MMMM yyyy", "dd-MMM-yyyy", "yyyyMMdd", "MM/dd/yyyy hh:mm a", "MMMM d, yyyy HH:mm",
+    "yyyy/MM/dd",
+]
+
+
+@query(
+    "cast_datetime_layouts",
+    "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day FROM orders",
+)
+def cast_datetime_layouts(spark, sf_dir):
+    texts = [f"WHEN {k} THEN date_format(day, '{layout}')" for k, layout in enumerate(_LAYOUTS)]
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CAST(o_orderdate AS DATE) AS day")
+    rows = orders.selectExpr("o_orderkey", f"CASE o_orderkey % {len(_LAYOUTS)} {' '.join(texts)} END AS day")
+    return schema.apply_schema_overrides(rows, {"day": "datetime"})

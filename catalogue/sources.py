@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from catalogue.registry import cte, derived, query, rounded, table
+from grainmill.operators.schema import apply_schema_overrides
 from grainmill.session import new_folder
 from grainmill.sources import files
-from grainmill.sources.report import prep_report
+from grainmill.sources.report import as_markdown, prep_report
 from grainmill.sources.snapshots import SnapshotStore, compare_tables, fingerprint, row_diff
 
 ALL_ORDERS = "SELECT * FROM orders"
@@ -29,7 +30,35 @@ def ingest_csv(spark, sf_dir):
     marked = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")).otherwise("N/A")
     path = f"{new_folder(spark, 'ingest')}/orders.csv"
     orders.withColumn("o_orderpriority", marked).write.option("header", True).option("sep", ";").csv(path)
-    return files.read_table(spark, path)
+    return apply_schema_overrides(files.read_table(spark, path), {"o_orderdate": "datetime"})
+
+
+@query(
+    "ingest_csv_words",
+    """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS answer, o_orderkey % 3 = 0 AS flag,
+       strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(9000000000000000000 + o_custkey AS BIGINT) AS long_number
+FROM orders""",
+)
+def ingest_csv_words(spark, sf_dir):
+    # Only numbers, true and false change their type; 19 digits keep all of them.
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "IF(o_orderkey % 2 = 0, 'yes', 'no') AS answer", "o_orderkey % 3 = 0 AS flag",
+        "date_format(o_orderdate, 'yyyy-MM-dd') AS day", "9000000000000000000 + o_custkey AS long_number",
+    )
+    return files.read_csv(spark, _written(spark, orders, "words.csv"))
+
+
+@query("ingest_json_array", "SELECT conv_id, turn, role, text FROM conversations")
+def ingest_json_array(spark, sf_dir):
+    # One array of records a file, as other tools write it; a file for each part of the table.
+    turns = table(spark, sf_dir, "conversations")
+    record = F.to_json(F.struct(*turns.columns))
+    whole = turns.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(8)).alias("part"))
+    arrays = whole.agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list(record)), F.lit("]")).alias("value"))
+    path = f"{new_folder(spark, 'ingest')}/turns.json"
+    arrays.select("value").repartition(8).write.text(path)
+    return files.read_json(spark, path, schema=turns.schema)
 
 
 @query("ingest_parquet", "SELECT * FROM lineitem")
@@ -49,15 +78,15 @@ def ingest_json(spark, sf_dir):
 
 @query(
     "ingest_encoding",
-    "SELECT doc_id, text, source FROM documents",
+    "SELECT doc_id, text, lang, source, n_chars FROM documents",
 )
 def ingest_encoding(spark, sf_dir):
     # Accented letters in Latin-1 are not valid UTF-8, which tells them apart.
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents")
     path = f"{new_folder(spark, 'ingest')}/documents.csv"
     writer = docs.write.option("header", True).option("encoding", files.FALLBACK)
     writer.option("sep", ";").option("escape", '"').csv(path)
-    return files.read_csv(spark, path, delimiter=";", types={"doc_id": "int64"})
+    return files.read_csv(spark, path, delimiter=";", types={"doc_id": "int64", "n_chars": "int64"}, multiline=True)
 
 
 _DELIMITERS = {",": "','", ";": "';'", "\t": "chr(9)", "|": "'|'"}
@@ -103,7 +132,7 @@ def ingest_metadata(spark, sf_dir):
 def export_roundtrip_csv(spark, sf_dir):
     # Raw web pages hold commas, quotes and line breaks.
     path = _written(spark, table(spark, sf_dir, "pages"), "pages.csv")
-    return files.read_csv(spark, path, delimiter=",", types={"page_id": "int64"})
+    return files.read_csv(spark, path, delimiter=",", types={"page_id": "int64"}, multiline=True)
 
 
 @query("export_roundtrip_parquet", ALL_ORDERS)
@@ -210,7 +239,7 @@ def snapshot_current(spark, sf_dir):
     + """
 SELECT 'trial' AS branch, CAST(0 AS BIGINT) AS seq, 'df_raw' AS id, CAST(NULL AS VARCHAR) AS parent,
        CAST(count(*) AS BIGINT) AS row_count, CAST(3 AS INT) AS col_count, '{}' AS config_snapshot,
-       'Forked from main::df_raw' AS delta_summary, 'main' AS from_branch, 'df_raw' AS from_state FROM state_before
+       'branched off df_raw of main' AS delta_summary, 'main' AS from_branch, 'df_raw' AS from_state FROM state_before
 UNION ALL SELECT 'trial', 1, 'df_final', 'df_raw', CAST(count(*) AS BIGINT), 2, '{}', 'column dropped', NULL, NULL
 FROM state_before""",
 )
@@ -277,7 +306,18 @@ def snapshot_row_diff(spark, sf_dir):
     return row_diff(store.load("df_raw"), store.load("df_final"))
 
 
-@query("fingerprint")
+def _number_text(c: str) -> str:
+    return f"coalesce(printf('%.14e', {c}), '-')"
+
+
+@query(
+    "fingerprint",
+    "SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(sum(CAST('0x' || left(md5(concat_ws('|', "
+    + "l_orderkey, l_partkey, l_suppkey, l_linenumber, "
+    + ", ".join(_number_text(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    + ", l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'))), 15) AS BIGINT)::HUGEINT) AS VARCHAR)"
+    + " AS row_hash_sum FROM lineitem",
+)
 def fingerprint_lines(spark, sf_dir):
     return fingerprint(table(spark, sf_dir, "lineitem"))
 
@@ -287,3 +327,42 @@ def snapshot_export(spark, sf_dir):
     folder = new_folder(spark, "export")
     _two_states(spark, sf_dir).export(folder)
     return rounded(spark.read.parquet(f"{folder}/df_raw"), 9)
+
+
+@query(
+    "snapshot_export_manifest",
+    cte("state_before", "state_after")
+    + """
+SELECT 'main' AS branch, CAST(0 AS BIGINT) AS seq, 'df_raw' AS id, CAST(count(*) AS BIGINT) AS row_count,
+       '{"cap": 150}' AS config FROM state_before
+UNION ALL SELECT 'main', 1, 'df_final', CAST(count(*) AS BIGINT), '{"cap": 150}' FROM state_after
+UNION ALL SELECT 'trial', 0, 'df_raw', CAST(count(*) AS BIGINT), '{"cap": 150}' FROM state_before
+UNION ALL SELECT 'trial', 1, 'df_final', CAST(count(*) AS BIGINT), '{"cap": 150}' FROM state_before""",
+)
+def snapshot_export_manifest(spark, sf_dir):
+    folder = new_folder(spark, "export")
+    _two_states(spark, sf_dir).export(folder)
+    manifest = spark.read.json(f"{folder}/manifest").select("branch", "seq", "id", "row_count")
+    # One row of configuration, read back beside the manifest.
+    config = spark.read.text(f"{folder}/config").first()["value"]
+    return manifest.withColumn("config", F.lit(config))
+
+
+@query(
+    "report_text",
+    """
+SELECT line FROM (SELECT unnest(['# Data preparation report', '## Summary', '- rows: ' || count(*), '- columns: 4',
+  '## Types', '- p_size type: int', '- p_retailprice type: double', '- p_brand type: string', '- p_type type: string',
+  '## Numeric',
+  '- p_size mean: ' || printf('%.2f', avg(p_size)), '- p_size std: ' || printf('%.2f', stddev_samp(p_size)),
+  '- p_size min: ' || printf('%.2f', min(p_size)::DOUBLE), '- p_size max: ' || printf('%.2f', max(p_size)::DOUBLE),
+  '- p_size median: ' || printf('%.2f', median(p_size)),
+  '- p_retailprice mean: ' || printf('%.2f', avg(p_retailprice)),
+  '- p_retailprice std: ' || printf('%.2f', stddev_samp(p_retailprice)),
+  '- p_retailprice min: ' || printf('%.2f', min(p_retailprice)), '- p_retailprice max: ' || printf('%.2f', max(p_retailprice)),
+  '- p_retailprice median: ' || printf('%.2f', median(p_retailprice))]) AS line FROM part)""",
+)
+def report_text(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_size", "p_retailprice", "p_brand", "p_type")
+    lines = [line for line in as_markdown(prep_report(parts)).split("\n") if line]
+    return spark.createDataFrame([(line,) for line in lines], "line string")

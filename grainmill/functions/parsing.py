@@ -19,12 +19,28 @@ FALSE_WORDS = [pair[1] for pair in BOOLEAN_PAIRS]
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 ISO_DATE_PATTERN = r"^\s*\d{4}(-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{2}.*)?)?)?\s*$"
-# Layouts tried after ISO 8601.
-SLASH_LAYOUTS = {
-    r"^\s*\d{4}/\d{1,2}/\d{1,2}\s*$": "y/M/d",
-    r"^\s*\d{1,2}/\d{1,2}/\d{4}\s*$": "M/d/y",
-    r"^\s*\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}\s*$": "M/d/y H:m:s",
+# Layouts tried after ISO 8601: dates, each alone or with one of the times.
+DATE_LAYOUTS = {
+    r"\d{4}/\d{1,2}/\d{1,2}": "y/M/d",
+    r"\d{1,2}/\d{1,2}/\d{4}": "M/d/y",
+    r"\d{1,2}\.\d{1,2}\.\d{4}": "d.M.y",
+    r"\d{1,2}-\d{1,2}-\d{4}": "M-d-y",
+    r"(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])": "yyyyMMdd",
+    r"[A-Z][a-z]{2} \d{1,2}, \d{4}": "MMM d, y",
+    r"[A-Z][a-z]{3,} \d{1,2}, \d{4}": "MMMM d, y",
+    r"\d{1,2} [A-Z][a-z]{2} \d{4}": "d MMM y",
+    r"\d{1,2} [A-Z][a-z]{3,} \d{4}": "d MMMM y",
+    r"\d{1,2}-[A-Z][a-z]{2}-\d{4}": "d-MMM-y",
 }
+TIME_LAYOUTS = {
+    "": "",
+    r" \d{1,2}:\d{2}": " H:m",
+    r" \d{1,2}:\d{2}:\d{2}": " H:m:s",
+    r" \d{1,2}:\d{2} [AP]M": " h:m a",
+    r" \d{1,2}:\d{2}:\d{2} [AP]M": " h:m:s a",
+}
+# Month first and day first look alike above; day first where the month would be above 12.
+DAY_FIRST = {"M/d/y": "d/M/y", "M-d-y": "d-M-y"}
 
 
 def to_number(c: Column) -> Column:
@@ -36,11 +52,15 @@ def to_datetime(c: Column) -> Column:
     """Text as a timestamp without zone, NULL where no known layout fits."""
     text = F.trim(c)
     parsed = F.when(c.rlike(ISO_DATE_PATTERN), text.try_cast("timestamp_ntz"))
-    for pattern, layout in SLASH_LAYOUTS.items():
-        parsed = parsed.when(
-            c.rlike(pattern),
-            F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz"),
-        )
+    for date_pattern, date in DATE_LAYOUTS.items():
+        found = None
+        for time_pattern, time in TIME_LAYOUTS.items():
+            layouts = [date + time] + ([DAY_FIRST[date] + time] if date in DAY_FIRST else [])
+            value = F.coalesce(*[F.try_to_timestamp(text, F.lit(x)) for x in layouts])
+            fits = c.rlike(rf"^\s*{date_pattern}{time_pattern}\s*$")
+            found = F.when(fits, value) if found is None else found.when(fits, value)
+        # One test by the date before those with each time.
+        parsed = parsed.when(c.rlike(rf"^\s*{date_pattern}"), found.cast("timestamp_ntz"))
     return parsed
 
 

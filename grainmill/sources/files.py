@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from grainmill.functions.columns import col, missing_as_null, string_columns, tidy
 from grainmill.operators.schema import (
     apply_schema_overrides,
-    is_boolean_text,
-    is_datetime_text,
     is_number_text,
 )
 
@@ -67,20 +65,24 @@ def delimiter_counts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _head(spark: SparkSession, path: str) -> str:
+def _head(spark: SparkSession, path: str, size: int) -> str:
     """The first characters of the first non-empty file at the path."""
     files = spark.read.format("binaryFile").load(path).where("length > 0")
     first = files.select("path").orderBy("path").first()
     if first is None:
         return ""
     lines = spark.read.text(first["path"])
-    rows = lines.select(F.substring("value", 1, HEAD_CHARACTERS)).limit(HEAD_CHARACTERS).collect()
-    return "\n".join(r[0] for r in rows)[:HEAD_CHARACTERS]
+    rows = lines.select(F.substring("value", 1, size)).limit(size).collect()
+    return "\n".join(r[0] for r in rows)[:size]
 
 
-def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """Delimiter with most occurrences in the head; a comma if there is none."""
-    return max(DELIMITERS, key=_head(spark, path).count)
+def detect_delimiter(spark: SparkSession, path: str, head_characters: int = HEAD_CHARACTERS) -> str:
+    """Delimiter with most occurrences in the head; a comma if there is none.
+
+    The head is the first ``head_characters`` of the first file that is not
+    empty, also of a folder of files: all are taken to have one layout.
+    """
+    return max(DELIMITERS, key=_head(spark, path, head_characters).count)
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -102,7 +104,10 @@ def _tokens_to_null(df: DataFrame) -> DataFrame:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Cast text columns to the type that all their values have."""
+    """Cast text columns that hold only numbers, or only true and false.
+
+    Dates and other words stay text; ``detect_schema`` suggests types for them.
+    """
     found = {
         r["column"]: r["inferred_type"]
         for r in _type_tests(df).collect()
@@ -115,12 +120,11 @@ def _type_tests(df: DataFrame) -> DataFrame:
     texts = string_columns(df)
     aggs = []
     for i, c in enumerate(texts):
-        whole = col(c).rlike(r"^\s*[+-]?\d{1,18}\s*$")
+        whole = col(c).rlike(r"^\s*[+-]?\d+\s*$") & F.trim(col(c)).try_cast("bigint").isNotNull()
         aggs += [
             ((F.count(col(c)) > 0) & (F.count_if(whole) == F.count(col(c)))).alias(f"int{i}"),
             is_number_text(col(c)).alias(f"num{i}"),
-            is_datetime_text(col(c)).alias(f"date{i}"),
-            is_boolean_text(col(c)).alias(f"bool{i}"),
+            F.bool_and(F.lower(col(c)).isin("true", "false")).alias(f"bool{i}"),
         ]
     return tidy(
         df.agg(*aggs),
@@ -129,7 +133,6 @@ def _type_tests(df: DataFrame) -> DataFrame:
                 "column": F.lit(c),
                 "inferred_type": F.when(F.col(f"int{i}"), "int64")
                 .when(F.col(f"num{i}"), "float64")
-                .when(F.col(f"date{i}"), "datetime")
                 .when(F.col(f"bool{i}"), "boolean"),
             }
             for i, c in enumerate(texts)
@@ -144,13 +147,13 @@ def read_csv(
     encoding: str | None = None,
     types: dict[str, str] | None = None,
     infer: bool = True,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """CSV with a header line; delimiter and encoding are detected if not given.
 
-    Values may contain line breaks. For large files without such values, pass
-    ``multiline=False``, which lets Spark split the files, and ``types``, which
-    saves the pass that infers them.
+    Files are split. If values contain line breaks, pass ``multiline=True``;
+    each file is then read by one task. ``types`` saves the pass that infers
+    them, ``delimiter`` and ``encoding`` those that detect them.
     """
     delimiter = delimiter or detect_delimiter(spark, path)
     encoding = encoding or detect_encoding(spark, path)

@@ -11,19 +11,14 @@ from pyspark.sql import functions as F
 from grainmill.functions.columns import col, numeric_columns
 from grainmill.plans.quantiles import quantiles
 
-# How much of a wide table and of a long configuration is shown.
-TYPE_COLUMNS = 20
-NUMERIC_COLUMNS = 10
-CONFIG_CHARACTERS = 2000
-
 
 def prep_report(df: DataFrame, config: dict[str, Any] | None = None) -> DataFrame:
     """Long form: section, position, column, metric and value as text.
 
-    Size, column types, missing counts and shares, and statistics of the first
-    numeric columns at two decimals.
+    Size, column types, missing counts and shares, statistics of the numeric
+    columns at two decimals, and the configuration.
     """
-    numbers = numeric_columns(df)[:NUMERIC_COLUMNS]
+    numbers = numeric_columns(df)
     medians = quantiles(df, {c: [0.5] for c in numbers})
     aggs = [F.count("*").alias("rows")]
     aggs += [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
@@ -47,10 +42,8 @@ def prep_report(df: DataFrame, config: dict[str, Any] | None = None) -> DataFram
     ]
     lines += [
         ("types", f.name, "type", f.dataType.simpleString())
-        for f in df.schema.fields[:TYPE_COLUMNS]
+        for f in df.schema.fields
     ]
-    if len(df.columns) > TYPE_COLUMNS:
-        lines.append(("types", None, "more_columns", str(len(df.columns) - TYPE_COLUMNS)))
     for i, c in enumerate(df.columns):
         missing = total - row[f"n{i}"]
         if missing:
@@ -60,9 +53,7 @@ def prep_report(df: DataFrame, config: dict[str, Any] | None = None) -> DataFram
         lines += [("numeric", c, m, shown(row[f"{m}{i}"])) for m in ("mean", "std", "min", "max")]
         lines.append(("numeric", c, "median", shown(medians[c][0])))
     if config is not None:
-        text = json.dumps(config, indent=2, default=str)
-        cut = text[:CONFIG_CHARACTERS] + ("..." if len(text) > CONFIG_CHARACTERS else "")
-        lines.append(("config", None, "json", cut))
+        lines.append(("config", None, "json", json.dumps(config, indent=2, default=str)))
     return df.sparkSession.createDataFrame(
         lines, "section string, column string, metric string, value string"
     )

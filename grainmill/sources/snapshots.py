@@ -7,6 +7,7 @@ it holds one row per commit. A store has one writer at a time.
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
 from typing import Any
 
@@ -55,9 +56,23 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(*_fingerprint_aggregates(df))
 
 
+def canonical_text(df: DataFrame, name: str) -> Column:
+    """A value as text that does not depend on the engine: fractions at 15 digits."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.format_string("%.14e", col(name).cast("double"))
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(col(name), "yyyy-MM-dd HH:mm:ss")
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.BinaryType)):
+        return F.hex(F.xxhash64(col(name)))
+    return col(name).cast("string")
+
+
 def _fingerprint_aggregates(df: DataFrame) -> list[Column]:
-    hashed = [c for c, t in df.dtypes if "map<" not in t]
-    total = F.sum(F.xxhash64(*[col(c) for c in hashed]).cast("decimal(38,0)"))
+    # The first 15 hex digits of the md5 of the row's values as text, which any engine can make.
+    texts = [F.coalesce(canonical_text(df, c), F.lit("-")) for c, t in df.dtypes if "map<" not in t]
+    digits = F.substring(F.md5(F.concat_ws("|", *texts)), 1, 15)
+    total = F.sum(F.conv(digits, 16, 10).cast("decimal(38,0)"))
     return [
         F.count("*").alias("row_count"),
         F.coalesce(total, F.lit(0)).cast("string").alias("row_hash_sum"),
@@ -122,7 +137,8 @@ class SnapshotStore:
         if last is None and branch != MAIN:
             raise StateNotFoundError(f"no branch {branch!r}")
         seq = last["seq"] + 1 if last else 0
-        path = f"{self.root}/data/{branch}/{seq:06d}_{state_id}"
+        # A folder of a commit that failed is in no manifest row and is never met again.
+        path = f"{self.root}/data/{branch}/{seq:06d}_{state_id}_{uuid.uuid4().hex[:12]}"
         # Counted and hashed while it is written: the table is computed once.
         seen = Observation()
         df.observe(seen, *_fingerprint_aggregates(df)).write.parquet(path)
@@ -173,7 +189,7 @@ class SnapshotStore:
                 origin["row_count"],
                 origin["col_count"],
                 origin["config_snapshot"],
-                f"Forked from {source}::{fork_from}",
+                f"branched off {fork_from} of {source}",
                 origin["path"],
                 (source, fork_from),
             )
