@@ -191,3 +191,35 @@ def compare_distributions(spark, sf_dir):
 )
 def numeric_summary(spark, sf_dir):
     return rounded(distribution.numeric_summary(derived(spark, sf_dir, "dirty_events")), 4)
+
+
+WIDE = [f"w{k}" for k in range(1, 28)]
+
+
+@query(
+    "histogram_multi_wide",
+    cte("wide_lines") + "\n" + " UNION ALL ".join(_histogram_sql("wide_lines", c, 30, f"'{c}' AS \"column\",") for c in WIDE),
+)
+def histogram_multi_wide(spark, sf_dir):
+    return rounded(distribution.histogram_multi(derived(spark, sf_dir, "wide_lines")))
+
+
+@query(
+    "boxplot_points",
+    """
+WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)
+SELECT event_id, value FROM events, q WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)""",
+)
+def boxplot_points(spark, sf_dir):
+    return distribution.boxplot_points(table(spark, sf_dir, "events"), "value").select("event_id", "value")
+
+
+@query(
+    "category_bars",
+    """
+SELECT 'o_orderstatus' AS "column", o_orderstatus AS value, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 2
+UNION ALL SELECT 'o_orderpriority', o_orderpriority, CAST(count(*) AS BIGINT) FROM orders GROUP BY 2""",
+)
+def category_bars(spark, sf_dir):
+    bars = distribution.category_bars(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+    return bars.select("column", "value", "n")

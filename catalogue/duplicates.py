@@ -190,3 +190,22 @@ def similar_numbers(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     similar = similarity.similar_numbers(F.col("l_discount"), F.col("l_tax"), 0.05)
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", similar.alias("similar"))
+
+
+@query(
+    "near_dup_default",
+    f"""
+SELECT previous_o_orderkey, o_orderkey FROM (
+  SELECT lag(o_orderkey) OVER w AS previous_o_orderkey, o_orderkey,
+         o_orderstatus AS s, lag(o_orderstatus) OVER w AS ps, o_orderpriority AS p, lag(o_orderpriority) OVER w AS pp,
+         o_orderkey % 2 AS x, lag(o_orderkey % 2) OVER w AS px, o_custkey % 4 AS y, lag(o_custkey % 4) OVER w AS py
+  FROM orders WINDOW w AS (ORDER BY o_orderkey))
+WHERE previous_o_orderkey IS NOT NULL AND s = ps AND p = pp AND y = py""",
+)
+def near_dup_default(spark, sf_dir):
+    # Four text columns; the rows of a pair agree in the first three more often than in the fourth.
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", "'same' AS constant",
+        "element_at(array('abcd', 'efgh', 'ijkl', 'mnop'), int(o_custkey % 4) + 1) AS fourth",
+    )
+    return near_duplicates(orders, ["o_orderkey"])

@@ -135,7 +135,13 @@ def missing_cooccurrence(spark, sf_dir):
     return missing.missing_cooccurrence(derived(spark, sf_dir, "dirty_events"))
 
 
-@query("missing_matrix")
+@query(
+    "missing_matrix",
+    cte("dirty_events")
+    + "\nSELECT "
+    + ", ".join(f"CAST({c} IS NULL AS INTEGER) AS {c}" for c in COLUMNS)
+    + " FROM dirty_events ORDER BY md5('42|' || event_id), event_id LIMIT 100",
+)
 def missing_matrix(spark, sf_dir):
     return missing.missing_matrix(derived(spark, sf_dir, "dirty_events"), ["event_id"])
 

@@ -54,10 +54,12 @@ DERIVED = {
                l_extendedprice * 2 + 10 AS exact_copy,
                CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS binary_col
         FROM {lineitem}""",
-    # All values inside one ordinal scale.
+    # All values inside one ordinal scale, in different cases.
     "ordinal_part": """
-        SELECT p_partkey, CASE WHEN p_partkey % 40 = 0 THEN NULL ELSE p_type END AS size_label
-        FROM {part} WHERE p_type IN ('SMALL', 'MEDIUM', 'LARGE')""",
+        SELECT p_partkey,
+               CASE WHEN p_partkey % 40 = 0 THEN NULL WHEN p_size < 10 THEN 'SMALL' WHEN p_size < 20 THEN 'Small'
+                    WHEN p_size < 35 THEN 'medium' ELSE 'LARGE' END AS size_label
+        FROM {part}""",
     # Violations, missing operands, a rule between columns.
     "rule_lineitem": """
         SELECT l_orderkey, l_linenumber,
@@ -65,6 +67,10 @@ DERIVED = {
                     ELSE l_quantity END AS l_quantity,
                l_discount, l_tax, l_returnflag
         FROM {lineitem}""",
+    # More numeric columns than any screen shows.
+    "wide_lines": "SELECT "
+    + ", ".join(f"l_quantity * {k} + l_discount * {29 - k} + l_tax * {k * k % 7} AS w{k}" for k in range(1, 28))
+    + " FROM {lineitem}",
     # Two versions of one table.
     "state_before": "SELECT event_id, event_type, value FROM {events}",
     "state_after": """

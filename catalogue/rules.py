@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalogue.registry import cte, derived, query
+from catalogue.registry import cte, derived, query, table
 from grainmill.operators import rules
 from grainmill.operators.rules import Rule
 
@@ -175,3 +175,16 @@ def constraint_resolution_stats(spark, sf_dir):
     return rules.constraint_resolution_stats(
         _lines(spark, sf_dir), [RULES[0], RULES[2], RULES[3]], actions
     )
+
+
+@query(
+    "constraint_big_text",
+    """
+SELECT CAST(1 AS BIGINT) AS rule_no, CAST(count(*) FILTER (NOT key = 9007199254740993) AS BIGINT) AS violation_count
+FROM (SELECT CAST(9007199254740992 + l_orderkey % 3 AS BIGINT) AS key FROM lineitem)""",
+)
+def constraint_big_text(spark, sf_dir):
+    # A constant beyond the whole numbers of a double, given as text.
+    keys = table(spark, sf_dir, "lineitem").selectExpr("9007199254740992 + l_orderkey % 3 AS key")
+    checked = rules.validate_constraints(keys, [rules.Rule("key", "==", "9007199254740993")])
+    return checked.select("rule_no", "violation_count")

@@ -279,7 +279,7 @@ def null_pattern_counts(df: DataFrame, columns: list[str] | None = None) -> Data
 def missing_matrix(df: DataFrame, key: list[str], max_rows: int = 100, seed: int = 42) -> DataFrame:
     """A repeatable sample of rows with 1 where a cell is missing, else 0."""
     require(df, key)
-    mark = F.xxhash64(F.lit(seed), *[col(c) for c in key])
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(c).cast("string") for c in key]))
     return (
         df.orderBy(mark, *[col(c) for c in key])
         .limit(max_rows)

@@ -13,8 +13,6 @@ from grainmill.functions.similarity import (
 )
 from grainmill.plans.ordering import ROWS_PER_BLOCK, split_points, with_previous
 
-DEFAULT_COLUMNS = 3
-
 
 def near_duplicates(
     df: DataFrame,
@@ -28,8 +26,8 @@ def near_duplicates(
 ) -> DataFrame:
     """Pairs of neighbouring rows that are similar in all compared columns.
 
-    ``texts`` and ``numbers`` are the columns to compare, by default the first
-    three of each kind. Neighbours follow ``order_by``, which must name a
+    ``texts`` and ``numbers`` are the columns to compare, by default all
+    text and all numeric columns but the key. Neighbours follow ``order_by``, which must name a
     unique key; with ``block_by`` both rows must also agree in those columns,
     and rows are ordered by them first. Result: the order columns of the
     earlier row with the prefix ``previous_`` and those of the later row.
@@ -40,9 +38,9 @@ def near_duplicates(
     if not 0 <= string_threshold <= 1:
         raise ValueError("string_threshold must be between 0 and 1")
     if texts is None:
-        texts = string_columns(df)[:DEFAULT_COLUMNS]
+        texts = [c for c in string_columns(df) if c not in order_by]
     if numbers is None:
-        numbers = numeric_columns(df)[:DEFAULT_COLUMNS]
+        numbers = [c for c in numeric_columns(df) if c not in order_by]
     if not texts and not numbers:
         raise ValueError("no column to compare")
     blocks = list(block_by or [])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -53,13 +55,19 @@ class RuleError(ValueError):
 def _constant(value: Any, dtype: T.DataType) -> Column:
     """The constant in the type of the column it is compared with."""
     if isinstance(dtype, T.NumericType):
-        try:
-            number = float(value)
-        except (TypeError, ValueError):
-            raise RuleError(f"not a number: {value!r}") from None
         if isinstance(value, (int, float)):
             return F.lit(value)
-        return F.lit(int(number)) if number.is_integer() else F.lit(number)
+        text = str(value).strip()
+        try:
+            float(text)
+        except ValueError:
+            raise RuleError(f"not a number: {value!r}") from None
+        # Whole numbers and plain decimals keep all their digits.
+        if re.fullmatch(r"[+-]?\d{1,18}", text):
+            return F.lit(int(text))
+        if re.fullmatch(r"[+-]?\d+(\.\d*)?", text) and len(text) <= 38:
+            return F.lit(Decimal(text))
+        return F.lit(float(text))
     if isinstance(dtype, T.StringType):
         return F.lit(str(value))
     if isinstance(dtype, DATETIME_TYPES):
@@ -84,6 +92,8 @@ def violation(df: DataFrame, rule: Rule) -> Column:
     elif rule.op == "in":
         if not isinstance(rule.value, (list, tuple, set)):
             raise RuleError("'in' needs a list of values")
+        if any(v is None for v in rule.value):
+            raise RuleError("a missing value cannot be in the list of 'in'")
         met, if_missing = c.isin(*[_constant(v, dtype) for v in rule.value]), False
     elif rule.op in COMPARISONS:
         if rule.other is not None:

@@ -171,19 +171,19 @@ def with_previous(
     rest = [c for c in carried if c not in order_by]
     if points:
         number = block_number(df, order_by, points, mark_first=True)
-        own = F.struct(F.abs("_number").alias("block"), F.lit(False).alias("tail"))
-        before = F.struct((-F.col("_number") - 1).alias("block"), F.lit(True).alias("tail"))
+        own = F.struct(F.abs("_number").alias("_blk"), F.lit(False).alias("_tail"))
+        before = F.struct((-F.col("_number") - 1).alias("_blk"), F.lit(True).alias("_tail"))
         places = F.when(F.col("_number") < 0, F.array(before, own)).otherwise(F.array(own))
         placed = df.withColumn("_number", number).withColumn("_place", F.explode(places))
-        placed = placed.select("*", "_place.block", "_place.tail").drop("_number", "_place")
+        placed = placed.select("*", "_place._blk", "_place._tail").drop("_number", "_place")
     else:
-        placed = df.withColumns({"block": F.lit(0), "tail": F.lit(False)})
+        placed = df.withColumns({"_blk": F.lit(0), "_tail": F.lit(False)})
     # Rows with equal keys are told apart by what they carry.
-    ordered = Window.partitionBy("block").orderBy(*_in_order([*order_by, *rest]))
-    payload = F.struct(*[col(c) for c in carried], "tail")
+    ordered = Window.partitionBy("_blk").orderBy(*_in_order([*order_by, *rest]))
+    payload = F.struct(*[col(c) for c in carried], "_tail")
     return (
         placed.withColumn(output, F.lag(payload).over(ordered))
-        .where(~F.col("tail") | ~F.coalesce(F.col(output)["tail"], F.lit(False)))
-        .where(F.col("tail") | F.col(output).isNotNull() | (F.col("block") == 0))
-        .drop("block", "tail")
+        .where(~F.col("_tail") | ~F.coalesce(F.col(output)["_tail"], F.lit(False)))
+        .where(F.col("_tail") | F.col(output).isNotNull() | (F.col("_blk") == 0))
+        .drop("_blk", "_tail")
     )
