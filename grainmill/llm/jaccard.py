@@ -14,12 +14,14 @@ The boundary is the size up to which the subsets cost less than the lists: a
 list costs a set its posting and the postings it meets there, known from the
 counters.
 
-Lists are joined in two steps, so that a large group of near copies does not
-make all its pairs. First each list links neighbours by size; links that hold
-contract the classes into components. Then lists with two or more components
-are joined with themselves, for pairs of classes in different components only;
-these are all the pairs that can still change the result. Each candidate pair
-is verified on whole sets.
+Two steps keep a large group of near copies from making all its pairs. In a few
+rounds, each class is compared with a neighbour or two from its lists, in a new
+order each time; links that hold contract the classes into components. Then
+lists with two or more components are joined with themselves, for pairs in
+different components only; these are all the pairs that can still change the
+result. An odd sketch (parities of hashed tokens, whose difference is at most
+that of the sets) rules pairs out early; every other pair is verified on whole
+sets.
 
 Missing and empty texts, and those without words, have no shingle and link with
 nothing. Fewer words than a shingle make one shingle of all. Repeated rows are
@@ -31,7 +33,7 @@ with a probability of 3 %.
 
 from __future__ import annotations
 
-import itertools
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,15 +45,19 @@ from pyspark.sql.functions import pandas_udf
 
 from grainmill.llm.common import join_unique
 from grainmill.llm.graph import components
-from grainmill.session import Scratch, settle
+from grainmill.session import Scratch, release, settle
 
 SHINGLE = 5
 PERCENT = 80
 COUNTERS = 1 << 20
 SLICES = 64
-VISIT = 0.2
+# What meeting a posting on a list costs, next to shipping one.
+VISIT = 0.05
+ROUNDS = 3
+SKETCH = 16
 MAX_SALTED = 100_000
 BROADCAST_ROWS = 2_000_000
+SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH)]
 
 # Odd multipliers of the positions in a shingle, and of the final mixing.
 FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]
@@ -87,8 +93,15 @@ def _percent_of(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of tokens at 64 x SKETCH places."""
+    places = (tokens >> np.uint64(7)) % np.uint64(64 * SKETCH)
+    odd = np.bincount(places.astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _scan(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of documents (doc_id, n, class) and of counters (slice, counts), in one pass."""
+    """Rows of documents (doc_id, n, class, s0...) and of counters (slice, counts), in one pass."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shift = np.uint64(64 - COUNTERS.bit_length() + 1)
     width = COUNTERS // SLICES
@@ -97,28 +110,34 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
         counts = np.zeros(COUNTERS, np.uint32)
         worker = 0
         for batch in batches:
-            sizes, prints, found = [], [], [np.zeros(0, np.int64)]
+            sizes, prints, found, sketches = [], [], [np.zeros(0, np.int64)], []
             for text in batch["text"]:
                 tokens = shingles(text, size)
                 sizes.append(len(tokens))
                 prints.append(_fingerprint(tokens))
                 found.append((tokens >> shift).astype(np.int64))
+                sketches.append(_sketch(tokens))
+            sketches = np.array(sketches, np.int64).reshape(-1, SKETCH)
             found = np.concatenate(found)
             counts += np.bincount(found, minlength=COUNTERS).astype(np.uint32)
             if prints:
                 worker = prints[0] & 0xFFFF
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "n": sizes, "class": prints, "slice": None, "part": None, "counts": None}
+                | {name: sketches[:, k] for k, name in enumerate(SKETCH_COLUMNS)}
             )
         parts = counts.reshape(SLICES, width)
         used = [k for k in range(SLICES) if parts[k].any()]
         yield pd.DataFrame(
             {"doc_id": None, "n": None, "class": None, "slice": used, "part": worker,
              "counts": [parts[k].tobytes() for k in used]}
+            | dict.fromkeys(SKETCH_COLUMNS)
         )
 
     return docs.select("doc_id", "text").mapInPandas(
-        scan, f"doc_id {kind}, n long, class long, slice int, part int, counts binary"
+        scan,
+        f"doc_id {kind}, n long, class long, slice int, part int, counts binary, "
+        + ", ".join(f"{c} long" for c in SKETCH_COLUMNS),
     )
 
 
@@ -218,23 +237,16 @@ def _possible(percent: int) -> Column:
     return (100 + percent) * overlap >= percent * (F.col("n") + F.col("other_n"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b of classes whose sets link."""
-
-    @pandas_udf("boolean")
-    def link(left: pd.Series, right: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> bool:
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            at = np.searchsorted(x, y)
-            at[at == len(x)] = 0
-            common = int((x[at] == y).sum())
-            return 100 * common >= percent * (len(x) + len(y) - common)
+def _alike(percent: int) -> Column:
+    """Whether the sketches leave it open that the sets link."""
+    differ = functools.reduce(
+        Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in SKETCH_COLUMNS]
+    )
+    return (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("other_n"))
 
-        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype=bool)
 
-    left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("right"))
-    return pairs.join(left, "a").join(right, "b").where(link("left", "right")).select("a", "b")
+def _other(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return rows.select([F.col(c).alias(c if c in keep else f"other_{c}") for c in rows.columns])
 
 
 def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int, scratch: Scratch) -> DataFrame:
@@ -257,17 +269,79 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: in
     return scratch.settle(made.dropDuplicates(["class"]))
 
 
-def _neighbours(postings: DataFrame) -> DataFrame:
-    """Postings on lists of two or more, with the one before by size."""
-    near = Window.partitionBy("key", "salt").orderBy("n", "class")
+def _linked(
+    pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch
+) -> DataFrame:
+    """The pairs a, b of classes whose whole sets link."""
+    pairs = scratch.settle(pairs.distinct())
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    sets = _whole_sets(docs, classes, wanted, size, scratch)
+
+    @pandas_udf("boolean")
+    def link(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(x: bytes, y: bytes) -> bool:
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            at = np.searchsorted(x, y)
+            at[at == len(x)] = 0
+            common = int((x[at] == y).sum())
+            return 100 * common >= percent * (len(x) + len(y) - common)
+
+        return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)], dtype=bool)
+
+    left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("left"))
+    right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("right"))
+    found = pairs.join(left, "a").join(right, "b").where(link("left", "right"))
+    return scratch.settle(found.select("a", "b"))
+
+
+def _lists(postings: DataFrame) -> DataFrame:
+    """The postings on lists of two or more classes, each class once a list."""
+    near = Window.partitionBy("key", "salt").orderBy("class")
+    columns = ["key", "salts", "class", "n", "first", "kind"]
     rows = postings.select(
-        "key", "salts", "class", "n", "first", "kind",
-        *[F.lag(c).over(near).alias(f"other_{c}") for c in ("class", "n", "first", "kind")],
-        F.lead("class").over(near).alias("after"),
+        *columns, F.lag("class").over(near).alias("before"), F.lead("class").over(near).alias("after")
+    )
+    new = F.col("before").isNull() | (F.col("before") != F.col("class"))
+    shared = F.col("before").isNotNull() | F.col("after").isNotNull() | (F.col("salts") > 1)
+    return rows.where(new & shared).select(columns)
+
+
+def _with_roots(lists: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """The postings on lists that hold classes of two or more components."""
+    rows = lists.drop("root").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    rows = scratch.settle(rows.withColumn("root", F.coalesce("root", "class")))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return scratch.settle(rows.join(mixed.where("low <> high").select("key"), "key", "left_semi"))
+
+
+def _some_pairs(lists: DataFrame, sketches: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For each class two classes of other components that stand beside it on a list."""
+    mixed = F.xxhash64("class", "key", F.lit(turn))
+    near = Window.partitionBy("key", F.pmod(mixed, F.col("salts"))).orderBy(mixed)
+    other = [F.lag(c).over(near).alias(f"other_{c}") for c in ("class", "n", "first", "root")]
+    rows = lists.select("key", "class", "n", "first", "root", *other)
+    rows = rows.where((F.col("root") != F.col("other_root")) & _possible(percent))
+    order = F.xxhash64("key", F.lit(turn))
+    pairs = rows.groupBy("class").agg(
+        F.min_by("other_class", order).alias("p"), F.max_by("other_class", order).alias("q")
+    )
+    pairs = pairs.select("class", F.explode(F.array("p", "q")).alias("other_class")).distinct()
+    pairs = pairs.join(sketches, "class").join(_other(sketches), "other_class")
+    return _named(pairs.where(_alike(percent)))
+
+
+def _rest_of_pairs(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes that share a list, are of different components and may link."""
+    rows = lists.drop("n", "salts").join(sketches, "class")
+    pairs = rows.join(_other(rows, ("key",)), "key").where("class < other_class AND root <> other_root")
+    pairs = pairs.where("kind = 0 OR other_kind = 0 OR (kind = 1 AND other_kind = 1)")
+    return _named(pairs.where(_possible(percent) & _alike(percent)))
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(
+        F.least("class", "other_class").alias("a"), F.greatest("class", "other_class").alias("b")
     )
-    new = F.col("other_class").isNull() | (F.col("other_class") != F.col("class"))
-    shared = F.col("other_class").isNotNull() | F.col("after").isNotNull() | (F.col("salts") > 1)
-    return rows.where(new & shared).drop("after")
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -277,55 +351,29 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         seen = scratch.settle(_scan(docs, size))
         rows = settle(seen.where("n IS NOT NULL").select("doc_id", "n", "class"))
         classes = scratch.settle(
-            rows.groupBy("class").agg(
-                F.min("doc_id").alias("one"), F.count("*").alias("copies"), F.max("n").alias("size")
+            seen.where("n IS NOT NULL").groupBy("class").agg(
+                F.min("doc_id").alias("one"), F.count("*").alias("copies"), F.max("n").alias("n"),
+                *[F.max(c).alias(c) for c in SKETCH_COLUMNS],  # equal in all copies
             )
         )
+        sketches = classes.select("class", "n", *SKETCH_COLUMNS)
         counts = _summed(seen.where("slice IS NOT NULL"))
-        lists = scratch.settle(_neighbours(_postings(docs, size, percent, counts)))
-        sets = _whole_sets(docs, classes, lists.select("class").distinct(), size, scratch)
-
-        # Neighbours on lists, also across the parts of a salted list.
-        heads = Window.partitionBy("key").orderBy("n", "class")
-        across = lists.where("salts > 1 AND other_class IS NULL").select(
-            "class", "n", "first", "kind",
-            *[F.lag(c).over(heads).alias(f"other_{c}") for c in ("class", "n", "first", "kind")],
-        )
-        chain = lists.select(*across.columns).union(across).where("other_class IS NOT NULL")
-        nearest = (
-            chain.where(_possible(percent))
-            .groupBy(F.least("class", "other_class").alias("a"), F.greatest("class", "other_class").alias("b"))
-            .count()
-            .where("count > 1")  # one shared key seldom links; the second step has the rest
-            .select("a", "b")
-        )
-        first_links = scratch.settle(_linked(nearest, sets, percent))
-        roots = components(first_links, scratch)
-
-        # Pairs on lists that still belong to different components.
-        member = lists.select("key", "class", "n", "first", "kind").join(
-            roots.withColumnRenamed("node", "class"), "class", "left"
-        )
-        member = scratch.settle(member.withColumn("root", F.coalesce("root", "class")))
-        mixed = (
-            member.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-            .where("low <> high").select("key")
-        )
-        member = scratch.settle(member.join(mixed, "key", "left_semi"))
-        other = member.select("key", *[F.col(c).alias(f"other_{c}") for c in member.columns if c != "key"])
-        rest = (
-            member.join(other, "key")
-            .where("class < other_class AND root <> other_root")
-            .where("kind = 0 OR other_kind = 0 OR (kind = 1 AND other_kind = 1)")
-            .where(_possible(percent))
-            .select(F.col("class").alias("a"), F.col("other_class").alias("b"))
-            .distinct()
-        )
-        links = first_links.union(_linked(rest, sets, percent))
-        roots = components(links, scratch).withColumnRenamed("node", "class")
+        lists = scratch.settle(_lists(_postings(docs, size, percent, counts)))
+        release(spark)
+
+        links = None
+        roots = lists.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
+        for turn in range(ROUNDS):
+            lists = _with_roots(lists, roots, scratch)
+            found = _linked(_some_pairs(lists, sketches, percent, turn), docs, classes, size, percent, scratch)
+            links = scratch.settle(found if links is None else links.union(found))
+            roots = components(links, scratch)
+        lists = _with_roots(lists, roots, scratch)
+        found = _linked(_rest_of_pairs(lists, sketches, percent), docs, classes, size, percent, scratch)
+        roots = components(links.union(found), scratch).withColumnRenamed("node", "class")
         named = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         names = named.groupBy("root").agg(F.min("one").alias("component_id"))
-        linked = F.when(F.col("size") > 0, F.col("component_id")).alias("component_id")
+        linked = F.when(F.col("n") > 0, F.col("component_id")).alias("component_id")
         named = settle(named.join(names, "root").select("class", "copies", linked))
     joined = join_unique(rows.withColumnRenamed("n", "n_shingles"), named, "class", "copies", "doc_id", "left")
     return joined.select(
