@@ -126,7 +126,7 @@ def _evaluate(postfix: list[tuple[str, str]]) -> Licence | None:
         if left is None:
             return None
         if value == "with":  # the right side names an exception, not a licence
-            if not isinstance(right, str):
+            if not isinstance(right, str) or label_of(right):
                 return None
             stack.append(Licence(left.labels, min(1.0, left.freedom + EXCEPTION)))
             continue
