@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from grainmill.functions.columns import quoted
 
 HOT_KEYS = 1000
-SALTS = 64
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
+# Of a row besides its key.
+ROW_BYTES = 32
+
+
+def _bytes(table: DataFrame, key: str) -> int:
+    """About how much the table takes, keys at their real length."""
+    length = F.coalesce(F.octet_length(F.col(quoted(key)).cast("string")), F.lit(0))
+    return table.agg(F.coalesce(F.sum(length + ROW_BYTES), F.lit(0)).alias("n")).first()["n"]
 
 
 def balanced_lookup(
@@ -23,30 +30,28 @@ def balanced_lookup(
 ) -> DataFrame:
     """Inner or left join with a table that has one row per key.
 
-    ``counts`` has the key and ``n``, the number of rows with it. A small table
-    is broadcast. Else keys with more than a thousandth of all rows, fewer than
-    a thousand of them, are spread over many tasks by a salt, and so are rows
-    without a key.
+    ``counts`` has the key and ``n``, the number of rows with it. A table that
+    is small, by measured bytes, is broadcast. Else keys with more than a
+    thousandth of all rows, fewer than a thousand of them, are spread by a salt,
+    over as many tasks as their count needs, and so are rows without a key.
     """
-    if table_rows <= BROADCAST_ROWS:
+    if table_rows * ROW_BYTES <= BROADCAST_BYTES and _bytes(table, key) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(table), key, how)
+    share = max(1, total // HOT_KEYS)
     # Fewer than HOT_KEYS rows.
     hot = F.broadcast(
-        counts.where(F.col("n") * F.lit(HOT_KEYS) > F.lit(total)).select(
-            quoted(key), F.lit(True).alias("_hot")
+        counts.where(F.col("n") > share).select(
+            quoted(key), F.ceil(F.col("n") / share).cast("int").alias("_salts")
         )
     )
     hashed = [quoted(c) for c, t in rows.dtypes if "map<" not in t]
-    spread = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
+    missing = F.when(F.col(quoted(key)).isNull(), HOT_KEYS).otherwise(1)
     salted = (
-        rows.withColumn("_spread", spread)
+        rows.withColumn("_spread", F.xxhash64(*hashed))
         .join(hot, key, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot") | F.col(quoted(key)).isNull(), F.col("_spread")).otherwise(0),
-        )
-        .drop("_spread", "_hot")
+        .withColumn("_salt", F.pmod("_spread", F.coalesce("_salts", missing)).cast("int"))
+        .drop("_spread", "_salts")
     )
-    copies = F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(0))
-    copied = table.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    copied = table.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return salted.join(copied, [key, "_salt"], how).drop("_salt")

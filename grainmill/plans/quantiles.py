@@ -88,32 +88,46 @@ def _place(bins, ranks, column, start, known, pending):
         before += n
 
 
+def _segment_number(segments: list[_Segment]) -> Column:
+    """Number of the segment a row of the long form falls into, else NULL."""
+    number = None
+    for i, s in enumerate(segments):
+        inside = (F.col("column") == s.column) & F.col("v").between(s.low, s.high)
+        number = F.when(inside, i) if number is None else number.when(inside, i)
+    return number
+
+
 def _refine(long: DataFrame, segments: list[_Segment], known, pending):
     """Cut each segment into equal-width bins and place its ranks again."""
-    number, offset = None, None
+    offset = None
     for i, s in enumerate(segments):
-        inside = (F.col("column") == s.column) & F.col("v").between(s.low, s.high)
         width = (s.high - s.low) / FINE_BINS
         step = F.floor((F.col("v") - s.low) / F.lit(width or 1.0)).cast("int")
-        number = F.when(inside, i) if number is None else number.when(inside, i)
-        offset = F.when(inside, step) if offset is None else offset.when(inside, step)
-    binned = long.select("v", number.alias("segment"), offset.alias("bin"))
-    bins = _bin_counts(binned.where("segment IS NOT NULL"), ["segment", "bin"])
+        mine = F.col("segment") == i
+        offset = F.when(mine, step) if offset is None else offset.when(mine, step)
+    numbered = long.select("v", _segment_number(segments).alias("segment")).where("segment IS NOT NULL")
+    bins = _bin_counts(numbered.withColumn("bin", offset), ["segment", "bin"])
     for i, s in enumerate(segments):
         _place(bins[i], s.ranks, s.column, s.start, known, pending)
 
 
-def _resolve_directly(wide: DataFrame, segments: list[_Segment], known):
-    aggs = []
-    for i, s in enumerate(segments):
-        v = col(wide.columns[s.column])
-        shares = [(r - s.start) / (s.size - 1) for r in sorted(s.ranks)]
-        inside = F.when(_present(v) & v.between(s.low, s.high), v)
-        aggs.append(F.percentile(inside, F.array(*map(F.lit, shares))).alias(f"s{i}"))
-    row = wide.agg(*aggs).first()
-    for i, s in enumerate(segments):
-        for r, value in zip(sorted(s.ranks), row[f"s{i}"]):
-            known[s.column, r] = value
+def _resolve_directly(long: DataFrame, segments: list[_Segment], known):
+    """The wanted ranks of small segments; each segment has a buffer of its own."""
+    shares = {
+        (i, r): (r - s.start) / (s.size - 1) for i, s in enumerate(segments) for r in s.ranks
+    }
+    # One list for all segments: a sorted buffer answers further shares at no cost.
+    points = sorted(set(shares.values()))
+    found = (
+        long.select("v", _segment_number(segments).alias("segment"))
+        .where("segment IS NOT NULL")
+        .groupBy("segment")
+        .agg(F.percentile("v", F.array(*map(F.lit, points))).alias("values"))
+        .collect()
+    )
+    values = {r["segment"]: dict(zip(points, r["values"])) for r in found}
+    for (i, r), share in shares.items():
+        known[segments[i].column, r] = values[i][share]
 
 
 def exact_quantiles(
@@ -148,7 +162,7 @@ def exact_quantiles(
         small = [s for s in segments if s.size <= direct_values or s.high - s.low < 1e-300]
         large = [s for s in segments if s not in small]
         if small:
-            _resolve_directly(wide, small, known)
+            _resolve_directly(long, small, known)
         if large:
             _refine(long, large, known, pending)
 

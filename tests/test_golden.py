@@ -9,6 +9,7 @@ from grainmill.functions.columns import missing_as_null, numeric_columns, type_f
 from grainmill.functions.moments import collect_moments, safe_corr
 from grainmill.functions.similarity import similar_numbers, similar_strings
 from grainmill.operators import (
+    correlation,
     distribution,
     duplicates,
     encoding,
@@ -365,3 +366,32 @@ def test_category_bars_and_points(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 99.0), ("b", 1.5)], "s string, x double")
     assert [r["value"] for r in distribution.category_bars(df, ["s", "x"]).collect()] == ["a", "b"]
     assert _values(distribution.boxplot_points(df, "x")) == [99.0]
+
+
+def test_rule_constants_keep_their_digits(spark):
+    df = spark.createDataFrame([(9007199254740992,), (9007199254740993,)], "id bigint")
+    exact = rules.Rule("id", "==", "9007199254740993")
+    assert [r["id"] for r in df.where(rules.violation(df, exact)).collect()] == [9007199254740992]
+    words = spark.createDataFrame([("None",), ("a",)], "x string")
+    with pytest.raises(rules.RuleError):
+        rules.violation(words, rules.Rule("x", "in", ["a", None]))
+
+
+def test_one_hot_has_no_silent_limit(spark):
+    df = spark.range(1100).selectExpr("id", "concat('v', id) AS x")
+    fitted = encoding.fit_one_hot(df, "x")
+    assert len(fitted.new_columns) == 1100
+    with pytest.raises(ValueError):
+        encoding.fit_one_hot(df, "x", max_values=1000)
+
+
+def test_given_labels_of_any_type(spark):
+    df = _column(spark, ["a", "b", "c", None], "string")
+    assert _values(encoding.fit_labels(df, "x", {"a": 0.5, "b": 2.75}).apply(df)) == [0.5, 2.75, None, None]
+    assert _values(encoding.fit_labels(df, "x", {"a": "low", "b": "high"}).apply(df)) == ["low", "high", None, None]
+
+
+def test_text_columns_have_no_correlation(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, s string")
+    with pytest.raises(ValueError, match="not numeric"):
+        correlation.correlation_matrix(df, ["x", "s"])

@@ -144,9 +144,9 @@ def test_near_duplicates_needs_a_column(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("limit", [0, 1000])
+@pytest.mark.parametrize("limit", [0, 1 << 20])
 def test_lookup_with_a_hot_key(spark, monkeypatch, how, limit):
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", limit)
     rows = [(1 if i % 3 == 0 else i, i) for i in range(3000)] + [(None, -1), (None, -2)]
     df = spark.createDataFrame(rows, "k int, v int")
     counts = df.where("k IS NOT NULL").groupBy("k").count().withColumnRenamed("count", "n")
@@ -158,3 +158,14 @@ def test_lookup_with_a_hot_key(spark, monkeypatch, how, limit):
     assert sorted((r["v"], r["k"], r["label"]) for r in found) == sorted(
         (v, k, x) for k, v, x in expected
     )
+
+
+def test_lookup_does_not_broadcast_long_keys(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 1 << 20)
+    rows = spark.range(300).selectExpr("concat(repeat('k', 10000), id) AS k", "id")
+    counts = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    table = counts.selectExpr("k", "n AS label")
+    found = balanced_lookup(rows, table, counts, "k", 300, 300)
+    # Three hundred rows, but three megabytes: joined by a salted shuffle.
+    assert "_salt" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 300 and found.agg({"label": "sum"}).first()[0] == 300

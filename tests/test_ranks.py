@@ -28,9 +28,9 @@ def _tau(a, b):
 
 
 @pytest.mark.parametrize("rows_per_block", [11, 10_000])
-@pytest.mark.parametrize("broadcast", [0, 1000])
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
 def test_kendall(spark, monkeypatch, rows_per_block, broadcast):
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", broadcast)
     pdf = _data()
     df = spark.createDataFrame(pdf)
     for a, b in [("x", "y"), ("y", "z")]:
@@ -39,9 +39,9 @@ def test_kendall(spark, monkeypatch, rows_per_block, broadcast):
 
 
 @pytest.mark.parametrize("rows_per_block", [11, 10_000])
-@pytest.mark.parametrize("broadcast", [0, 1000])
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
 def test_spearman(spark, monkeypatch, rows_per_block, broadcast):
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", broadcast)
     pdf = _data()
     found = spearman_matrix(spark.createDataFrame(pdf), ["x", "y", "z"], rows_per_block)
     ranks = pdf.rank()
