@@ -128,13 +128,15 @@ class Labels:
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Replace the column; unmapped and missing values become NULL."""
-        rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("_row"), col(self.column).alias("_value"))
-        table = self.table.select(F.col("value").alias("_value"), F.col("label").alias("_label"), "n")
-        joined = balanced_lookup(rows, table.drop("n"), table, "_value", self.total, self.size, "left")
+        # Columns are numbered for the join, so that no name can clash.
+        rows = df.select(*[col(c).alias(f"_c{i}") for i, c in enumerate(df.columns)])
+        key = f"_c{df.columns.index(self.column)}"
+        table = self.table.select(F.col("value").alias(key), F.col("label").alias("_label"), "n")
+        joined = balanced_lookup(rows, table.drop("n"), table, key, self.total, self.size, "left")
         return joined.select(
             *[
-                F.col("_label").alias(c) if c == self.column else F.col("_row").getField(c).alias(c)
-                for c in df.columns
+                F.col("_label" if c == self.column else f"_c{i}").alias(c)
+                for i, c in enumerate(df.columns)
             ]
         )
 
