@@ -262,11 +262,25 @@ def compare_distributions(
     """Statistics of the common numeric columns in two states and the change."""
     shared = [c for c in numeric_columns(before) if c in set(numeric_columns(after))]
     names = [c for c in shared if columns is None or c in columns]
-    stats = []
-    for frame in (before, after):
-        moments = collect_moments(frame, {c: col(c) for c in names})
-        medians = quantiles(frame, {c: [0.5] for c in names})
-        stats.append({c: {**moments[c], "median": medians[c][0]} for c in names})
+    # Both states side by side, so that one fit covers them.
+    states = (("before", before), ("after", after))
+    tagged = [
+        frame.select(
+            *[
+                (col(c).cast("double") if own == state else F.lit(None).cast("double")).alias(f"{own} {c}")
+                for own, _ in states
+                for c in names
+            ]
+        )
+        for state, frame in states
+    ]
+    both = tagged[0].unionAll(tagged[1])
+    moments = collect_moments(both, {c: col(c) for c in both.columns})
+    medians = quantiles(both, {c: [0.5] for c in both.columns})
+    stats = [
+        {c: {**moments[f"{own} {c}"], "median": medians[f"{own} {c}"][0]} for c in names}
+        for own, _ in states
+    ]
     rows = []
     for c in names:
         for metric in STATISTICS:
