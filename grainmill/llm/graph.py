@@ -8,29 +8,34 @@ from pyspark.sql import functions as F
 from grainmill.session import Scratch
 
 
+BROADCAST_ROWS = 500_000
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node`` and ``root`` for every node of the edges ``a``, ``b``; roots are nodes.
 
     Each round hooks every node to its smallest neighbour, shortens the paths
     and contracts the graph; the edges shrink by a constant factor if node ids
-    are hashes. Nothing but one count a round reaches the driver.
+    are hashes. Nothing but counts reaches the driver. A round's table of nodes
+    is broadcast if it has at most BROADCAST_ROWS rows of 16 bytes.
     """
     rest = scratch.settle(edges.where("a <> b").distinct())
     both = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node")))
     labels = both.distinct().select("node", F.col("node").alias("root"))
     while not rest.isEmpty():
         sides = rest.union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = sides.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
-        step = scratch.settle(step)
+        step = scratch.settle(sides.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        few = step.count() <= BROADCAST_ROWS
+        sent = F.broadcast if few else (lambda table: table)
         for _ in range(2):
-            nxt = step.select(F.col("a").alias("to"), F.col("to").alias("further"))
-            step = step.join(nxt, "to").select("a", F.col("further").alias("to"))
+            further = sent(step.select(F.col("a").alias("to"), F.col("to").alias("further")))
+            step = step.join(further, "to").select("a", F.col("further").alias("to"))
         step = scratch.settle(step)
-        moved = step.select(F.col("a").alias("root"), "to")
+        moved = sent(step.select(F.col("a").alias("root"), "to"))
         labels = scratch.settle(
             labels.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         )
-        ends = [step.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b")]
+        ends = [sent(step.select(F.col("a").alias(c), F.col("to").alias(f"{c}_to"))) for c in ("a", "b")]
         rest = (
             rest.join(ends[0], "a").join(ends[1], "b")
             .select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))

@@ -54,9 +54,10 @@ SLICES = 64
 # What meeting a posting on a list costs, next to shipping one.
 VISIT = 0.05
 ROUNDS = 3
-SKETCH = 16
+SKETCH = 8
 MAX_SALTED = 100_000
 BROADCAST_ROWS = 2_000_000
+BROADCAST_PAIRS = 500_000
 SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH)]
 
 # Odd multipliers of the positions in a shingle, and of the final mixing.
@@ -306,12 +307,21 @@ def _lists(postings: DataFrame) -> DataFrame:
     return rows.where(new & shared).select(columns)
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """Broadcast if it has at most BROADCAST_PAIRS rows, of 16 bytes or less."""
+    return F.broadcast(table) if table.count() <= BROADCAST_PAIRS else table
+
+
 def _with_roots(lists: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """The postings on lists that hold classes of two or more components."""
-    rows = lists.drop("root").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    rows = scratch.settle(rows.withColumn("root", F.coalesce("root", "class")))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    return scratch.settle(rows.join(mixed.where("low <> high").select("key"), "key", "left_semi"))
+    named = roots.select(F.col("node").alias("class"), F.col("root").alias("new"))
+    rows = lists.join(_sent(named), "class", "left")
+    rows = rows.withColumn("root", F.coalesce("new", "class")).drop("new")
+    ends = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = scratch.settle(ends.where("low <> high").select("key"))
+    rows = scratch.settle(rows.join(_sent(mixed), "key", "left_semi"))
+    release(lists.sparkSession)
+    return rows
 
 
 def _some_pairs(lists: DataFrame, sketches: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -361,14 +371,13 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         lists = scratch.settle(_lists(_postings(docs, size, percent, counts)))
         release(spark)
 
+        lists = lists.withColumn("root", F.col("class"))
         links = None
-        roots = lists.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
         for turn in range(ROUNDS):
-            lists = _with_roots(lists, roots, scratch)
             found = _linked(_some_pairs(lists, sketches, percent, turn), docs, classes, size, percent, scratch)
             links = scratch.settle(found if links is None else links.union(found))
             roots = components(links, scratch)
-        lists = _with_roots(lists, roots, scratch)
+            lists = _with_roots(lists, roots, scratch)
         found = _linked(_rest_of_pairs(lists, sketches, percent), docs, classes, size, percent, scratch)
         roots = components(links.union(found), scratch).withColumnRenamed("node", "class")
         named = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))

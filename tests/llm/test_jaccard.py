@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 from edges import awkward_docs, no_docs
-from grainmill.llm import jaccard
+from grainmill.llm import graph, jaccard
 from grainmill.llm.graph import components
 from grainmill.llm.jaccard import boundary, jaccard_components, shingles
 from grainmill.session import Scratch
@@ -97,7 +97,9 @@ def test_boundary_grows_with_the_skew_of_the_lists():
     assert boundary(flat, 80) < boundary(skewed, 80)
 
 
-def test_components_of_long_paths_and_stars(spark):
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_components_of_long_paths_and_stars(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", broadcast)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     with Scratch(spark) as scratch:
         roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
