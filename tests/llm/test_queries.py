@@ -26,7 +26,8 @@ def test_queries_equal_their_sql(spark, duck, name):
     found = QUERIES[name](spark, SF)
     columns = sorted(found.columns)
     ours = sorted(map(str, (tuple(r[c] for c in columns) for r in found.collect())))
-    names = [d[0] for d in (answer := duck.sql(ORACLES[name])).description]
+    answer = duck.sql(ORACLES[name])
+    names = [d[0] for d in answer.description]
     place = [names.index(c) for c in columns]
     assert ours == sorted(str(tuple(row[k] for k in place)) for row in answer.fetchall())
 
