@@ -51,13 +51,10 @@ def ingest_csv_words(spark, sf_dir):
 
 @query("ingest_json_array", "SELECT conv_id, turn, role, text FROM conversations")
 def ingest_json_array(spark, sf_dir):
-    # One array of records a file, as other tools write it; a file for each part of the table.
+    # Arrays of records, as other tools write them, one a file.
     turns = table(spark, sf_dir, "conversations")
-    record = F.to_json(F.struct(*turns.columns))
-    whole = turns.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(8)).alias("part"))
-    arrays = whole.agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list(record)), F.lit("]")).alias("value"))
     path = f"{new_folder(spark, 'ingest')}/turns.json"
-    arrays.select("value").repartition(8).write.text(path)
+    files.write_json_arrays(turns, path)
     return files.read_json(spark, path, schema=turns.schema)
 
 

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from catalogue.sources import ingest_json_array
 from grainmill.sources import files
 from grainmill.sources.report import as_markdown, prep_report
 from grainmill.sources.snapshots import SnapshotStore, StateNotFoundError
@@ -131,3 +132,41 @@ def test_a_commit_that_failed_can_be_repeated(spark, tmp_path, monkeypatch):
     assert store.current() is None
     store.commit("df_raw", spark.range(6).toDF("a"))
     assert store.current().count() == 6 and store.history().count() == 1
+
+
+def test_json_arrays_keep_all_rows_of_many_partitions(spark, tmp_path, monkeypatch):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    kept = spark.conf.get(key)
+    texts = ['a "quoted" } { [ word', "two\nlines", "back\\slash\\", "it's", None]
+    rows = [(k, texts[k % 5] and f"{texts[k % 5]} {k}") for k in range(1000)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, text string")
+    turns.repartition(7).write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(files, "ARRAY_RECORDS", 50)
+    spark.conf.set(key, "false")
+    try:
+        back = ingest_json_array(spark, str(tmp_path)).select("conv_id", "text").collect()
+    finally:
+        spark.conf.set(key, kept)
+    assert sorted(map(tuple, back)) == rows
+    files.write_json_arrays(turns.limit(0), str(tmp_path / "none.json"))
+    assert files.read_json(spark, str(tmp_path / "none.json"), schema=turns.schema).count() == 0
+
+
+@pytest.mark.parametrize("size", ["64", "128m"])  # files in many splits and in one
+def test_json_files_of_several_roots_are_refused(spark, tmp_path, size):
+    record = {"a": 'x } ] [ { " \\', "b": [{"c": "it's"}, {}], "d": "'}'"}
+    whole = json.dumps([record] * 9)
+    good = [whole, f"  {whole}\n\n", json.dumps(record), json.dumps([record] * 9, indent=2), "[{'a': '}]['}]", "[]", ""]
+    bad = [f"{whole}\n{whole}", f"{whole}{whole}", "{}{}", f"[]\n{whole}", f"{json.dumps(record)}\n{json.dumps(record)}"]
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        for k, text in enumerate(good + bad):
+            path = _write(tmp_path / f"{k}.json", text)
+            assert len(files.files_of_several_roots(spark, path)) == (k >= len(good)), text
+        folder = files.files_of_several_roots(spark, str(tmp_path))
+        assert len(folder) == len(bad)
+        with pytest.raises(ValueError):
+            files.read_json(spark, path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
