@@ -3,11 +3,18 @@
 Words are lower-cased runs of letters, digits and non-ASCII characters. A fixed
 mask selects some positions of a window and ignores the others, so a replaced
 word under an ignored position does not hide a shared passage. Seeds of the
-benchmark items and of all documents are joined on their hashes. Around a hit
-document and item are laid over each other, and the best stretch, where a
-match counts 1 and a replaced word -2, decides: the document is contaminated if
-that stretch holds ``min_matches`` equal words or the whole item, and the share
-of equal words in it is ``min_share`` or more.
+benchmark items and of all documents are joined on their hashes. At a hit
+document and item are laid over each other. The document is contaminated if
+any stretch there holds ``min_matches`` equal words or the whole item, and the
+share of equal words in it is ``min_share`` or more. With the weights 1 - share
+of a match and -share of a replaced word, the stretches with that share are
+those whose sum is not negative; of them the one of highest sum is reported.
+
+The masks meet every stretch of ten or more equal words with a share of 0.75 or
+more. Of one with 20 equal words, either the part up to its tenth or the rest
+is such a stretch too, so it is enough that they meet all stretches of up to 19
+equal and 6 replaced words, which a test counts through. Smaller parameters
+have no such guarantee.
 
 Items shorter than a window are looked for as a whole. Missing and empty texts
 on either side match nothing; items of equal text are all reported; several
@@ -18,14 +25,18 @@ without an id are left out, as nothing could name them. Only the id and text col
 from __future__ import annotations
 
 import functools
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.session import Scratch, settle
 
-# Selected positions of the masks: windows of nine words, six of them selected.
-MASKS = [(0, 1, 3, 6, 7, 8), (0, 2, 3, 4, 7, 8), (0, 1, 2, 5, 7, 8)]
+# Selected positions of the masks, six in a window of six to twelve words.
+MASKS = [
+    (0, 1, 2, 3, 4, 5), (0, 1, 3, 5, 6, 7), (0, 1, 3, 6, 8, 9), (0, 1, 2, 6, 9, 10),
+    (0, 1, 3, 5, 8, 10), (0, 1, 4, 8, 10, 11), (0, 2, 6, 7, 10, 11),
+]
 SPAN = 9
 MIN_MATCHES = 10
 MIN_SHARE = 0.75
@@ -38,19 +49,25 @@ def word_array(text: str) -> Column:
     return F.array_remove(F.split(plain, NOT_WORD), "")
 
 
-def _seeds(rows: DataFrame, masks: list[tuple[int, ...]], reach: int) -> DataFrame:
-    """Rows id, at (word position) and seed, for each mask at each position.
+def _seeds(rows: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+    """Rows id, at (word position) and seed, for each mask at each position where it fits.
 
     The hashes of the words are made once per text; what runs per position is
     small enough for the JVM to compile.
     """
     hashes = F.transform("words", lambda w: F.xxhash64(w))
     rows = rows.select("id", hashes.alias("hashes"))
+    reach = min(mask[-1] + 1 for mask in masks)
     steps = F.sequence(F.lit(0), F.size("hashes") - reach)
     places = rows.where(F.size("hashes") >= reach).select("id", "hashes", F.explode(steps).alias("at"))
-    seeds = [F.xxhash64(F.lit(reach), F.lit(k), *[F.get("hashes", F.col("at") + o) for o in mask])
-             for k, mask in enumerate(masks)]
-    return places.select("id", "at", F.explode(F.array(*seeds)).alias("seed"))
+    seeds = [
+        F.when(
+            F.col("at") + mask[-1] < F.size("hashes"),
+            F.xxhash64(F.lit(k), *[F.get("hashes", F.col("at") + o) for o in mask]),
+        )
+        for k, mask in enumerate(masks)
+    ]
+    return places.select("id", "at", F.explode(F.array(*seeds)).alias("seed")).where("seed IS NOT NULL")
 
 
 def _hits(texts: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
@@ -60,36 +77,57 @@ def _hits(texts: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
     # The masks, and a whole item for each length below SPAN that occurs.
     for masks, reach in [(MASKS, SPAN), *[([tuple(range(n))], n) for n in sorted(sizes)]]:
         own = items if reach == SPAN else items.where(F.size("words") == reach)
-        known = _seeds(own, masks, reach).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "seed")
+        known = _seeds(own, masks).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "seed")
         known = scratch.settle(known)
         few = known.count() <= BROADCAST_ROWS  # 24 bytes a row
-        met = _seeds(texts, masks, reach).join(F.broadcast(known) if few else known, "seed")
+        met = _seeds(texts, masks).join(F.broadcast(known) if few else known, "seed")
         found.append(met.select("id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")))
     return scratch.settle(functools.reduce(DataFrame.union, found).distinct())
 
 
-def _stretch(equal: Column) -> Column:
-    """The best stretch of a Boolean array: score, matches, from, to (exclusive)."""
+def _matches(equal: Column, share: Fraction) -> Column:
+    """The matches of a Boolean array: place and rise, its number less share * place, times a constant."""
+    places = F.filter(F.transform(equal, lambda same, at: F.when(same, at)), lambda at: at.isNotNull())
+    return F.transform(
+        places,
+        lambda at, k: F.struct(
+            k.alias("k"), at.alias("at"), (k.cast("long") * share.denominator - at.cast("long") * share.numerator).alias("rise")
+        ),
+    )
+
+
+def _stretch(matched: Column, enough: Column, share: Fraction) -> Column:
+    """Of the stretches with enough matches, the one of highest sum: score, matches, first, last (exclusive).
+
+    The sum of a stretch is the difference in rise of its last and first match
+    and a constant. So the best start for a last match is the lowest rise
+    among the matches at least ``enough`` before it. Without any, the score is -1.
+    """
+    spare = F.greatest(F.size(matched) - enough + 1, F.lit(0))
+    pairs = F.zip_with(
+        F.slice(matched, F.lit(1), spare), F.slice(matched, enough, spare),
+        lambda first, last: F.struct(first.alias("first"), last.alias("last")),
+    )
     start = F.struct(
-        *[F.lit(0).alias(c) for c in ("run", "run_matches", "run_from", "at", "score", "matches", "first", "last")]
+        F.lit(None).cast("struct<k: int, at: int, rise: bigint>").alias("low"), F.lit(-1).cast("long").alias("score"),
+        *[F.lit(0).alias(c) for c in ("matches", "first", "last")],
     )
 
-    def step(state: Column, same: Column) -> Column:
-        fresh = state["run"] <= 0
-        run = F.when(fresh, 0).otherwise(state["run"]) + F.when(same, 1).otherwise(-2)
-        matches = F.when(fresh, 0).otherwise(state["run_matches"]) + same.cast("int")
-        first = F.when(fresh, state["at"]).otherwise(state["run_from"])
-        better = run > state["score"]
+    def step(state: Column, pair: Column) -> Column:
+        fresh, end = pair["first"], pair["last"]
+        low = F.when(fresh["rise"] >= state["low"]["rise"], state["low"]).otherwise(fresh)
+        score = end["rise"] - low["rise"] + (share.denominator - share.numerator)
+        matches = end["k"] - low["k"] + 1
+        better = (score > state["score"]) | ((score == state["score"]) & (matches > state["matches"]))
         return F.struct(
-            run.alias("run"), matches.alias("run_matches"), first.alias("run_from"),
-            (state["at"] + 1).alias("at"),
-            F.when(better, run).otherwise(state["score"]).alias("score"),
+            low.alias("low"),
+            F.when(better, score).otherwise(state["score"]).alias("score"),
             F.when(better, matches).otherwise(state["matches"]).alias("matches"),
-            F.when(better, first).otherwise(state["first"]).alias("first"),
-            F.when(better, state["at"] + 1).otherwise(state["last"]).alias("last"),
+            F.when(better, low["at"]).otherwise(state["first"]).alias("first"),
+            F.when(better, end["at"] + 1).otherwise(state["last"]).alias("last"),
         )
 
-    return F.aggregate(equal, start, step)
+    return F.aggregate(pairs, start, step)
 
 
 def benchmark_overlaps(
@@ -122,13 +160,18 @@ def benchmark_overlaps(
             F.slice("item_words", skipped + 1, F.size("item_words")),
             lambda a, b: F.coalesce(a == b, F.lit(False)),
         )
-        best = aligned.select(
+        share = Fraction(str(min_share))
+        enough = F.greatest(F.least(F.lit(min_matches), F.size("item_words")), F.lit(1))
+        laid = aligned.select(
             "id", "item_id", F.size("item_words").alias("item_words"), begin.alias("begin"),
-            skipped.alias("skipped"), _stretch(both).alias("best"),
+            skipped.alias("skipped"), enough.alias("enough"), _matches(both, share).alias("matched"),
+        )
+        best = laid.select(
+            "id", "item_id", "item_words", "begin", "skipped",
+            _stretch(F.col("matched"), F.col("enough"), share).alias("best"),
         )
         length = F.col("best.last") - F.col("best.first")
-        enough = F.least(F.lit(min_matches), F.col("item_words"))
-        found = best.where((F.col("best.matches") >= enough) & (F.col("best.matches") >= min_share * length))
+        found = best.where("best.score >= 0")
         found = found.select(
             F.col("id").alias("doc_id"), "item_id",
             F.struct(
