@@ -3,7 +3,9 @@
 Phrases are sequences of words (see ``words_of``); a second automaton finds
 identifier tags in the text as it stands. The expression after a tag, up to the
 end of its line, is parsed by the shunting-yard method: ``with`` binds closer
-than ``and``, ``and`` closer than ``or``. Of two licences joined by ``or`` the
+than ``and``, ``and`` closer than ``or``. The longest leading part of the line
+that is a whole expression counts, and in it the licences whose names are
+known. Of two licences joined by ``or`` the
 freer counts, of ``and`` the stricter; an exception after ``with`` frees a
 little. The score of a text is the freedom of its strictest finding, 0.5 if
 there is none.
@@ -80,8 +82,11 @@ class Licence:
     freedom: float
 
 
-def parse(expression: str) -> Licence | None:
-    """Value of an expression; None if it is malformed or names a licence that is not known."""
+def parse(expression: str, strict: bool = True) -> Licence | None:
+    """Value of an expression; None if it is malformed or names a licence that is not known.
+
+    If not strict, names that are not known are left out.
+    """
     output: list[tuple[str, str]] = []
     waiting: list[str] = []
     operand = True  # whether one must come next
@@ -112,39 +117,73 @@ def parse(expression: str) -> Licence | None:
     if operand or "(" in waiting:
         return None
     output += [("operator", w) for w in reversed(waiting)]
-    return _evaluate(output)
+    return _evaluate(output, strict)
 
 
-def _evaluate(postfix: list[tuple[str, str]]) -> Licence | None:
-    stack: list[Licence | str] = []
+def _evaluate(postfix: list[tuple[str, str]], strict: bool) -> Licence | None:
+    stack: list[Licence | str | None] = []
     for kind, value in postfix:
         if kind == "name":
             stack.append(value)
             continue
         right, left = stack.pop(), stack.pop()
         left = _licence(left)
-        if left is None:
+        if left is None and strict:
             return None
         if value == "with":  # the right side names an exception, not a licence
             if not isinstance(right, str) or label_of(right):
                 return None
-            stack.append(Licence(left.labels, min(1.0, left.freedom + EXCEPTION)))
+            stack.append(left and Licence(left.labels, min(1.0, left.freedom + EXCEPTION)))
             continue
         right = _licence(right)
-        if right is None:
-            return None
+        if left is None or right is None:
+            if strict:
+                return None
+            stack.append(left or right)
+            continue
         choose = min if value == "and" else max
         stack.append(Licence(left.labels | right.labels, choose(left.freedom, right.freedom)))
     return _licence(stack.pop())
 
 
-def _licence(value: Licence | str) -> Licence | None:
-    if isinstance(value, Licence):
+def _licence(value: Licence | str | None) -> Licence | None:
+    if value is None or isinstance(value, Licence):
         return value
     label = label_of(value)
     return None if label is None else Licence(frozenset([label]), FREEDOM[label])
 
 
+def leading(line: str) -> Licence | None:
+    """Value of the longest leading part of a line that is a whole expression.
+
+    Names that are not known are left out of it; None if none is known.
+    """
+    tokens: list[str] = []
+    whole = depth = 0
+    operand = True
+    before = ""
+    for found in TOKEN.finditer(line):
+        token = found.group()
+        word = token.lower()
+        if word in BINDING or token == ")":
+            if operand or (token == ")" and not depth):
+                break
+            depth -= token == ")"
+            operand = token != ")"
+        elif not operand or (before == "with" and (token == "(" or label_of(token.rstrip(".:")))):
+            break
+        elif token == "(":
+            depth += 1
+        else:
+            token = token.rstrip(".:")  # of the sentence
+            operand = False
+        tokens.append(token)
+        before = word
+        if not operand and not depth:
+            whole = len(tokens)
+    return parse(" ".join(tokens[:whole]), strict=False)
+
+
 @functools.cache
 def _automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
     phrases, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
@@ -174,7 +213,7 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, str]], frozenset[str],
         lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         for end, _ in tags.iter(lower):
             line = text[end + 1 :].split("\n", 1)[0] if end + 1 < len(text) else ""
-            value = parse(line.strip().rstrip("*/.;,- "))
+            value = leading(line)
             if value is not None:
                 labels |= value.labels
                 freedom.append(value.freedom)

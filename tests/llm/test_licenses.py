@@ -49,6 +49,27 @@ def test_tags_add_labels():
     assert scan("License: to kill")[2] == frozenset() and scan("nothing")[3] == UNKNOWN
 
 
+@pytest.mark.parametrize(
+    ("line", "labels"),
+    [
+        ("License: MIT, see the LICENSE file", {"mit"}), ("License: MIT License", {"mit"}), ("License: MIT.", {"mit"}),
+        ("License: Apache License 2.0", {"apache-2"}), ("SPDX-License-Identifier: MIT OR LicenseRef-X", {"mit"}),
+        ("SPDX-License-Identifier: LicenseRef-X AND (LicenseRef-Y OR GPL-2.0-only) -->", {"gpl"}),
+        ("License: MIT OR", {"mit"}), ("License: MIT) or so", {"mit"}), ("License: (MIT OR GPL-2.0", set()),
+        ("License: MIT WITH GPL-2.0", {"mit"}), ("License: MIT WITH (GPL-2.0)", {"mit"}), ("License: ", set()),
+        ("License: LicenseRef-X OR LicenseRef-Y", set()), ("License: LicenseRef-X WITH Y AND MIT", {"mit"}),
+        ("License: see MIT", set()), ("License: MIT OR GPL-2.0 and more words", {"mit", "gpl"}),
+        ("License: GPL-2.0 WITH Classpath-exception-2.0 for this file", {"gpl"}),
+    ],
+)
+def test_the_leading_expression_behind_a_tag_counts(line, labels):
+    assert scan(f"é {line}\nGPL-3.0")[2] == labels
+
+
+def test_long_lines_take_one_pass():
+    assert scan("License: " + "MIT OR X AND " * 20000 + "(")[2] == {"mit"}
+
+
 def test_awkward_rows(spark):
     docs = awkward_docs(spark)
     rows = scan_licenses(docs).collect()
