@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill.llm.audit import audit_filters
 from grainmill.llm.common import is_held_out, read
 from grainmill.llm.decontaminate import benchmark_overlaps
 from grainmill.llm.jaccard import jaccard_components
@@ -179,3 +180,63 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.apply(docs).select(
         "doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+AUDITED = {
+    "A": "n_words < 200",
+    "B": "100 * n_distinct < 50 * n_words",
+    "C": "100 * n_capitals > 3 * n_points",
+    "D": "n_symbols > 0",
+    "E": "copy",
+}
+
+
+@query
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters do in each of their orders, for each language."""
+    conditions = {letter: F.expr(condition) for letter, condition in AUDITED.items()}
+    return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), conditions)
+
+
+ORACLES["op13_audit"] = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), measured AS (
+    SELECT doc_id, part, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, length(t) AS points,
+           length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capitals, regexp_matches(t, '[#$%&*|]') AS symbols,
+           min(doc_id) OVER (PARTITION BY t) AS first
+    FROM texts
+), masked AS (
+    SELECT doc_id, part,
+           (len(words) < 200)::INTEGER + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INTEGER
+           + 4 * (100 * capitals > 3 * points)::INTEGER + 8 * symbols::INTEGER + 16 * (doc_id > first)::INTEGER AS mask
+    FROM measured
+), marks AS (
+    SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id
+), summed AS (
+    SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS n_good, coalesce(sum(toxic), 0) AS n_toxic
+    FROM masked LEFT JOIN marks USING (doc_id) GROUP BY part, mask
+), letters(letter, bit) AS (
+    VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+), steps AS (
+    SELECT filter_order, step::INTEGER AS step, bits[step] AS bit,
+           coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before
+    FROM orders, range(1, 6) numbers(step)
+), found AS (
+    SELECT part, filter_order, step, bit,
+           sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n_good ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n_toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM summed, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM found
+"""
