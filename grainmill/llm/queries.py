@@ -11,6 +11,7 @@ from grainmill.llm.alignment import align
 from grainmill.llm.audit import audit_filters
 from grainmill.llm.common import is_held_out, read
 from grainmill.llm.decontaminate import benchmark_overlaps
+from grainmill.llm.extraction import extract_text, fit_labeller
 from grainmill.llm.jaccard import jaccard_components
 from grainmill.llm.licenses import scan_licenses
 from grainmill.llm.packing import pack
@@ -250,3 +251,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
     )
+
+
+@query
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read(spark, sf_dir, "pages")
+    return extract_text(pages, fit_labeller(pages)).select("page_id", "url", "text", "n_chars")
