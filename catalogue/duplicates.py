@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalogue.registry import cte, derived, query, table
 from grainmill.functions import similarity
 from grainmill.operators import duplicates
-from grainmill.operators.near_duplicates import near_duplicates
+from grainmill.operators.near_duplicates import near_duplicate_classes, near_duplicates
 
 WHOLE = "p_partkey, p_brand, p_type, p_size"
 
@@ -209,3 +209,45 @@ def near_dup_default(spark, sf_dir):
         "element_at(array('abcd', 'efgh', 'ijkl', 'mnop'), int(o_custkey % 4) + 1) AS fourth",
     )
     return near_duplicates(orders, ["o_orderkey"])
+
+
+_CLASSES = f"""WITH docs AS (SELECT doc_id, lang, n_chars AS number, {_chars('text')} AS letters,
+    CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_sort({_chars('text')}), '') END AS set FROM documents)"""
+
+
+@query(
+    "near_dup_members",
+    _CLASSES + """
+SELECT doc_id, min(doc_id) OVER (PARTITION BY set) AS first_doc_id FROM docs""",
+)
+def near_dup_members(spark, sf_dir):
+    return near_duplicate_classes(table(spark, sf_dir, "documents"), ["doc_id"], ["text"], []).members
+
+
+@query(
+    "near_dup_pairs",
+    _CLASSES + f""", k AS (SELECT set, any_value(letters) AS letters, min(doc_id) AS first, count(*) AS n FROM docs GROUP BY set)
+SELECT first AS first_doc_id, second AS second_doc_id, n, other_n FROM (
+  SELECT x.first, y.first AS second, x.n, y.n AS other_n, x.letters AS a, y.letters AS b
+  FROM k x JOIN k y ON x.first < y.first)
+WHERE {_JACCARD}""",
+)
+def near_dup_pairs(spark, sf_dir):
+    return near_duplicate_classes(table(spark, sf_dir, "documents"), ["doc_id"], ["text"], []).pairs
+
+
+@query(
+    "near_dup_summary",
+    _CLASSES + f""", k AS (SELECT lang, set, number, any_value(letters) AS letters, min(doc_id) AS first, count(*) AS n
+      FROM docs GROUP BY lang, set, number, CASE WHEN number IS NULL THEN doc_id END),
+p AS (SELECT n * other_n AS found FROM (
+  SELECT x.n, y.n AS other_n, x.letters AS a, y.letters AS b, x.number AS x, y.number AS y
+  FROM k x JOIN k y ON x.first < y.first AND x.lang IS NOT DISTINCT FROM y.lang)
+  WHERE {_JACCARD} AND {_NUMBERS})
+SELECT CAST((SELECT count(*) FROM k) AS BIGINT) AS classes, CAST((SELECT count(*) FROM p) AS BIGINT) AS class_pairs,
+       CAST(coalesce((SELECT sum(found) FROM p), 0)
+            + (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM k WHERE number IS NOT NULL) AS BIGINT) AS candidates_found""",
+)
+def near_dup_summary(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return near_duplicate_classes(docs, ["doc_id"], ["text"], ["n_chars"], block_by=["lang"]).summary()
