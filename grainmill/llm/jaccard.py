@@ -7,21 +7,25 @@ If sets x and y overlap by c(x) = ceil(0.8 |x|) or more, as linked ones do, then
 the first k common tokens lie among the first |x| - c(x) + k of x.
 
 * Light sets (small ones) enumerate the subsets of two (k = 2) of that prefix.
-* Heavy sets put the prefix (k = 1) on inverted lists and scan these.
+* Heavy sets put their prefix on inverted lists and scan these. They take k as a
+  quarter of the tokens they may lack: a set with fewer than that many tokens on
+  lists of two or more sets links with nothing, however frequent a passage it
+  shares, and leaves all lists. Of the others the prefix for k = 1 stays.
 * A light set within reach of a heavy size also visits the inverted lists.
 
 The boundary is the size up to which the subsets cost less than the lists: a
 list costs a set its posting and the postings it meets there, known from the
 counters.
 
-Two steps keep a large group of near copies from making all its pairs. In a few
-rounds, each class is compared with a neighbour or two from its lists, in a new
-order each time; links that hold contract the classes into components. Then
-lists with two or more components are joined with themselves, for pairs in
-different components only; these are all the pairs that can still change the
-result. An odd sketch (parities of hashed tokens, whose difference is at most
-that of the sets) rules pairs out early; every other pair is verified on whole
-sets.
+Three steps keep a large group of near copies from making all its pairs. In a few
+rounds, each class is compared with a neighbour or two of some of its lists, the
+same ones in sets that share them; links that hold contract the classes into
+components. Lists that still hold two or more components go through further
+rounds while these contract. What is left is paired on each list: members outside
+its largest component with all members of other components, long lists in salted
+parts; these are all the pairs that can still change the result. An odd sketch
+(parities of hashed tokens, whose difference is at most that of the sets) rules
+pairs out early; every other pair is verified on whole sets.
 
 Missing and empty texts, and those without words, have no shingle and link with
 nothing. Fewer words than a shingle make one shingle of all. Repeated rows are
@@ -54,6 +58,11 @@ SLICES = 64
 # What meeting a posting on a list costs, next to shipping one.
 VISIT = 0.05
 ROUNDS = 3
+# Postings of a class that take part in a round, about.
+SAMPLED = 8
+# A round on all lists is worth another one if it joins this share of their classes.
+WORTH = 0.1
+ROWS_AT_ONCE = 200_000
 SKETCH = 8
 MAX_SALTED = 100_000
 BROADCAST_ROWS = 2_000_000
@@ -101,6 +110,17 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _portions(batch: pd.DataFrame, rows: int = 1024) -> Iterator[pd.DataFrame]:
+    """A batch in parts, so that what is made of it stays small."""
+    for at in range(0, len(batch), rows):
+        yield batch.iloc[at : at + rows]
+
+
+def _reserve(n: int, percent: int) -> int:
+    """Common tokens that a heavy set of size n must show in its prefix."""
+    return max(1, (n - _percent_of(n, percent)) // 4)
+
+
 def _scan(docs: DataFrame, size: int) -> DataFrame:
     """Rows of documents (doc_id, n, class, s0...) and of counters (slice, counts), in one pass."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -111,22 +131,21 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
         counts = np.zeros(COUNTERS, np.uint32)
         worker = 0
         for batch in batches:
-            sizes, prints, found, sketches = [], [], [np.zeros(0, np.int64)], []
-            for text in batch["text"]:
-                tokens = shingles(text, size)
-                sizes.append(len(tokens))
-                prints.append(_fingerprint(tokens))
-                found.append((tokens >> shift).astype(np.int64))
-                sketches.append(_sketch(tokens))
-            sketches = np.array(sketches, np.int64).reshape(-1, SKETCH)
-            found = np.concatenate(found)
-            counts += np.bincount(found, minlength=COUNTERS).astype(np.uint32)
-            if prints:
-                worker = prints[0] & 0xFFFF
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "n": sizes, "class": prints, "slice": None, "part": None, "counts": None}
-                | {name: sketches[:, k] for k, name in enumerate(SKETCH_COLUMNS)}
-            )
+            for rows in _portions(batch):
+                sizes, prints, sketches = [], [], []
+                for text in rows["text"]:
+                    tokens = shingles(text, size)
+                    sizes.append(len(tokens))
+                    prints.append(_fingerprint(tokens))
+                    sketches.append(_sketch(tokens))
+                    np.add.at(counts, (tokens >> shift).astype(np.int64), 1)
+                sketches = np.array(sketches, np.int64).reshape(-1, SKETCH)
+                if prints:
+                    worker = prints[0] & 0xFFFF
+                yield pd.DataFrame(
+                    {"doc_id": rows["doc_id"], "n": sizes, "class": prints, "slice": None, "part": None, "counts": None}
+                    | {name: sketches[:, k] for k, name in enumerate(SKETCH_COLUMNS)}
+                )
         parts = counts.reshape(SLICES, width)
         used = [k for k in range(SLICES) if parts[k].any()]
         yield pd.DataFrame(
@@ -188,11 +207,31 @@ def _postings(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> D
     spread = docs.sparkSession.sparkContext.broadcast(ranks.tobytes())
     shift = np.uint64(64 - COUNTERS.bit_length() + 1)
 
+    def frame(blocks: list[tuple]) -> pd.DataFrame:
+        lengths = [len(b[0]) for b in blocks]
+        join = lambda k, t: np.concatenate([b[k] for b in blocks]).astype(t) if blocks else np.zeros(0, t)
+        many = lambda k, t: np.repeat(np.array([b[k] for b in blocks], t), lengths)
+        marks = many(3, np.int64)
+        # A very long list is cut into salted parts of MAX_SALTED or so.
+        salts = (np.exp2(join(2, np.float64) / 2) // MAX_SALTED).astype(np.int64) + 1
+        return pd.DataFrame(
+            {
+                "key": join(0, np.uint64).view(np.int64),
+                "salts": salts.astype(np.int32),
+                "salt": (marks % salts).astype(np.int32),
+                "class": marks,
+                "n": many(4, np.int32),
+                "first": join(1, np.int32),
+                "kind": many(5, np.int8),
+            }
+        )
+
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank_of = np.frombuffer(spread.value, np.uint8)
         seen: set[int] = set()
+        blocks: list[tuple] = []
+        held = 0
         for batch in batches:
-            blocks = []
             for text in batch["text"]:
                 tokens = shingles(text, size)
                 n = len(tokens)
@@ -202,31 +241,23 @@ def _postings(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> D
                 seen.add(mark)
                 rank = rank_of[(tokens >> shift).astype(np.int64)]
                 spare = n - _percent_of(n, percent)
-                order = np.lexsort((tokens, rank))[: spare + 2]
+                reserve = _reserve(n, percent)
+                order = np.lexsort((tokens, rank))[: spare + max(2, reserve)]
                 head, rank = tokens[order], rank[order]
                 if n <= light_to:
-                    left, right = np.triu_indices(len(head), 1)
-                    blocks.append((_mixed(head[left] * MIX ^ head[right]), left, rank[right], mark, n, 1))
+                    two, two_rank = head[: spare + 2], rank[: spare + 2]
+                    left, right = np.triu_indices(len(two), 1)
+                    blocks.append((_mixed(two[left] * MIX ^ two[right]), left, two_rank[right], mark, n, 1))
+                    held += len(left)
                 if 100 * n >= percent * light_to:
                     kind = 2 if n <= light_to else 0
-                    blocks.append((head[: spare + 1], np.arange(spare + 1), rank[: spare + 1], mark, n, kind))
-            lengths = [len(b[0]) for b in blocks]
-            join = lambda k, t: np.concatenate([b[k] for b in blocks]).astype(t) if blocks else np.zeros(0, t)
-            many = lambda k, t: np.repeat(np.array([b[k] for b in blocks], t), lengths)
-            marks = many(3, np.int64)
-            # A very long list is cut into salted parts of MAX_SALTED or so.
-            salts = (np.exp2(join(2, np.float64) / 2) // MAX_SALTED).astype(np.int64) + 1
-            yield pd.DataFrame(
-                {
-                    "key": join(0, np.uint64).view(np.int64),
-                    "salts": salts.astype(np.int32),
-                    "salt": (marks % salts).astype(np.int32),
-                    "class": marks,
-                    "n": many(4, np.int32),
-                    "first": join(1, np.int32),
-                    "kind": many(5, np.int8),
-                }
-            )
+                    stop = spare + reserve
+                    blocks.append((head[:stop], np.arange(len(head[:stop])), rank[:stop], mark, n, kind))
+                    held += stop
+                if held >= ROWS_AT_ONCE:
+                    yield frame(blocks)
+                    blocks, held = [], 0
+        yield frame(blocks)
 
     schema = "key long, salts int, salt int, class long, n int, first int, kind byte"
     return docs.select("text").mapInPandas(post, schema)
@@ -312,11 +343,41 @@ def _sent(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_PAIRS else table
 
 
-def _with_roots(lists: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """The postings on lists that hold classes of two or more components."""
+def _promising(lists: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The postings of classes with enough common tokens to link, with their number ``held``.
+
+    A linked set has sizes within the percentage of its own, so it shows the
+    reserve of the smallest of these. Subsets of two stay. Of lists the
+    prefix for k = 1 goes on.
+    """
+    subset = F.col("kind") == 1
+    least = F.ceil(F.lit(percent) * F.col("n") / 100)
+    reserve = F.greatest(F.lit(1), F.floor(F.floor((100 - percent) * least / 100) / 4))
+    held = lists.groupBy("class", subset.alias("subset")).agg(F.count("*").alias("held"), F.max("n").alias("n"))
+    kept = scratch.settle(held.where(F.col("subset") | (F.col("held") >= reserve)).drop("n"))
+    rows = lists.withColumn("subset", subset).join(_sent(kept), ["class", "subset"])
+    spare = F.floor((100 - percent) * F.col("n") / 100)
+    return scratch.settle(rows.where(F.col("subset") | (F.col("first") <= spare)).drop("subset"))
+
+
+def _sampled(lists: DataFrame, turn: int) -> DataFrame:
+    """About SAMPLED postings of each class, chosen by their keys."""
+    place = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 20))
+    return lists.where(place * F.col("held") < SAMPLED << 20)
+
+
+def _rooted(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The postings with the component of their class."""
+    if roots is None:
+        return lists.withColumn("root", F.col("class"))
     named = roots.select(F.col("node").alias("class"), F.col("root").alias("new"))
     rows = lists.join(_sent(named), "class", "left")
-    rows = rows.withColumn("root", F.coalesce("new", "class")).drop("new")
+    return rows.withColumn("root", F.coalesce("new", "class")).drop("new")
+
+
+def _with_roots(lists: DataFrame, roots: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """The postings on lists that hold classes of two or more components."""
+    rows = scratch.settle(_rooted(lists.drop("root"), roots))
     ends = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = scratch.settle(ends.where("low <> high").select("key"))
     rows = scratch.settle(rows.join(_sent(mixed), "key", "left_semi"))
@@ -341,9 +402,20 @@ def _some_pairs(lists: DataFrame, sketches: DataFrame, percent: int, turn: int)
 
 
 def _rest_of_pairs(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """All pairs of classes that share a list, are of different components and may link."""
-    rows = lists.drop("n", "salts").join(sketches, "class")
-    pairs = rows.join(_other(rows, ("key",)), "key").where("class < other_class AND root <> other_root")
+    """All pairs of classes that share a list, are of different components and may link.
+
+    Of two classes in different components one is outside the largest component
+    of the list; only such classes look for partners. Long lists are cut into
+    salted parts, and those who look visit each.
+    """
+    sizes = lists.groupBy("key", "root").agg(F.count("*").alias("size"))
+    tops = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"), F.sum("size").alias("total"))
+    rows = lists.select("key", "class", "first", "kind", "root").join(tops, "key").join(sketches, "class")
+    parts = F.ceil(F.col("total") / MAX_SALTED).cast("int")
+    left = rows.where("root <> top").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    right = rows.withColumn("part", F.pmod(F.xxhash64("class"), parts).cast("int")).drop("top", "total")
+    pairs = left.join(_other(right, ("key", "part")), ["key", "part"])
+    pairs = pairs.where("root <> other_root AND (other_root = top OR class < other_class)")
     pairs = pairs.where("kind = 0 OR other_kind = 0 OR (kind = 1 AND other_kind = 1)")
     return _named(pairs.where(_possible(percent) & _alike(percent)))
 
@@ -371,13 +443,24 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         lists = scratch.settle(_lists(_postings(docs, size, percent, counts)))
         release(spark)
 
-        lists = lists.withColumn("root", F.col("class"))
-        links = None
+        lists = _promising(lists, percent, scratch)
+        links = roots = None
         for turn in range(ROUNDS):
-            found = _linked(_some_pairs(lists, sketches, percent, turn), docs, classes, size, percent, scratch)
+            some = _rooted(_sampled(lists, turn), roots)
+            found = _linked(_some_pairs(some, sketches, percent, turn), docs, classes, size, percent, scratch)
             links = scratch.settle(found if links is None else links.union(found))
             roots = components(links, scratch)
+        lists = _with_roots(lists, roots, scratch)
+        while True:
+            turn += 1
+            found = _linked(_some_pairs(lists, sketches, percent, turn), docs, classes, size, percent, scratch)
+            links = scratch.settle(links.union(found))
+            roots = components(links, scratch)
+            held = lists.agg(F.count_distinct("class").alias("n")).first()["n"]
+            worth = found.count() > WORTH * held
             lists = _with_roots(lists, roots, scratch)
+            if not worth:
+                break
         found = _linked(_rest_of_pairs(lists, sketches, percent), docs, classes, size, percent, scratch)
         roots = components(links.union(found), scratch).withColumnRenamed("node", "class")
         named = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
