@@ -538,7 +538,11 @@ def fit_labeller(pages: DataFrame, max_pages: int = MAX_PAGES, shards: int = SHA
     the weights of the shards reach the driver.
     """
     mark = F.xxhash64("page_id", F.lit(12))
-    sample = pages.select("page_id", "html").where("html IS NOT NULL").orderBy(mark, F.xxhash64("html"), "html").limit(max_pages)
+    part = 1_000_000
+    # Most pages are ruled out where they are read, before any are ordered.
+    limit = min(part, 1 + 4 * max_pages * part // max(1, pages.count()))
+    sample = pages.select("page_id", "html").where("html IS NOT NULL").where(F.pmod(mark, F.lit(part)) < limit)
+    sample = sample.orderBy(mark, F.xxhash64("html"), "html").limit(max_pages)
     labeller = Labeller()
     with Scratch(pages.sparkSession) as scratch:
         kept = sample.withColumn("mark", mark).withColumn("shard", F.pmod(F.xxhash64("mark"), F.lit(shards)))
