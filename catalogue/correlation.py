@@ -71,6 +71,61 @@ def corr_kendall(spark, sf_dir):
     return correlation.correlation_matrix(lines, ["l_quantity", "l_discount"], "kendall")
 
 
+RANKED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey"]
+RANKED_PAIRS = [(a, b) for i, a in enumerate(RANKED) for b in RANKED[i + 1 :]]
+
+
+@query(
+    "corr_spearman_five",
+    "WITH "
+    + ", ".join(_rank_cte(c, f"rank{i}") for i, c in enumerate(RANKED))
+    + ", r AS (SELECT "
+    + ", ".join(f"CAST(rank{i}.r AS DOUBLE) AS {c}" for i, c in enumerate(RANKED))
+    + " FROM lineitem "
+    + " ".join(f"JOIN rank{i} ON lineitem.{c} = rank{i}.{c}" for i, c in enumerate(RANKED))
+    + ") SELECT column1, column2, round(r, 4) AS r FROM ("
+    + _corr_rows("r", RANKED_PAIRS)
+    + ")",
+)
+def corr_spearman_five(spark, sf_dir):
+    return correlation.correlation_matrix(table(spark, sf_dir, "lineitem"), RANKED, "spearman")
+
+
+def _cells(pairs) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{a}' AS column1, '{b}' AS column2, x, y, count(*) AS n FROM (
+        SELECT dense_rank() OVER (ORDER BY {a}) AS x, dense_rank() OVER (ORDER BY {b}) AS y FROM lineitem) GROUP BY x, y"""
+        for a, b in pairs
+    )
+
+
+# Numbers that differ first in one binary digit, counted from the top, form a group of two sides.
+@query(
+    "corr_kendall_five",
+    f"""
+WITH cells AS ({_cells(RANKED_PAIRS)}),
+sides AS (SELECT column1, column2, digit, x >> (digit + 1) AS above, y,
+                 sum(CASE WHEN (x >> digit) & 1 = 0 THEN n ELSE 0 END) AS zeros,
+                 sum(CASE WHEN (x >> digit) & 1 = 1 THEN n ELSE 0 END) AS ones
+          FROM cells, range(0, 24) digits(digit) GROUP BY ALL),
+running AS (SELECT column1, column2, ones, zeros,
+                   sum(zeros) OVER (w ROWS UNBOUNDED PRECEDING) - zeros AS smaller,
+                   sum(zeros) OVER (PARTITION BY column1, column2, digit, above) AS total
+            FROM sides WINDOW w AS (PARTITION BY column1, column2, digit, above ORDER BY y)),
+s AS (SELECT column1, column2, sum(CAST(ones AS DOUBLE) * (2 * smaller + zeros - total)) AS s
+      FROM running GROUP BY column1, column2),
+t AS (SELECT column1, column2, sum(n) * (sum(n) - 1) / 2.0 AS n0 FROM cells GROUP BY column1, column2),
+tx AS (SELECT column1, column2, sum(n * (n - 1) / 2.0) AS tx FROM
+       (SELECT column1, column2, sum(n) AS n FROM cells GROUP BY column1, column2, x) GROUP BY column1, column2),
+ty AS (SELECT column1, column2, sum(n * (n - 1) / 2.0) AS ty FROM
+       (SELECT column1, column2, sum(n) AS n FROM cells GROUP BY column1, column2, y) GROUP BY column1, column2)
+SELECT column1, column2, round(s / (sqrt(n0 - tx) * sqrt(n0 - ty)), 4) AS r
+FROM s JOIN t USING (column1, column2) JOIN tx USING (column1, column2) JOIN ty USING (column1, column2)""",
+)
+def corr_kendall_five(spark, sf_dir):
+    return correlation.correlation_matrix(table(spark, sf_dir, "lineitem"), RANKED, "kendall")
+
+
 @query(
     "corr_high_pairs",
     cte("collinear")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.columns import col, existing, numeric_columns
 from grainmill.functions.moments import collect_moments, safe_corr
-from grainmill.plans.ranks import kendall_tau, spearman_matrix
+from grainmill.plans.ranks import kendall_matrix, spearman_matrix
 
 METHODS = ("pearson", "spearman", "kendall")
 # Limits for strong pairs, the default thresholds and the VIF grades.
@@ -70,11 +70,9 @@ def fit_correlations(
         raise ValueError("correlation takes two or more numeric columns")
     rows = _complete_rows(df, columns)
     pairs = _pair_keys(columns)
-    if method == "spearman":
-        found = spearman_matrix(rows, columns)
+    if method in ("spearman", "kendall"):
+        found = (spearman_matrix if method == "spearman" else kendall_matrix)(rows, columns)
         return {p: found.get(p) for p in pairs}
-    if method == "kendall":
-        return {p: kendall_tau(rows, *p) for p in pairs}
     # Products of deviations from the means, which lose no digits to large means.
     means = rows.agg(
         *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)],

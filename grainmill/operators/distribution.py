@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ TOP_TEN, TOP_TWENTY = 10, 20
 BINS = 30
 GRID_POINTS = 100
 DENSITY_MIN_VALUES = 11
+DENSITY_ORDER = 16
 STATISTICS = ["mean", "median", "std", "min", "max", "skewness", "kurtosis"]
 
 
@@ -188,11 +190,46 @@ def histogram_compare(
     )
 
 
+def _density_cells(
+    df: DataFrame, column: str, low: float, high: float, bandwidth: float, bins: int
+) -> tuple[dict[int, list[float]], int]:
+    """Per filled cell the power sums of the distances from its centre, in bandwidths; the tallest bin."""
+    v = col(column).cast("double")
+    place = (v - F.lit(low)) / F.lit(bandwidth)
+    cell = F.floor(place)
+    rows = df.where(v.isNotNull()).select(
+        cell.alias("cell"), bin_number(v, low, high, bins).alias("bin"), (place - cell - 0.5).alias("t1")
+    )
+    # Each power from two smaller ones, in projections of their own.
+    have = 1
+    while have < DENSITY_ORDER:
+        new = range(have + 1, min(2 * have, DENSITY_ORDER) + 1)
+        rows = rows.withColumns({f"t{k}": F.col(f"t{have}") * F.col(f"t{k - have}") for k in new})
+        have = new[-1]
+    powers = [f"t{k}" for k in range(1, DENSITY_ORDER + 1)]
+    found = rows.groupBy("cell", "bin").agg(F.count("*").alias("n"), *[F.sum(p).alias(p) for p in powers]).collect()
+    cells: dict[int, list[float]] = {}
+    heights: dict[int, int] = {}
+    for r in found:
+        own = cells.setdefault(r["cell"], [0.0] * (DENSITY_ORDER + 1))
+        for k, value in enumerate([r["n"], *[r[p] for p in powers]]):
+            own[k] += value
+        heights[r["bin"]] = heights.get(r["bin"], 0) + r["n"]
+    return cells, max(heights.values())
+
+
 def kernel_density(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     """Gaussian density at 100 points, also scaled to the histogram's height.
 
-    Each point is a sum over the rows: one aggregation without a shuffle of
-    values.
+    Fast Gauss transform: values are summed up in cells as wide as the bandwidth,
+    as power sums of their distance t from the centre, |t| <= 1/2. At a point
+    y bandwidths from the centre the kernels of a cell are
+    ``exp(-y^2 / 2) * sum(He_k(y) / k! * sum(t^k))`` with Hermite polynomials He_k.
+    By Cramer's inequality the terms beyond order K = DENSITY_ORDER add less than
+    ``1.1 * sum(2^-k / sqrt(k!), k > K)``, below 1e-12, of the largest possible
+    density. The rows are read twice, for the range and for the cells, whatever
+    the number of points. Of n values at most about n^0.5 cells are filled
+    (Chebyshev), which is all that reaches the driver.
     """
     require(df, [column])
     spark = df.sparkSession
@@ -204,15 +241,24 @@ def kernel_density(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     bandwidth = n ** (-1 / 5) * m["std"]
     step = (m["max"] - m["min"]) / (GRID_POINTS - 1)
     grid = [m["min"] + i * step for i in range(GRID_POINTS)]
-    v = col(column).cast("double")
-    parts = [F.exp(-0.5 * ((F.lit(x) - v) / F.lit(bandwidth)) ** 2) for x in grid]
-    sums = df.agg(*[F.sum(p) for p in parts]).first()
-    norm = n * bandwidth * math.sqrt(2 * math.pi)
-    density = [sums[i] / norm for i in range(GRID_POINTS)]
-    tallest = max(_binned(df, {column: (m["min"], m["max"])}, bins).values())
-    scale = tallest / max(density) if max(density) > 0 else 1.0
+    cells, tallest = _density_cells(df, column, m["min"], m["max"], bandwidth, bins)
+    centres = np.array(list(cells), float) + 0.5
+    sums = np.array(list(cells.values()))
+    density = np.zeros(GRID_POINTS)
+    for i in range(GRID_POINTS):
+        y = i * step / bandwidth - centres
+        near = np.abs(y) < 40  # beyond that a kernel is 0 in double precision
+        y, own = y[near], sums[near]
+        before, polynomial, total = np.zeros_like(y), np.ones_like(y), own[:, 0].copy()
+        for k in range(1, DENSITY_ORDER + 1):
+            # He_k / k! from its two predecessors.
+            before, polynomial = polynomial, (y * polynomial - before) / k
+            total += polynomial * own[:, k]
+        density[i] = max(0.0, float(np.exp(-0.5 * y * y) @ total))
+    density /= n * bandwidth * math.sqrt(2 * math.pi)
+    scale = tallest / density.max() if density.max() > 0 else 1.0
     return spark.createDataFrame(
-        [(i, grid[i], d, d * scale) for i, d in enumerate(density)], schema
+        [(i, grid[i], float(d), float(d * scale)) for i, d in enumerate(density)], schema
     )
 
 

@@ -9,48 +9,61 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.columns import col
 from grainmill.plans.lookup import balanced_lookup
-from grainmill.plans.ordering import (
-    BLOCK,
-    ROWS_PER_BLOCK,
-    block_number,
-    split_points,
-    with_blocks,
-    with_running_total,
-)
-from grainmill.session import Scratch, settle
+from grainmill.plans.ordering import BLOCK, ROWS_PER_BLOCK, with_blocks, with_running_total
+from grainmill.session import Scratch
+
+
+def _with_numbers(
+    df: DataFrame, columns: list[str], rows_per_block: int, scratch: Scratch
+) -> tuple[DataFrame, int, list[int], list[int]]:
+    """Rows with the number ``q0``... of each value in its column's order and its average rank ``r0``...
+
+    ``df`` has no missing value in ``columns``. The values of all columns are
+    counted in one pass over the rows, numbered block by block, and joined to
+    the cells of all columns at once; the cells of a row then come together
+    again. Also the number of rows, and for each column the numbers of distinct
+    values and of tied pairs of rows. Ranks are measured from their mean.
+    """
+    k = len(columns)
+    values = F.array(*[(col(c).cast("double") + F.lit(0.0)) for c in columns])
+    # Rows are numbered before they are written, so the numbers stay.
+    rows = scratch.settle(df.select(F.monotonically_increasing_id().alias("row"), values.alias("values")))
+    cells = rows.select("row", F.posexplode("values").alias("i", "value"))
+    cells = cells.select("row", "i", F.struct("i", "value").alias("at"))
+    counts = cells.groupBy("at").agg(F.count("*").alias("n")).select("at", "at.*", "n")
+    counts = scratch.settle(counts.withColumn("one", F.lit(1)))
+    exact = "decimal(38,0)"
+    pairs = F.sum(F.col("n").cast(exact) * (F.col("n") - 1).cast("decimal(20,0)"))
+    told = {
+        r["i"]: r
+        for r in counts.groupBy("i").agg(
+            F.count("*").alias("values"), F.sum("n").alias("total"), pairs.alias("pairs")
+        ).collect()
+    }
+    sizes = [told[i]["values"] if i in told else 0 for i in range(k)]
+    ties = [int(told[i]["pairs"]) // 2 if i in told else 0 for i in range(k)]
+    total = told[0]["total"] if told else 0
+    blocked = scratch.settle(with_blocks(counts, ["value"], rows_per_block, sum(sizes)))
+    ranked = with_running_total(blocked, ["value"], "n", "_before", within=["i"])
+    ranked = with_running_total(ranked, ["value"], "one", "q", within=["i"])
+    rank = F.col("_before") + (F.col("n") + 1) / 2.0 - (total + 1) / 2.0
+    ranked = scratch.settle(ranked.select("at", "n", "q", rank.alias("r")))
+    found = balanced_lookup(cells, ranked.drop("n"), ranked.select("at", "n"), "at", k * total, sum(sizes))
+    wide = found.groupBy("row").agg(
+        *[F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for c in ("q", "r") for i in range(k)]
+    )
+    return wide, total, sizes, ties
 
 
 def spearman_matrix(
     df: DataFrame, columns: list[str], rows_per_block: int = ROWS_PER_BLOCK
 ) -> dict[tuple[str, str], float | None]:
-    """Correlation of average ranks; ``df`` has no missing value in ``columns``.
-
-    The values of all columns are counted in one pass over the rows and numbered
-    block by block; the ranks are then looked up, once per column.
-    """
+    """Correlation of average ranks; ``df`` has no missing value in ``columns``."""
     k = len(columns)
-    rows = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    values = F.array(*[F.col(f"c{i}") for i in range(k)])
     with Scratch(df.sparkSession) as scratch:
-        long = rows.select(F.posexplode(values).alias("i", "value"))
-        counts = scratch.settle(long.groupBy("i", "value").agg(F.count("*").alias("n")))
-        sizes = {
-            r["i"]: r["values"]
-            for r in counts.groupBy("i").agg(F.count("*").alias("values")).collect()
-        }
-        total = counts.where("i = 0").agg(F.sum("n").alias("total")).first()["total"] or 0
+        rows, total, _, _ = _with_numbers(df, columns, rows_per_block, scratch)
         if total < 2:
             return {}
-        blocked = with_blocks(counts, ["value"], rows_per_block, sum(sizes.values()))
-        ranked = with_running_total(blocked, ["value"], "n", "_before", within=["i"]).select(
-            "i", "value", "n",
-            # Average rank, measured from the mean of all ranks.
-            (F.col("_before") + (F.col("n") + 1) / 2.0 - (total + 1) / 2.0).alias("r"),
-        )
-        ranked = scratch.settle(ranked)
-        for i in range(k):
-            own = ranked.where(F.col("i") == i).select(F.col("value").alias(f"c{i}"), "n", F.col("r").alias(f"r{i}"))
-            rows = balanced_lookup(rows, own.drop("n"), own.drop(f"r{i}"), f"c{i}", total, sizes[i])
         aggs = [
             F.sum(F.col(f"r{i}") * F.col(f"r{j}")).alias(f"s{i}_{j}")
             for i in range(k) for j in range(i, k)
@@ -64,79 +77,64 @@ def spearman_matrix(
     return result
 
 
-def kendall_tau(
-    df: DataFrame, x: str, y: str, rows_per_block: int = ROWS_PER_BLOCK
-) -> float | None:
-    """Tau-b of two columns without comparing all pairs of rows.
+def kendall_matrix(
+    df: DataFrame, columns: list[str], rows_per_block: int = ROWS_PER_BLOCK
+) -> dict[tuple[str, str], float | None]:
+    """Tau-b of all pairs of columns, in one chain of jobs and without pairs of rows.
 
-    Equal (x, y) rows are counted once. The x values are numbered; two of
-    them differ first in one binary digit of their numbers, counted from the
-    top. For each digit, rows that agree in the digits above form a group, and
-    a running total over y tells for every row with digit 1 how many rows with
-    digit 0 have a smaller, an equal or a larger y. Work grows with the
-    number of rows times the number of digits.
+    ``df`` has no missing value in ``columns``. Values are numbered. For each pair
+    of columns, equal rows are counted once; of the column with fewer values, two
+    numbers differ first in one binary digit, counted from the top. For each
+    digit, rows that agree in the digits above form a group, and a running total
+    over the other column tells for every row with digit 1 how many rows with
+    digit 0 have a smaller, an equal or a larger value. The pair of columns is
+    part of the group, so there are as many jobs for one pair as for all. Work
+    grows with the number of rows times pairs times digits.
     """
-    present = df.select(col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
-    cells = settle(
-        present.where("x IS NOT NULL AND y IS NOT NULL")
-        .groupBy("x", "y")
-        .agg(F.count("*").alias("n"))
-    )
-    exact = "decimal(38,0)"
-    pairs = F.sum(F.col("n").cast(exact) * (F.col("n") - 1).cast("decimal(20,0)"))
-    value_counts = {}
-    for c in ("x", "y"):
-        value_counts[c] = settle(
-            cells.groupBy(c).agg(F.sum("n").alias("n"), F.count("*").alias("cells"))
+    k = len(columns)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    with Scratch(df.sparkSession) as scratch:
+        rows, total, sizes, ties = _with_numbers(df, columns, rows_per_block, scratch)
+        if total < 2:
+            return {}
+        sided = [(i, j) if sizes[i] <= sizes[j] else (j, i) for i, j in pairs]
+        both = [
+            F.struct(F.lit(p).alias("p"), F.col(f"q{a}").alias("a"), F.col(f"q{b}").alias("b"))
+            for p, (a, b) in enumerate(sided)
+        ]
+        cells = rows.select(F.explode(F.array(*both)).alias("cell")).select("cell.*")
+        cells = cells.groupBy("p", "a", "b").agg(F.count("*").alias("n"))
+        last = F.get(F.array(*[F.lit(max(1, math.ceil(math.log2(sizes[a]))) - 1) for a, _ in sided]), F.col("p"))
+        digits = cells.select("p", "a", "b", "n", F.explode(F.sequence(F.lit(0), last)).alias("digit"))
+        is_one = F.expr("shiftright(a, digit) & 1") == 1
+        group = ["p", "digit", "upper"]
+        sides = digits.groupBy("p", "digit", F.expr("shiftright(a, digit + 1)").alias("upper"), "b").agg(
+            F.sum(F.when(~is_one, F.col("n")).otherwise(0)).alias("zeros"),
+            F.sum(F.when(is_one, F.col("n")).otherwise(0)).alias("ones"),
         )
-    tied = {c: value_counts[c].agg(
-        F.sum("n").alias("total"), pairs.alias("pairs"), F.count("*").alias("values"),
-        F.sum("cells").alias("cells")).first() for c in ("x", "y")}
-    total = tied["x"]["total"] or 0
-    if total < 2:
-        return None
-    # Fewer digits if the column with fewer values is numbered.
-    a, b = ("x", "y") if tied["x"]["values"] <= tied["y"]["values"] else ("y", "x")
-
-    numbered = with_running_total(
-        with_blocks(
-            value_counts[a].select(a, F.lit(1).alias("one")),
-            [a], rows_per_block, tied[a]["values"],
-        ),
-        [a], "one", "number",
-    ).select(a, "number")
-    cell_counts = value_counts[a].select(a, F.col("cells").alias("n"))
-    ranked = balanced_lookup(
-        cells, numbered, cell_counts, a, tied[a]["cells"], tied[a]["values"]
-    )
+        # Numbers are dense, so they name blocks themselves.
+        blocked = scratch.settle(sides.withColumn(BLOCK, F.expr(f"b DIV {int(rows_per_block)}")))
+        running = with_running_total(blocked, ["b"], "zeros", "smaller", within=group)
+        wide, narrow = "decimal(20,0)", "decimal(18,0)"
+        first = running.groupBy("p").agg(
+            F.sum(F.col("ones").cast(narrow) * (F.lit(2) * F.col("smaller") + F.col("zeros")).cast(wide)).alias("s")
+        )
+        totals = blocked.groupBy(*group).agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"))
+        second = totals.groupBy("p").agg(F.sum(F.col("z").cast(narrow) * F.col("o").cast(narrow)).alias("s"))
+        signed = first.select("p", "s").unionAll(second.select("p", (-F.col("s")).alias("s")))
+        sums = {r["p"]: int(r["s"]) for r in signed.groupBy("p").agg(F.sum("s").alias("s")).collect()}
+    all_pairs = total * (total - 1) // 2
+    result = {}
+    for p, (i, j) in enumerate(pairs):
+        untied = [all_pairs - ties[c] for c in (i, j)]
+        spread = math.sqrt(untied[0]) * math.sqrt(untied[1])
+        result[columns[i], columns[j]] = sums.get(p, 0) / spread if spread else None
+    return result
 
-    digits = max(1, math.ceil(math.log2(tied[a]["values"])))
-    per_digit = ranked.select(
-        b, "n", "number", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("digit")
-    )
-    upper = F.expr("shiftright(number, digit + 1)")
-    is_one = F.expr("shiftright(number, digit) & 1") == 1
-    sides = per_digit.groupBy("digit", upper.alias("upper"), b).agg(
-        F.sum(F.when(~is_one, F.col("n")).otherwise(0)).alias("zeros"),
-        F.sum(F.when(is_one, F.col("n")).otherwise(0)).alias("ones"),
-    )
-    points = split_points(value_counts[b], [b], rows_per_block, tied[b]["values"])
-    blocked = settle(sides.withColumn(BLOCK, block_number(sides, [b], points)))
-    group = ["digit", "upper"]
-    running = with_running_total(blocked, [b], "zeros", "smaller", within=group)
-    balance = F.sum(
-        F.col("ones").cast("decimal(18,0)")
-        * (F.lit(2) * F.col("smaller") + F.col("zeros")).cast("decimal(20,0)")
-    )
-    first = running.agg(balance.alias("s")).first()["s"] or 0
-    totals = blocked.groupBy(*group).agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"))
-    second = totals.agg(
-        F.sum(F.col("z").cast("decimal(18,0)") * F.col("o").cast("decimal(18,0)")).alias("s")
-    ).first()["s"] or 0
-    concordance = int(first) - int(second)
 
-    all_pairs = total * (total - 1) // 2
-    untied = [all_pairs - int(tied[c]["pairs"]) // 2 for c in ("x", "y")]
-    if not untied[0] or not untied[1]:
-        return None
-    return concordance / (math.sqrt(untied[0]) * math.sqrt(untied[1]))
+def kendall_tau(
+    df: DataFrame, x: str, y: str, rows_per_block: int = ROWS_PER_BLOCK
+) -> float | None:
+    """Tau-b of two columns over the rows in which both are present."""
+    present = df.select(col(x).alias("x"), col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    return kendall_matrix(present, ["x", "y"], rows_per_block).get(("x", "y"))

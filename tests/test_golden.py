@@ -2,6 +2,8 @@
 
 import numpy as np
 import pandas as pd
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -395,3 +397,21 @@ def test_text_columns_have_no_correlation(spark):
     df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, s string")
     with pytest.raises(ValueError, match="not numeric"):
         correlation.correlation_matrix(df, ["x", "s"])
+
+
+@pytest.mark.parametrize("values", [
+    [math.sin(k) * 5 + k % 7 for k in range(400)],
+    [0.0] * 300 + [1e6],
+    [float(k % 2) for k in range(50)],
+    [1e9 + k for k in range(40)],
+    [math.exp(k / 30) for k in range(500)],
+])
+def test_density_equals_a_sum_over_all_values(spark, values):
+    v = np.array(values)
+    found = distribution.kernel_density(_column(spark, [*values, None]), "x").toPandas()
+    h = len(v) ** -0.2 * v.std(ddof=1)
+    x = np.linspace(0, v.max() - v.min(), 100)
+    wanted = np.exp(-0.5 * ((x[:, None] - (v - v.min())) / h) ** 2).mean(axis=1) / (h * math.sqrt(2 * math.pi))
+    assert np.abs(found["density"].to_numpy() - wanted).max() < 1e-11 / h
+    tallest = np.histogram(v, 30)[0].max()
+    assert found["scaled"].max() == pytest.approx(tallest)

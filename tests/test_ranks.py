@@ -6,7 +6,7 @@ import pytest
 
 from grainmill.operators import correlation
 from grainmill.plans import lookup
-from grainmill.plans.ranks import kendall_tau, spearman_matrix
+from grainmill.plans.ranks import kendall_matrix, kendall_tau, spearman_matrix
 
 
 def _data(n=300):
@@ -38,6 +38,36 @@ def test_kendall(spark, monkeypatch, rows_per_block, broadcast):
         assert found == pytest.approx(_tau(list(pdf[a]), list(pdf[b])), abs=1e-12)
 
 
+@pytest.mark.parametrize("rows_per_block", [11, 10_000])
+def test_kendall_of_all_pairs(spark, rows_per_block):
+    pdf = _data()
+    pdf["w"] = np.random.default_rng(2).normal(0, 1e6, len(pdf))
+    pdf["v"] = -pdf["x"] - 0.25 * (pdf["w"] > 0)
+    names = list(pdf.columns)
+    found = kendall_matrix(spark.createDataFrame(pdf).repartition(3), names, rows_per_block)
+    assert list(found) == [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    for (a, b), tau in found.items():
+        assert tau == pytest.approx(_tau(list(pdf[a]), list(pdf[b])), abs=1e-12)
+
+
+@pytest.mark.parametrize("matrix", [kendall_matrix, spearman_matrix])
+def test_jobs_do_not_grow_with_the_pairs(spark, matrix):
+    context = spark.sparkContext
+    pdf = _data(60)
+    for c in "uvw":
+        pdf[c] = np.random.default_rng(ord(c)).normal(size=len(pdf))
+    df = spark.createDataFrame(pdf).cache()
+    df.count()
+    jobs = []
+    for k, columns in enumerate((list(pdf.columns)[:2], list(pdf.columns))):
+        context.setJobGroup(f"ranks {matrix.__name__} {k}", "pairs of columns")
+        matrix(df, columns)
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"ranks {matrix.__name__} {k}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    df.unpersist()
+    assert jobs[1] <= jobs[0] + 1  # a join with a larger table may broadcast in a job of its own
+
+
 @pytest.mark.parametrize("rows_per_block", [11, 10_000])
 @pytest.mark.parametrize("broadcast", [0, 1 << 20])
 def test_spearman(spark, monkeypatch, rows_per_block, broadcast):
