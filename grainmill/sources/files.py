@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -178,85 +176,14 @@ def read_csv(
     return infer_types(clean) if infer else clean
 
 
-# Texts in either quotes, open ones up to the end, and what is no bracket.
-_QUOTED = re.compile(rb"""\"[^"\\]*(?:\\.[^"\\]*)*(?:\"|\Z)|'[^'\\]*(?:\\.[^'\\]*)*(?:'|\Z)""", re.DOTALL)
-_NO_BRACKET = bytes(set(range(256)) - set(b"[]{}"))
-
-
-def _brackets(text: bytes, quote: bytes) -> tuple[np.ndarray, bytes]:
-    """The steps of depth in a piece that starts inside a quote or none, and the quote it ends in."""
-    last = b""
-
-    def skip(found: re.Match) -> bytes:
-        nonlocal last
-        whole = found.group()
-        ended = found.end() < len(found.string) or (len(whole) > 1 and whole[-1:] == whole[:1])
-        last = b"" if ended else whole[:1]
-        return b""
-
-    plain = _QUOTED.sub(skip, quote + text).translate(None, _NO_BRACKET)
-    codes = np.frombuffer(plain, np.uint8)
-    return np.where((codes == ord("[")) | (codes == ord("{")), 1, -1), last
-
-
-def _split_scans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each split and each quote it may start in: its end, depth, and brackets that open lowest."""
-    done: dict[tuple[str, int, bytes], tuple[bytes, int, int, int]] = {}
-    for batch in batches:
-        for (file, start), rows in batch.groupby(["file", "start"], sort=False):
-            # The separator ends all pieces but the last of a file, where one more does not matter.
-            text = b"}".join([*rows["value"], b""])
-            for begin in [b"", b'"', b"'"] if start else [b""]:
-                quote, depth, low, opened = done.get((file, start, begin), (begin, 0, 0, 0))
-                steps, quote = _brackets(text, quote)
-                before = depth + np.cumsum(steps) - steps
-                at = before[steps > 0]
-                if len(at) and (not opened or at.min() <= low):
-                    kept = opened if opened and at.min() == low else 0
-                    low, opened = int(at.min()), kept + int((at == at.min()).sum())
-                done[file, start, begin] = (quote, depth + int(steps.sum()), low, opened)
-    yield pd.DataFrame(
-        [(*key, *value) for key, value in done.items()],
-        columns=["file", "start", "begin", "quote", "depth", "low", "opened"],
-    )
-
-
-def files_of_several_roots(spark: SparkSession, path: str) -> list[str]:
-    """JSON files that hold more than one array or object side by side.
-
-    Files are split at closing braces and each split is read once, so a piece
-    is a record at most. Encodings of several bytes a letter are not checked.
-    """
-    pieces = spark.read.option("lineSep", "}").text(path).select(
-        F.col("value").cast("binary").alias("value"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-    )
-    layout = "file string, start long, begin binary, quote binary, depth long, low long, opened long"
-    rows = pieces.where(F.position(F.lit(b"\0"), F.col("value")) == 0).mapInPandas(_split_scans, layout)
-    scan = F.struct("start", "begin", "quote", "depth", "low", "opened")
-    scans = rows.groupBy("file").agg(F.sum("opened").alias("brackets"), F.collect_list(scan).alias("scans"))
-    several = []
-    for row in scans.where("brackets > 1").toLocalIterator():  # all but files of one split with one root
-        found = {(r["start"], bytes(r["begin"])): r for r in row["scans"]}
-        quote, depth, roots = b"", 0, 0
-        for start in sorted({r["start"] for r in row["scans"]}):
-            r = found[start, quote]
-            roots += r["opened"] if depth + r["low"] == 0 else 0
-            quote, depth = bytes(r["quote"]), depth + r["depth"]
-        if roots > 1:
-            several.append(row["file"])
-    return several
-
-
 def read_json(spark: SparkSession, path: str, lines: bool = False, schema=None) -> DataFrame:
-    """An array of records per file, or one record per line.
+    """One array of records (or one record) per file, or one record per line.
 
-    Of a file with several arrays Spark reads the first one only, so such
-    files are refused; a pass over the text finds them.
+    A file without ``lines`` is read by one task and must hold one root: Spark
+    takes the first array or object of a file and passes over others.
+    ``write_json_arrays`` writes such files, of bounded size. For large data use
+    JSON lines, which are split.
     """
-    if not lines and (several := files_of_several_roots(spark, path)):
-        raise ValueError(f"{len(several)} files hold more than one JSON array or object, such as {several[0]}")
     reader = spark.read.option("multiLine", not lines)
     reader = reader.option("timestampNTZFormat", READ_TIME_LAYOUT)
     if schema is not None:
