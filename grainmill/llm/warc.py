@@ -34,6 +34,8 @@ from grainmill.llm.common import join_unique
 MIN_REVISIT = 100
 FILE_BYTES = 1 << 28
 RANGE_BYTES = 1 << 23
+# Beyond so many ranges a task reads several.
+MAX_TASKS = 20_000
 CHUNK = 1 << 18
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -211,8 +213,9 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bo
     """The records of files given by path and bytes. Ids are text, as in the headers."""
     begins = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(begins).alias("begin"))
-    # Ranges of a file go to different tasks.
-    ranges = ranges.repartition(F.xxhash64("path", "begin"))
+    # A stated number of tasks, which adaptive execution does not merge although the rows are few.
+    number = files.agg(F.sum(F.ceil(F.col("bytes") / range_bytes)).alias("n")).first()["n"] or 1
+    ranges = ranges.repartition(min(MAX_TASKS, number))
     columns = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
     columns += ["payload"] if payloads else []
 

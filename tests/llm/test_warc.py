@@ -2,6 +2,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 from grainmill.llm import warc
 from grainmill.llm.warc import members, parse, read_archives, record, with_types, write_archives
 from grainmill.session import new_folder, settle
@@ -62,3 +63,14 @@ def test_files_are_cut_and_empty_tables_give_none(spark, monkeypatch):
     files, found = _round_trip(spark, pages)
     assert len(found) == 40 and files.agg({"records": "sum"}).first()[0] == 40
     assert _round_trip(spark, pages.limit(0))[1] == []
+
+
+def test_ranges_are_read_by_several_tasks(spark, monkeypatch):
+    """Adaptive execution does not merge the few bytes of the range rows into one task."""
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    pages = spark.createDataFrame([(k, "u", f"page {k * k} " * 50, "k", 1, 2) for k in range(60)], PAGES).repartition(3)
+    files = settle(write_archives(with_types(pages), new_folder(spark, "warc")))
+    whole = files.agg({"bytes": "sum"}).first()[0]
+    found = read_archives(files, range_bytes=whole // 10).withColumn("task", F.spark_partition_id())
+    tasks = [r["n"] for r in found.groupBy("task").agg(F.count("*").alias("n")).collect()]
+    assert sum(tasks) == 60 and len(tasks) >= 8 and max(tasks) <= 15
