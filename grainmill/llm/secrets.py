@@ -12,12 +12,16 @@ Offsets count code points, with an exclusive end. Missing and empty texts have
 no span. Repeated rows are scanned each. With no labelled secret in the sample
 the field adds nothing. Only ``doc_id`` and ``text`` are read.
 
-A chain is a line; one of more than CHAIN tokens is decoded in parts of CHAIN.
+A chain is a whole line. Of a long one, parts of PART tokens are decoded at the
+same time, once for each tag that the token before may have; joining these gives
+the best tags of the whole line, however long it is. Only lines of the training
+sample are cut, at PART tokens.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +36,7 @@ from grainmill.session import Scratch
 KINDS = ["assign", "access", "hex", "model"]
 MAX_SAMPLE = 20_000
 MAX_LINES = 4_000
-CHAIN = 256
+PART = 256
 BLOCK = 1 << 20
 
 ASSIGN = re.compile(
@@ -167,16 +171,23 @@ def tokens_of(block: list[bytes]) -> tuple[Tokens, np.ndarray]:
     new = np.ones(n, bool)
     new[1:] = breaks[1:] != breaks[:-1]
     first = np.flatnonzero(new)
-    within = np.arange(n) - np.repeat(first, np.diff([*first, n]))
-    chains = np.append(np.flatnonzero(within % CHAIN == 0), n)
-    return Tokens(starts, ends, chains, codes), places
+    return Tokens(starts, ends, np.append(first, n), codes), places
 
 
-def _columns(chains: np.ndarray) -> Iterator[np.ndarray]:
-    """The first tokens of all chains, the second ones, and so on; longest chain first."""
-    sizes = np.diff(chains)
+def _parts(chains: np.ndarray) -> np.ndarray:
+    """The chains cut into parts of PART tokens."""
+    n = int(chains[-1])
+    within = np.arange(n) - np.repeat(chains[:-1], np.diff(chains))
+    return np.append(np.flatnonzero(within % PART == 0), n)
+
+
+def _columns(chains: np.ndarray, chosen: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The first tokens of all (or the chosen) chains, the second ones, and so on; longest chain first."""
+    sizes, firsts = np.diff(chains), chains[:-1]
+    if chosen is not None:
+        sizes, firsts = sizes[chosen], firsts[chosen]
     order = np.argsort(-sizes, kind="stable")
-    firsts, sizes = chains[:-1][order], sizes[order]
+    firsts, sizes = firsts[order], sizes[order]
     for step in range(int(sizes[0]) if len(sizes) else 0):
         yield firsts[: np.searchsorted(-sizes, -step, "left")] + step
 
@@ -205,22 +216,69 @@ class Field:
         if not n or not self.trained:
             return tags
         score, moves = self.scores(tokens.codes), self.barred()
-        best, back = np.zeros((n, 3)), np.zeros((n, 3), np.int8)
-        steps = list(_columns(tokens.chains))
-        for k, at in enumerate(steps):
-            if not k:
-                best[at] = score[at]
-                best[at, INSIDE] = -1e9
+        parts = _parts(tokens.chains)
+        opening = np.isin(parts[:-1], tokens.chains[:-1])
+        begin = np.zeros((1, 1, 3))
+        begin[..., INSIDE] = -1e9
+        # Parts that open a chain start in one way, others in one for each tag before them.
+        entered = np.full(len(parts) - 1, -1, np.int8)
+        found = {}
+        for first, ways in ((True, begin), (False, moves[None])):
+            chosen = np.flatnonzero(opening == first)
+            found[first] = self._walk(parts, chosen, score, moves, ways)
+        # The best way through the parts of each long chain.
+        rows = {first: {int(k): i for i, k in enumerate(found[first][0])} for first in (True, False)}
+        at = 0
+        finals = np.zeros(len(parts) - 1, np.int8)
+        while at < len(opening):
+            stop = at + 1
+            while stop < len(opening) and not opening[stop]:
+                stop += 1
+            value = found[True][1][rows[True][at], 0]
+            ways = []
+            for k in range(at + 1, stop):
+                both = value[:, None] + found[False][1][rows[False][k]]
+                ways.append(both.argmax(0))
+                value = both.max(0)
+            finals[stop - 1] = value.argmax()
+            for k in range(stop - 1, at, -1):
+                entered[k] = finals[k - 1] = ways[k - 1 - at][finals[k]]
+            at = stop
+        for first in (True, False):
+            chosen, _, steps, back = found[first]
+            if not len(chosen):
                 continue
-            ways = best[at - 1][:, :, None] + moves
-            back[at] = ways.argmax(1)
-            best[at] = ways.max(1) + score[at]
-        last = tokens.chains[1:] - 1
-        tags[last] = best[last].argmax(1)
-        for at in steps[:0:-1]:
-            tags[at - 1] = back[at, tags[at]]
+            way = np.zeros(n, np.int8)
+            sizes = np.diff(parts)[chosen]
+            place = np.repeat(parts[:-1][chosen], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            way[place] = np.repeat(np.maximum(entered[chosen], 0) if not first else np.zeros(len(chosen), np.int8), sizes)
+            tags[parts[1:][chosen] - 1] = finals[chosen]
+            for at in steps[:0:-1]:
+                tags[at - 1] = back[at, way[at] if not first else 0, tags[at]]
         return tags
 
+    def _walk(
+        self, parts: np.ndarray, chosen: np.ndarray, score: np.ndarray, moves: np.ndarray, ways: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """Best scores at the ends of the chosen parts for each way to enter, and how they came about."""
+        entries = ways.shape[1]
+        back = np.zeros((len(score) if len(chosen) else 0, entries, 3), np.int8)
+        steps = list(_columns(parts, chosen))
+        ends = np.zeros((len(chosen), entries, 3))
+        best = np.zeros((len(chosen), entries, 3))
+        order = np.argsort(-np.diff(parts)[chosen], kind="stable")
+        last = parts[1:][chosen][order] - 1
+        for k, at in enumerate(steps):
+            if not k:
+                best = ways + score[at][:, None, :]
+            else:
+                paths = best[: len(at), :, :, None] + moves
+                back[at] = paths.argmax(2)
+                best = paths.max(2) + score[at][:, None, :]
+            done = last[: len(at)] == at
+            ends[order[: len(at)][done]] = best[done]
+        return chosen, ends, steps, back
+
     def gradient(self, tokens: Tokens, gold: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Of the log likelihood, by the forward-backward recursion."""
         n = len(gold)
@@ -330,8 +388,9 @@ def _gold(text: str, data: bytes, tokens: Tokens) -> np.ndarray:
 def fit_secrets(docs: DataFrame, max_sample: int = MAX_SAMPLE, max_lines: int = MAX_LINES) -> Field:
     """Train on the documents whose hashed id is lowest, about ``max_sample``.
 
-    From these, lines with a labelled secret and, in every text, the first two
-    without one are gathered, at most ``max_lines`` of either sort, by hash.
+    From these, lines with a labelled secret and, of every text, two others that
+    a hash chooses from all its lines are gathered, at most ``max_lines`` of either
+    sort, by hash.
     """
     total = docs.count()
     part = 1_000_000
@@ -347,12 +406,15 @@ def fit_secrets(docs: DataFrame, max_sample: int = MAX_SAMPLE, max_lines: int =
                 data = text.encode("utf-8", "surrogatepass")
                 tokens, _ = tokens_of([data])
                 gold = _gold(text, data, tokens)
-                plain = 0
-                for a, b in zip(tokens.chains, tokens.chains[1:], strict=False):
-                    hit = bool((gold[a:b] != OUTSIDE).any())
-                    plain += not hit
-                    if hit or plain <= 2:
-                        out.append((hit, tokens.codes[a:b].tobytes(), gold[a:b].tobytes()))
+                plain = []
+                cuts = _parts(tokens.chains)
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if (gold[a:b] != OUTSIDE).any():
+                        out.append((True, tokens.codes[a:b].tobytes(), gold[a:b].tobytes()))
+                    else:
+                        codes = tokens.codes[a:b].tobytes()
+                        plain = sorted([*plain, (zlib.crc32(codes), codes, gold[a:b].tobytes())])[:2]
+                out += [(False, codes, tags) for _, codes, tags in plain]
             yield pd.DataFrame(out, columns=["hit", "codes", "gold"])
 
     with Scratch(docs.sparkSession) as scratch:

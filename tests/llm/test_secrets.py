@@ -4,7 +4,9 @@ import re
 
 import numpy as np
 import pandas as pd
+import pytest
 from edges import awkward_docs, no_docs
+from grainmill.llm import secrets
 from grainmill.llm.secrets import (
     GROUPS,
     KINDS,
@@ -51,7 +53,10 @@ def _best_path(model, codes):
     return max(best[-1])
 
 
-def test_decoding_and_gradient_of_chains():
+@pytest.mark.parametrize("part", [1, 3, 256])
+def test_decoding_and_gradient_of_chains(monkeypatch, part):
+    """Lines are decoded as one chain, also across the parts of long ones."""
+    monkeypatch.setattr(secrets, "PART", part)
     draw = np.random.default_rng(3)
     sizes = [1, 5, 3, 8]
     codes = np.stack([draw.integers(0, n, sum(sizes)) for n in GROUPS.values()], 1).astype(np.int32)
@@ -118,3 +123,22 @@ def test_awkward_rows(spark):
     assert scan_secrets(no_docs(spark), fit_secrets(no_docs(spark))).count() == 0
     tokens, places = tokens_of([b"", b"a\xc3\xa9 b", b""])
     assert len(tokens.starts) == 2 and list(places) == [0, 1, 7, 8]
+
+
+def test_a_span_across_parts_is_one_span(monkeypatch):
+    """A model that only knows digits finds the same span wherever a long line is cut."""
+    text = "plain words " * 200 + "k = a1b2c3d4e5f6g7h8 + i9j0k1l2m3n4 " + "more words " * 50
+    lines = [f"value = {'x' * k}a1b2c3d4e5f6g7h8 end" for k in range(9)] + ["plain words and more of them"] * 9
+    tokens, places = tokens_of([t.encode() for t in lines])
+    gold = np.full(len(tokens.starts), 2, np.int8)
+    for k, a in enumerate(tokens.starts):
+        row = int(np.searchsorted(places, a, "right")) - 1
+        if any(c.isdigit() for c in lines[row][a - places[row] : tokens.ends[k] - places[row]]):
+            gold[k] = 0
+    model = Field()
+    model.train(tokens, gold.astype(np.int64))
+    found = []
+    for part in (1, 2, 7, 401, 402, 403, 10_000):
+        monkeypatch.setattr(secrets, "PART", part)
+        found.append(find_spans([text], model)[0][1])
+    assert found[0] and all(f == found[0] for f in found)
