@@ -7,8 +7,8 @@ If sets x and y overlap by c(x) = ceil(0.8 |x|) or more, as linked ones do, then
 the first k common tokens lie among the first |x| - c(x) + k of x.
 
 * Light sets (small ones) enumerate the subsets of two (k = 2) of that prefix.
-* Heavy sets put their prefix on inverted lists and scan these. They take k as a
-  quarter of the tokens they may lack: a set with fewer than that many tokens on
+* Heavy sets put their prefix on inverted lists and scan these. They take k as
+  half of the tokens they may lack: a set with fewer than that many tokens on
   lists of two or more sets links with nothing, however frequent a passage it
   shares, and leaves all lists. Of the others the prefix for k = 1 stays.
 * A light set within reach of a heavy size also visits the inverted lists.
@@ -118,7 +118,7 @@ def _portions(batch: pd.DataFrame, rows: int = 1024) -> Iterator[pd.DataFrame]:
 
 def _reserve(n: int, percent: int) -> int:
     """Common tokens that a heavy set of size n must show in its prefix."""
-    return max(1, (n - _percent_of(n, percent)) // 4)
+    return max(1, (n - _percent_of(n, percent)) // 2)
 
 
 def _scan(docs: DataFrame, size: int) -> DataFrame:
@@ -352,7 +352,7 @@ def _promising(lists: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """
     subset = F.col("kind") == 1
     least = F.ceil(F.lit(percent) * F.col("n") / 100)
-    reserve = F.greatest(F.lit(1), F.floor(F.floor((100 - percent) * least / 100) / 4))
+    reserve = F.greatest(F.lit(1), F.floor(F.floor((100 - percent) * least / 100) / 2))
     held = lists.groupBy("class", subset.alias("subset")).agg(F.count("*").alias("held"), F.max("n").alias("n"))
     kept = scratch.settle(held.where(F.col("subset") | (F.col("held") >= reserve)).drop("n"))
     rows = lists.withColumn("subset", subset).join(_sent(kept), ["class", "subset"])
@@ -380,7 +380,7 @@ def _with_roots(lists: DataFrame, roots: DataFrame | None, scratch: Scratch) ->
     rows = scratch.settle(_rooted(lists.drop("root"), roots))
     ends = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = scratch.settle(ends.where("low <> high").select("key"))
-    rows = scratch.settle(rows.join(_sent(mixed), "key", "left_semi"))
+    rows = scratch.settle(rows.join(mixed, "key", "left_semi"))
     release(lists.sparkSession)
     return rows
 
@@ -450,6 +450,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
             found = _linked(_some_pairs(some, sketches, percent, turn), docs, classes, size, percent, scratch)
             links = scratch.settle(found if links is None else links.union(found))
             roots = components(links, scratch)
+            release(spark)
         lists = _with_roots(lists, roots, scratch)
         while True:
             turn += 1
@@ -461,6 +462,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
             lists = _with_roots(lists, roots, scratch)
             if not worth:
                 break
+        release(spark)
         found = _linked(_rest_of_pairs(lists, sketches, percent), docs, classes, size, percent, scratch)
         roots = components(links.union(found), scratch).withColumnRenamed("node", "class")
         named = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
