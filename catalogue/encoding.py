@@ -1,5 +1,7 @@
 """Encoding and scaling queries."""
 
+from pyspark.sql import functions as F
+
 from catalogue.registry import cte, derived, query, rounded, table
 from grainmill.operators import encoding, scaling
 
@@ -30,6 +32,26 @@ def detect_categorical(spark, sf_dir):
     return encoding.detect_categorical(table(spark, sf_dir, "part"))
 
 
+_SAMPLED = [("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int")]
+
+
+@query(
+    "detect_categorical_samples",
+    "SELECT d.\"column\", category_type, sample_values FROM ("
+    + " UNION ALL ".join(_categorical(c, t) for c, t in _SAMPLED)
+    + ") d JOIN ("
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", array_to_string(list_sort(list(DISTINCT CAST({c} AS VARCHAR)))[1:5], ', ') AS sample_values
+        FROM part WHERE {c} IS NOT NULL"""
+        for c, _ in _SAMPLED
+    )
+    + ") s ON d.\"column\" = s.\"column\"",
+)
+def detect_categorical_samples(spark, sf_dir):
+    found = encoding.detect_categorical(table(spark, sf_dir, "part"), samples=5)
+    return found.select("column", "category_type", F.array_join("sample_values", ", ").alias("sample_values"))
+
+
 @query(
     "encode_stats",
     """

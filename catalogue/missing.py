@@ -1,6 +1,6 @@
 """Missing value queries."""
 
-from catalogue.registry import cte, derived, query, rounded
+from catalogue.registry import cte, derived, query, rounded, table
 from grainmill.operators import missing
 
 COLUMNS = [
@@ -106,6 +106,23 @@ _register_fill("impute_constant", "mostly_missing", {"method": "constant", "valu
 _register_fill("impute_unknown", "event_type", {"method": "unknown_tag"}, "'Unknown'", None)
 
 
+@query(
+    "impute_constant_types",
+    """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN DATE '1999-12-31' ELSE CAST(o_orderdate AS DATE) END AS day,
+       CASE WHEN o_orderkey % 5 = 0 THEN false ELSE o_totalprice > 100000 END AS dear
+FROM orders""",
+)
+def impute_constant_types(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "IF(o_orderkey % 3 = 0, NULL, CAST(o_orderdate AS DATE)) AS day",
+        "IF(o_orderkey % 5 = 0, NULL, o_totalprice > 100000) AS dear",
+    )
+    chosen = {"day": {"method": "constant", "value": "1999-12-31"}, "dear": {"method": "constant", "value": "false"}}
+    filled, _ = missing.impute_missing_values(orders, chosen)
+    return filled
+
+
 @query(
     "impute_drop",
     cte("dirty_events") + "\nSELECT event_id, value FROM dirty_events WHERE value IS NOT NULL",

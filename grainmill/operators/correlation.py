@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.columns import col, existing, numeric_columns
 from grainmill.functions.moments import collect_moments, safe_corr
+from grainmill.plans.gram import gram_matrix, standardized
 from grainmill.plans.ranks import kendall_matrix, spearman_matrix
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -21,10 +22,13 @@ MODERATE, HIGH = 0.7, 0.9
 PAIR_THRESHOLD = 0.90
 VIF_THRESHOLD = 10.0
 VIF_GRADES = [(20, "very_high"), (10, "high"), (5, "moderate")]
-# Pairs that one aggregation covers; more take further passes of the same kind.
+# Doubtful pairs that one aggregation covers; more take further passes of the same kind.
 PAIRS_A_PASS = 100
-# Below this share of unexplained variance a column counts as determined.
-SINGULAR = 1e-12
+# Below this share of its square a sum of squared deviations is computed anew.
+DOUBTFUL = 1e-6
+# Eigenvalues of a correlation matrix that count as 0, per column, and the part of
+# a column in their space from which it counts as determined by others.
+SINGULAR, DETERMINED = 1e-13, 1e-8
 
 PAIR_SCHEMA = "column1 string, column2 string, r double"
 
@@ -73,21 +77,19 @@ def fit_correlations(
     if method in ("spearman", "kendall"):
         found = (spearman_matrix if method == "spearman" else kendall_matrix)(rows, columns)
         return {p: found.get(p) for p in pairs}
-    # Products of deviations from the means, which lose no digits to large means.
-    means = rows.agg(
-        *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[(F.min(col(c)) < F.max(col(c))).alias(f"e{i}") for i, c in enumerate(columns)],
-    ).first()
-    away = {c: col(c) - F.lit(means[f"m{i}"]) for i, c in enumerate(columns)}
-    varies = {c: bool(means[f"e{i}"]) for i, c in enumerate(columns)}
-    aggs = [F.sum(away[c] * away[c]).alias(f"s{i}") for i, c in enumerate(columns)]
-    aggs += [F.sum(away[a] * away[b]).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]
-    row = _in_passes(rows, aggs)
-    squares = {c: row[f"s{i}"] if varies[c] else 0.0 for i, c in enumerate(columns)}
+    # Standardized first, so that neither large means nor tiny spreads lose digits.
+    moments = collect_moments(rows, {c: col(c) for c in columns}, ["mean", "std", "min", "max"])
+    varies = {c: bool(m["std"]) and m["min"] < m["max"] for c, m in moments.items()}
+    spread = {c: m["std"] if varies[c] else None for c, m in moments.items()}
+    if not any(varies.values()):
+        return dict.fromkeys(pairs)
+    gram = gram_matrix(rows, [standardized(col(c), moments[c]["mean"], spread[c]) for c in columns])
+    size = np.sqrt(np.diag(gram))
+    place = {c: i for i, c in enumerate(columns)}
     result = {}
-    for k, (a, b) in enumerate(pairs):
-        spread = math.sqrt(squares[a] or 0.0) * math.sqrt(squares[b] or 0.0)
-        result[a, b] = row[f"p{k}"] / spread if spread else None
+    for a, b in pairs:
+        i, j = place[a], place[b]
+        result[a, b] = float(gram[i, j] / (size[i] * size[j])) if varies[a] and varies[b] else None
     return result
 
 
@@ -130,22 +132,39 @@ def pairwise_correlations(
     Cells below the threshold are blanked.
     """
     names = _chosen(df, columns)
-    single = collect_moments(df, {c: col(c) for c in names}, ["mean", "std"])
-    gaps = {c for c in names if single[c]["missing"]}
-    pairs = _pair_keys(names)
-    aggs = [F.count("*").alias("rows")]
-    for k, (a, b) in enumerate(pairs):
-        x, y = col(a).cast("double"), col(b).cast("double")
-        if a in gaps or b in gaps:
-            aggs.append(safe_corr(x, y).alias(f"p{k}"))
-        else:
-            # Without missing cells the means and deviations of the pair are already known.
-            spread = (single[a]["std"] or 0.0) * (single[b]["std"] or 0.0) * (single[a]["count"] - 1)
-            product = (x - F.lit(single[a]["mean"])) * (y - F.lit(single[b]["mean"]))
-            aggs.append(F.try_divide(F.sum(product), F.lit(spread)).alias(f"p{k}"))
-    row = _in_passes(df, aggs)
-    cells = {(c, c): 1.0 if single[c]["std"] else None for c in names}
-    for k, (a, b) in enumerate(pairs):
+    moments = collect_moments(df, {c: col(c) for c in names}, ["mean", "std"])
+    gaps = [c for c in names if moments[c]["missing"]]
+    away = [standardized(col(c).cast("double"), moments[c]["mean"], moments[c]["std"]) for c in names]
+    present = [col(c).isNotNull().cast("double") for c in gaps]
+    size = len(names)
+    # Besides the values their squares and presence, if cells are missing, and a constant.
+    squares = [v * v for v in away] if gaps else []
+    present = [col(c).isNotNull().cast("double") for c in gaps]
+    parts = [*away, *squares, *present, F.lit(1.0)]
+    one = len(parts) - 1
+    mask = {c: size + len(squares) + i for i, c in enumerate(gaps)}
+    varying = [c for c in names if moments[c]["std"]]
+    gram = gram_matrix(df, parts) if varying else None
+    cells: dict[tuple[str, str], float | None] = {(c, c): 1.0 if moments[c]["std"] else None for c in names}
+    doubtful = []
+    for i, a in enumerate(names):
+        for j, b in list(enumerate(names))[i + 1 :]:
+            r = None
+            if moments[a]["std"] and moments[b]["std"]:
+                # Over the rows in which both are present; a missing value is a 0.
+                other = mask.get(b, one), mask.get(a, one)
+                n = gram[other]
+                sums = gram[i, other[0]], gram[j, other[1]]
+                square = [gram[size + x, o] if gaps else gram[x, x] for x, o in zip((i, j), other, strict=True)]
+                left = [q - t * t / n if n else 0.0 for q, t in zip(square, sums, strict=True)]
+                if any(v <= DOUBTFUL * q for v, q in zip(left, square, strict=True)):
+                    doubtful.append((a, b))  # nearly constant where the other one is present
+                else:
+                    r = float((gram[i, j] - sums[0] * sums[1] / n) / math.sqrt(left[0] * left[1]))
+            cells[a, b] = cells[b, a] = r
+    exact = [safe_corr(col(a).cast("double"), col(b).cast("double")).alias(f"p{k}") for k, (a, b) in enumerate(doubtful)]
+    row = _in_passes(df, exact)
+    for k, (a, b) in enumerate(doubtful):
         cells[a, b] = cells[b, a] = row[f"p{k}"]
 
     def shown(r: float | None) -> float | None:
@@ -185,7 +204,7 @@ def fit_vif(
 ) -> dict[str, float]:
     """Variance inflation per column, unrounded; infinite if determined by others.
 
-    One aggregation gives the correlations; the rest is algebra on a matrix
+    Two passes give the correlations; the rest is one decomposition of a matrix
     with one row per column.
     """
     names = _chosen(df, columns)
@@ -207,14 +226,12 @@ def fit_vif(
     for (a, b), r in found.items():
         i, j = place[a], place[b]
         matrix[i, j] = matrix[j, i] = 0.0 if r is None else r
-    result = {}
-    for i, c in enumerate(names):
-        others = [j for j in range(size) if j != i]
-        link = matrix[i, others]
-        weights = np.linalg.lstsq(matrix[np.ix_(others, others)], link, rcond=1e-12)[0]
-        unexplained = 1.0 - float(link @ weights)
-        result[c] = math.inf if unexplained < SINGULAR else 1.0 / unexplained
-    return result
+    # One decomposition: the diagonal of the (pseudo-)inverse.
+    values, vectors = np.linalg.eigh(matrix)
+    null = values <= SINGULAR * size
+    determined = (vectors[:, null] ** 2).sum(axis=1) > DETERMINED
+    inflation = (vectors[:, ~null] ** 2 / values[~null]).sum(axis=1)
+    return {c: math.inf if determined[i] else max(1.0, float(inflation[i])) for i, c in enumerate(names)}
 
 
 def _rounded_vif(vif: dict[str, float]) -> list[tuple[str, float, str]]:

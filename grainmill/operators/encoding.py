@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,10 +33,17 @@ ORDINAL_SCALES = [
 ]
 FEW_INTEGERS = 10
 PREVIEW_VALUES = 20
+# New columns that one-hot encoding makes unless told otherwise.
+MAX_CATEGORIES = 10_000
 
 
-def detect_categorical(df: DataFrame) -> DataFrame:
-    """Text columns and integer columns with few values, with an encoding."""
+def detect_categorical(df: DataFrame, samples: int = 0) -> DataFrame:
+    """Text columns and integer columns with few values, with an encoding.
+
+    With ``samples`` also ``sample_values``: so many of the values as texts, the
+    first ones in the order of texts. They come from the same distinct pairs as
+    the counts, cut before the shuffle.
+    """
     texts, numbers = string_columns(df), integer_columns(df)
     columns = [c for c in df.columns if c in texts or c in numbers]
     aggs = [F.count("*").alias("rows")]
@@ -59,6 +66,16 @@ def detect_categorical(df: DataFrame) -> DataFrame:
     # One row per column of the table on either side.
     unique = F.broadcast(distinct_counts(df, columns))
     kind = F.when(F.col("ordinal"), "ordinal").when(F.col("is_text"), "nominal")
+    chosen = []
+    if samples:
+        texts_only = df.select(*[col(c).cast("string").alias(c) for c in columns])
+        pairs = texts_only.unpivot([], [col(c) for c in columns], "column", "value").where("value IS NOT NULL").distinct()
+        order = Window.partitionBy("column").orderBy("value")
+        first = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= samples)
+        shown = first.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
+        # One row per column here too.
+        found = found.join(F.broadcast(shown), "column", "left")
+        chosen = [F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values")]
     return (
         found.join(unique, "column")
         .where(F.col("is_text") | (F.col("unique_count") <= FEW_INTEGERS))
@@ -68,6 +85,7 @@ def detect_categorical(df: DataFrame) -> DataFrame:
             "unique_count",
             kind.otherwise("possible_categorical").alias("category_type"),
             F.when(F.col("ordinal"), "label").otherwise("one_hot").alias("suggested_encoding"),
+            *chosen,
         )
     )
 
@@ -107,9 +125,12 @@ class OneHot:
 
 
 def fit_one_hot(
-    df: DataFrame, column: str, drop_first: bool = False, max_values: int | None = None
+    df: DataFrame, column: str, drop_first: bool = False, max_values: int | None = MAX_CATEGORIES
 ) -> OneHot:
-    """A column for every value; it fails if there are more than ``max_values``, if given."""
+    """A column for every value; with more than ``max_values`` it fails before they are collected.
+
+    ``None`` sets no limit.
+    """
     require(df, [column])
     values = _sorted_categories(df, column, max_values)
     if values is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -120,6 +121,16 @@ def _check_constant(value: Any, dtype: T.DataType) -> str | None:
             return f"{value!r} does not fit {dtype.simpleString()}"
         if isinstance(dtype, T.IntegralType) and not number.is_integer():
             return f"{value!r} does not fit {dtype.simpleString()}"
+    elif isinstance(dtype, T.BooleanType):
+        if not isinstance(value, bool) and str(value).lower() not in ("true", "false"):
+            return f"{value!r} does not fit {dtype.simpleString()}"
+    elif isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        # Dates and times, or texts that write them in the ISO way.
+        if not isinstance(value, datetime.date):
+            try:
+                datetime.datetime.fromisoformat(str(value))
+            except ValueError:
+                return f"{value!r} does not fit {dtype.simpleString()}"
     elif not isinstance(dtype, T.StringType):
         return f"no constant for {dtype.simpleString()}"
     return None

@@ -1,8 +1,9 @@
 """Small literal tables for the rules on missing values, ties and edges."""
 
+import math
+
 import numpy as np
 import pandas as pd
-import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -415,3 +416,29 @@ def test_density_equals_a_sum_over_all_values(spark, values):
     assert np.abs(found["density"].to_numpy() - wanted).max() < 1e-11 / h
     tallest = np.histogram(v, 30)[0].max()
     assert found["scaled"].max() == pytest.approx(tallest)
+
+
+def test_constants_of_other_types(spark):
+    """Booleans and dates are filled with a value of their type or a text that writes one."""
+    df = spark.createDataFrame([(None, None, None), (True, None, 1)], "b boolean, d date, i int")
+    good = {"b": {"method": "constant", "value": False}, "d": {"method": "constant", "value": "2024-02-29"}}
+    out, _ = missing.impute_missing_values(df, good)
+    assert [(r["b"], str(r["d"])) for r in out.collect()] == [(False, "2024-02-29"), (True, "2024-02-29")]
+    bad = {"b": {"method": "constant", "value": "maybe"}, "d": {"method": "constant", "value": "2023-02-29"}}
+    out, stats = missing.impute_missing_values(df, bad)
+    assert [r["error"] is not None for r in stats.collect()] == [True, True]
+    assert out.where("d IS NOT NULL").count() == 0
+
+
+def test_samples_of_categorical_columns(spark):
+    df = spark.createDataFrame([(k, f"v{k % 7}", k % 3, None) for k in range(40)], "id long, t string, few int, none string")
+    found = {r["column"]: r["sample_values"] for r in encoding.detect_categorical(df, samples=5).collect()}
+    assert found == {"t": ["v0", "v1", "v2", "v3", "v4"], "few": ["0", "1", "2"], "none": []}
+
+
+def test_one_hot_has_a_limit_unless_lifted(spark, monkeypatch):
+    df = spark.range(60).selectExpr("CAST(id AS STRING) AS t")
+    with pytest.raises(ValueError):
+        encoding.fit_one_hot(df, "t", max_values=59)
+    assert len(encoding.fit_one_hot(df, "t", max_values=None).values) == 60
+    assert encoding.MAX_CATEGORIES == 10_000

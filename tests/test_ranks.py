@@ -144,3 +144,57 @@ def test_formula_error_is_reported(spark):
     )
     assert out.columns == ["a", "b", "r"] and out.first()["r"] is None
     assert [bool(r["error"]) for r in stats.collect()] == [False, True]
+
+
+def _wide(spark, n, k, missing=0.0):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(n, 6))
+    data = base @ rng.normal(size=(6, k)) + rng.normal(size=(n, k)) * 10.0 ** rng.integers(-3, 6, k) + 10.0 ** rng.integers(0, 8, k)
+    pdf = pd.DataFrame(data, columns=[f"c{i}" for i in range(k)])
+    if missing:
+        pdf = pdf.mask(rng.random(pdf.shape) < missing)
+    schema = ", ".join(f"c{i} double" for i in range(k))
+    rows = [tuple(None if v != v else float(v) for v in row) for row in pdf.to_numpy()]
+    return pdf, spark.createDataFrame(rows, schema)
+
+
+def test_wide_tables_take_as_many_jobs_as_narrow_ones(spark):
+    """300 columns: two passes, one for the moments and one for all products, and one solution."""
+    context = spark.sparkContext
+    jobs = []
+    for k in (3, 300):
+        pdf, df = _wide(spark, 700, k)
+        context.setJobGroup(f"gram {k}", "columns")
+        found = correlation.fit_correlations(df, list(pdf.columns))
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"gram {k}")))
+        wanted = np.corrcoef(pdf.to_numpy().T)
+        for (a, b), r in found.items():
+            assert r == pytest.approx(wanted[int(a[1:]), int(b[1:])], abs=1e-9)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] <= 3
+    vif = correlation.fit_vif(df, list(pdf.columns))
+    inverse = np.diag(np.linalg.inv(wanted))
+    assert [vif[c] for c in pdf.columns] == pytest.approx(list(inverse), rel=1e-6)
+
+
+def test_pairwise_correlations_with_missing_cells(spark):
+    pdf, df = _wide(spark, 300, 9, missing=0.3)
+    df = df.selectExpr("*", "CASE WHEN c0 IS NOT NULL THEN 5.0D ELSE c1 END AS odd", "1.0D AS same", "CAST(NULL AS DOUBLE) AS none")
+    found = {(r["column1"], r["column2"]): r["r"] for r in correlation.pairwise_correlations(df).collect()}
+    pdf["odd"] = np.where(pdf["c0"].notna(), 5.0, pdf["c1"])
+    wanted = pdf.corr()
+    for a in pdf.columns:
+        for b in pdf.columns:
+            if (a, b) in (("odd", "c0"), ("c0", "odd")):
+                assert found[a, b] is None  # constant where both are present
+            else:
+                assert found[a, b] == pytest.approx(wanted.loc[a, b], abs=1e-9)
+    assert {found[c, "same"] for c in pdf.columns} == {found["none", "none"], found["same", "same"]} == {None}
+
+
+def test_pairs_far_from_an_outlier_keep_their_digits(spark):
+    """The outlier is in a row that the other column lacks."""
+    rows = [(float(k % 7), float(k % 5)) for k in range(60)] + [(1e12, None)]
+    found = correlation.pairwise_correlations(spark.createDataFrame(rows, "a double, b double")).where("column1 < column2").first()
+    pdf = pd.DataFrame(rows[:-1])
+    assert found["r"] == pytest.approx(pdf[0].corr(pdf[1]), abs=1e-9)
