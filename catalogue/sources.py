@@ -303,20 +303,26 @@ def snapshot_row_diff(spark, sf_dir):
     return row_diff(store.load("df_raw"), store.load("df_final"))
 
 
-def _number_text(c: str) -> str:
-    return f"coalesce(printf('%.14e', {c}), '-')"
+_PRINTED = {"l_shipdate": "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f')"}
+_LINE_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+]
+
+
+def _measured_text(c: str) -> str:
+    text = _PRINTED.get(c, f"CAST({c} AS VARCHAR)")
+    return f"coalesce(strlen({text}) || ':' || {text}, '~')"
 
 
 @query(
     "fingerprint",
-    "SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(sum(CAST('0x' || left(md5(concat_ws('|', "
-    + "l_orderkey, l_partkey, l_suppkey, l_linenumber, "
-    + ", ".join(_number_text(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
-    + ", l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'))), 15) AS BIGINT)::HUGEINT) AS VARCHAR)"
-    + " AS row_hash_sum FROM lineitem",
+    "SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(sum(CAST('0x' || left(md5("
+    + " || ".join(_measured_text(c) for c in _LINE_COLUMNS)
+    + "), 15) AS BIGINT)::HUGEINT) AS VARCHAR) AS row_hash_sum FROM lineitem",
 )
 def fingerprint_lines(spark, sf_dir):
-    return fingerprint(table(spark, sf_dir, "lineitem"))
+    return fingerprint(table(spark, sf_dir, "lineitem"), portable=True)
 
 
 @query("snapshot_export", cte("state_before") + "\nSELECT * FROM state_before")

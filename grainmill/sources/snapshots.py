@@ -1,7 +1,8 @@
 """Versioned, branchable snapshots of tables on shared storage.
 
 Each commit is a Parquet folder that never changes. A manifest folder beside
-it holds one row per commit. A store has one writer at a time.
+it holds one row per commit. A commit claims its number on the branch by a new
+file below ``claims``, so of two at the same time one is refused.
 """
 
 from __future__ import annotations
@@ -48,31 +49,46 @@ class StateNotFoundError(LookupError):
     """There is no such snapshot."""
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
+class ConcurrentCommitError(RuntimeError):
+    """Another commit has taken the place of this one on its branch."""
+
+
+def fingerprint(df: DataFrame, portable: bool = False) -> DataFrame:
     """One row: number of rows and a hash that does not depend on their order.
 
-    Row hashes are added up, so repeated rows count.
+    Row hashes are added up, so repeated rows count. They tell apart any two
+    values of a column, a missing one included, and the columns they are in.
+    With ``portable`` a row is hashed as a text that other engines can make: of
+    each value its length in bytes, a colon and the value (fractions in their
+    shortest exact form, times with six digits), ``~`` for a missing one.
     """
-    return df.agg(*_fingerprint_aggregates(df))
+    return df.agg(*_fingerprint_aggregates(df, portable))
 
 
 def canonical_text(df: DataFrame, name: str) -> Column:
-    """A value as text that does not depend on the engine: fractions at 15 digits."""
+    """A value as a text that no other value of its type has."""
     dtype = df.schema[name].dataType
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return F.format_string("%.14e", col(name).cast("double"))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(col(name), "yyyy-MM-dd HH:mm:ss")
-    if isinstance(dtype, (T.ArrayType, T.StructType, T.BinaryType)):
-        return F.hex(F.xxhash64(col(name)))
+        return F.date_format(col(name), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    if isinstance(dtype, T.BinaryType):
+        return F.hex(col(name))
+    if isinstance(dtype, (T.ArrayType, T.StructType)):
+        return F.to_json(F.struct(col(name)))
     return col(name).cast("string")
 
 
-def _fingerprint_aggregates(df: DataFrame) -> list[Column]:
-    # The first 15 hex digits of the md5 of the row's values as text, which any engine can make.
-    texts = [F.coalesce(canonical_text(df, c), F.lit("-")) for c, t in df.dtypes if "map<" not in t]
-    digits = F.substring(F.md5(F.concat_ws("|", *texts)), 1, 15)
-    total = F.sum(F.conv(digits, 16, 10).cast("decimal(38,0)"))
+def _fingerprint_aggregates(df: DataFrame, portable: bool = False) -> list[Column]:
+    names = [c for c, t in df.dtypes if "map<" not in t]
+    if portable:
+        texts = [canonical_text(df, c) for c in names]
+        parts = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in texts]
+        # The first 15 hex digits of the md5.
+        number = F.conv(F.substring(F.md5(F.concat(F.lit(""), *parts)), 1, 15), 16, 10)
+    else:
+        # A missing value does not change a running hash, so which are missing is hashed too.
+        missing = [F.when(col(c).isNull(), F.lit(i)) for i, c in enumerate(names)]
+        number = F.xxhash64(F.array_compact(F.array(F.lit(-1), *missing)), *[col(c) for c in names])
+    total = F.sum(number.cast("decimal(38,0)"))
     return [
         F.count("*").alias("row_count"),
         F.coalesce(total, F.lit(0)).cast("string").alias("row_hash_sum"),
@@ -112,6 +128,25 @@ class SnapshotStore:
         row = self.spark.range(0, 1, 1, 1).select(*values)
         row.write.mode("append").parquet(self.manifest_path)
 
+    def _files(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _claim(self, branch: str, seq: int) -> str:
+        """A new file that only one commit can make; it stays once the commit is in the manifest."""
+        path = f"{self.root}/claims/{branch}/{seq:06d}"
+        files, place = self._files(path)
+        files.mkdirs(place.getParent())
+        if not files.createNewFile(place):
+            raise ConcurrentCommitError(
+                f"commit {seq} of branch {branch!r} is taken; if its writer has died, remove {path}"
+            )
+        return path
+
+    def _give_up(self, claim: str) -> None:
+        files, place = self._files(claim)
+        files.delete(place, False)
+
     def _last(self, branch: str):
         rows = self.manifest().where(F.col("branch") == branch)
         return rows.orderBy(F.col("seq").desc()).first()
@@ -137,6 +172,16 @@ class SnapshotStore:
         if last is None and branch != MAIN:
             raise StateNotFoundError(f"no branch {branch!r}")
         seq = last["seq"] + 1 if last else 0
+        claim = self._claim(branch, seq)
+        try:
+            return self._write(state_id, df, config, summary, branch, seq, last["id"] if last else None)
+        except BaseException:
+            self._give_up(claim)
+            raise
+
+    def _write(
+        self, state_id: str, df: DataFrame, config: dict[str, Any] | None, summary: str, branch: str, seq: int, parent: str | None
+    ) -> DataFrame:
         # A folder of a commit that failed is in no manifest row and is never met again.
         path = f"{self.root}/data/{branch}/{seq:06d}_{state_id}_{uuid.uuid4().hex[:12]}"
         # Counted and hashed while it is written: the table is computed once.
@@ -149,7 +194,7 @@ class SnapshotStore:
                 branch,
                 seq,
                 state_id,
-                last["id"] if last else None,
+                parent,
                 datetime.now(timezone.utc),
                 mark["row_hash_sum"],
                 mark["row_count"],
@@ -178,6 +223,7 @@ class SnapshotStore:
         if self._last(name) is not None:
             raise ValueError(f"there is a branch {name!r} already")
         origin = self._record(source, fork_from)
+        self._claim(name, 0)
         self._add(
             (
                 name,

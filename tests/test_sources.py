@@ -1,9 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalogue.sources import ingest_json_array
-from grainmill.sources import files
+from grainmill.sources import files, snapshots
 from grainmill.sources.report import as_markdown, prep_report
 from grainmill.sources.snapshots import SnapshotStore, StateNotFoundError
 
@@ -163,3 +164,43 @@ def test_json_files_have_one_root(spark, tmp_path):
     assert files.read_json(spark, str(tmp_path)).count() == 19
     found = files.read_json(spark, str(tmp_path / "1.json")).first()
     assert (found["a"], found["d"]) == (record["a"], record["d"])
+
+
+def test_fingerprints_tell_close_states_apart(spark):
+    """Fractions of a second, the last digit, a missing value and its mark, a bar that moves, a column that is missing."""
+    schema = "t timestamp, d double, a string, b string"
+    rows = [
+        ("2024-01-01 00:00:00.000001", 0.1, "x", "y"), ("2024-01-01 00:00:00.000002", 0.1, "x", "y"),
+        ("2024-01-01 00:00:00.000001", 0.1 + 2**-56, "x", "y"), ("2024-01-01 00:00:00.000001", 0.1, "-", "y"),
+        ("2024-01-01 00:00:00.000001", 0.1, None, "y"), ("2024-01-01 00:00:00.000001", 0.1, "~", "y"),
+        ("2024-01-01 00:00:00.000001", 0.1, "x|", "y"), ("2024-01-01 00:00:00.000001", 0.1, "x", "|y"),
+        ("2024-01-01 00:00:00.000001", 0.1, "y", None), ("2024-01-01 00:00:00.000001", 0.1, "", "y"),
+    ]
+    for portable in (False, True):
+        seen = set()
+        for t, *rest in rows:
+            df = spark.createDataFrame([(t, *rest)], "t string, d double, a string, b string")
+            df = df.withColumn("t", F.col("t").cast("timestamp"))
+            assert df.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+            seen.add(tuple(snapshots.fingerprint(df, portable).first()))
+        assert len(seen) == len(rows)
+        twice = spark.createDataFrame([(1, "a"), (2, None)], "i int, s string")
+        shuffled = spark.createDataFrame([(2, None), (1, "a")], "i int, s string")
+        assert snapshots.fingerprint(twice, portable).first() == snapshots.fingerprint(shuffled, portable).first()
+
+
+def test_a_second_commit_of_a_number_is_refused(spark, tmp_path, monkeypatch):
+    store = snapshots.SnapshotStore(spark, str(tmp_path / "store"))
+    df = spark.range(3).toDF("id")
+    store.commit("a", df)
+    late = snapshots.SnapshotStore(spark, str(tmp_path / "store"))
+    before = late._last("main")
+    store.commit("b", df)
+    monkeypatch.setattr(late, "_last", lambda branch: before)  # it has looked before the other one committed
+    with pytest.raises(snapshots.ConcurrentCommitError):
+        late.commit("c", df)
+    monkeypatch.undo()
+    with pytest.raises(Exception):  # a commit that fails gives its number back
+        store.commit("bad", df.selectExpr("raise_error('no') AS id"))
+    store.commit("c", df)
+    assert [r["seq"] for r in store.history().collect()] == [0, 1, 2]
