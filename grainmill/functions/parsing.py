@@ -39,6 +39,8 @@ TIME_LAYOUTS = {
     r" \d{1,2}:\d{2} [AP]M": " h:m a",
     r" \d{1,2}:\d{2}:\d{2} [AP]M": " h:m:s a",
 }
+# No date with a time is longer, white space around it not counted.
+LONGEST_DATE = 128
 # Month first and day first look alike above; day first where the month would be above 12.
 DAY_FIRST = {"M/d/y": "d/M/y", "M-d-y": "d-M-y"}
 
@@ -48,8 +50,17 @@ def to_number(c: Column) -> Column:
     return F.when(c.rlike(NUMBER_PATTERN), F.trim(c).try_cast("double"))
 
 
+def _separator(layout: str) -> str:
+    """The mark that every text of a date layout holds, '' if there is none."""
+    return next((mark for mark in "/.-, " if mark in layout), "")
+
+
 def to_datetime(c: Column) -> Column:
-    """Text as a timestamp without zone, NULL where no known layout fits."""
+    """Text as a timestamp without zone, NULL where no known layout fits.
+
+    Cheap tests come first: the length, the first character and the separator
+    rule most texts out before any pattern is tried.
+    """
     text = F.trim(c)
     parsed = F.when(c.rlike(ISO_DATE_PATTERN), text.try_cast("timestamp_ntz"))
     for date_pattern, date in DATE_LAYOUTS.items():
@@ -60,8 +71,14 @@ def to_datetime(c: Column) -> Column:
             fits = c.rlike(rf"^\s*{date_pattern}{time_pattern}\s*$")
             found = F.when(fits, value) if found is None else found.when(fits, value)
         # One test by the date before those with each time.
-        parsed = parsed.when(c.rlike(rf"^\s*{date_pattern}"), found.cast("timestamp_ntz"))
-    return parsed
+        begins = c.rlike(rf"^\s*{date_pattern}")
+        mark = _separator(date)
+        parsed = parsed.when(F.contains(c, F.lit(mark)) & begins if mark else begins, found.cast("timestamp_ntz"))
+    first = F.ascii(F.ltrim(c))
+    possible = first.between(48, 57) | first.between(65, 90) | first.between(9, 13)
+    # White space around a date may be of any length.
+    short = F.char_length(c) <= LONGEST_DATE
+    return F.when(possible & (short | (F.char_length(text) <= LONGEST_DATE) | c.rlike(r"^\s|\s$")), parsed)
 
 
 def to_boolean(c: Column) -> Column:
