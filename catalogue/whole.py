@@ -57,6 +57,29 @@ def full_preparation_snapshots(spark, sf_dir):
     return rounded(prepared, 5, ["value", "user_id"])
 
 
+_PHASES = [
+    ("df_raw", 9), ("df_schema", 9), ("df_deduplicated", 9), ("df_scoped", 5), ("df_clean", 5), ("df_outlier_handled", 5),
+    ("df_collinear_resolved", 4), ("df_final", 4),
+]
+
+
+@query(
+    "full_preparation_report",
+    cte("dirty_events")
+    + ", p AS ("
+    + " UNION ALL ".join(
+        f"""SELECT '{phase}' AS phase, {columns} AS cols, {"count(*)" if k < 2 else "count(DISTINCT dirty_events)"} AS rows
+        FROM dirty_events"""
+        for k, (phase, columns) in enumerate(_PHASES)
+    )
+    + """)
+SELECT phase, CAST(rows AS BIGINT) AS row_count, CAST(cols AS INTEGER) AS col_count, CAST(NULL AS VARCHAR) AS error FROM p""",
+)
+def full_preparation_report(spark, sf_dir):
+    _, report = CHOICES.run_with_report(derived(spark, sf_dir, "dirty_events"))
+    return report.select("phase", "row_count", "col_count", "error")
+
+
 def flagship(spark, sf_dir):
     """Outlier report of the event values over the whole table."""
     return outliers.detect_outliers(table(spark, sf_dir, "events"), ["value"])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from grainmill.functions.columns import existing, missing_as_null, numeric_columns
@@ -58,54 +61,90 @@ class Preparation:
         are not.
         """
         config = asdict(self)
-
-        def keep(phase: str, table: DataFrame, summary: str) -> DataFrame:
-            # The stored table is read back, so no phase is computed twice.
-            return store.commit(phase, table, config, summary) if store else table
-
-        table = keep("df_raw", missing_as_null(df), "raw table")
-        table = keep(
-            "df_schema", apply_schema_overrides(table, self.overrides), "types applied"
-        )
-
+        table = df
+        for phase, summary, step in self._phases():
+            table, _ = step(table)
+            if store:
+                # The stored table is read back, so no phase is computed twice.
+                table = store.commit(phase, table, config, summary)
+            elif phase == "df_deduplicated" and (self.drop_exact_duplicates or self.duplicate_keys):
+                # Several fits follow; they should not repeat the shuffle.
+                table = settle(table)
+        return table
+
+    def run_with_report(self, df: DataFrame, store: SnapshotStore | None = None) -> tuple[DataFrame, DataFrame]:
+        """The prepared table, and a row per phase: rows, columns, details as JSON and an error.
+
+        A phase that cannot be done says why and passes its table on, as does
+        one whose choices name what is not there. Each phase is written once.
+        """
+        spark, config, table, told = df.sparkSession, asdict(self), df, []
+        for place, (phase, summary, step) in enumerate(self._phases()):
+            details, error, before = {}, None, table
+            try:
+                table, details = step(table)
+                table = store.commit(phase, table, config, summary) if store else settle(table)
+            except (ValueError, PySparkException) as problem:
+                error = f"{type(problem).__name__}: {problem}".splitlines()[0]
+                table = store.commit(phase, before, config, f"{summary}: failed") if store else settle(before)
+            told.append((place, phase, summary, table.count(), len(table.columns), json.dumps(details, default=str), error))
+        schema = "place int, phase string, summary string, row_count bigint, col_count int, details string, error string"
+        return table, spark.createDataFrame(told, schema)
+
+    def _phases(self) -> list[tuple[str, str, Callable[[DataFrame], tuple[DataFrame, dict[str, Any]]]]]:
+        """Name, summary and step of each phase; a step gives the table and what it did."""
+        return [
+            ("df_raw", "raw table", lambda table: (missing_as_null(table), {})),
+            ("df_schema", "types applied", lambda table: (apply_schema_overrides(table, self.overrides), {"types": self.overrides})),
+            ("df_deduplicated", "duplicates resolved", self._without_duplicates),
+            ("df_scoped", "columns chosen", self._scoped),
+            ("df_clean", "rules and missing values handled", self._cleaned),
+            ("df_outlier_handled", "outliers handled", self._without_outliers),
+            ("df_collinear_resolved", "related columns resolved", self._uncorrelated),
+            ("df_final", "encoded and scaled", self._encoded),
+        ]
+
+    def _without_duplicates(self, table: DataFrame) -> tuple[DataFrame, dict[str, Any]]:
         if self.drop_exact_duplicates:
             table = resolve_duplicates(table, self.duplicate_strategy)
         if self.duplicate_keys:
             table = resolve_duplicates(
                 table, self.duplicate_strategy, self.duplicate_keys, self.duplicate_order
             )
-        if store:
-            table = keep("df_deduplicated", table, "duplicates resolved")
-        elif self.drop_exact_duplicates or self.duplicate_keys:
-            # Several fits follow; they should not repeat the shuffle.
-            table = settle(table)
+        return table, {"strategy": self.duplicate_strategy, "keys": self.duplicate_keys}
 
-        table, _ = apply_scope_selection(table, self.columns, self.drop_zero_variance)
-        table = keep("df_scoped", table, "columns chosen")
+    def _scoped(self, table: DataFrame) -> tuple[DataFrame, dict[str, Any]]:
+        scoped, _ = apply_scope_selection(table, self.columns, self.drop_zero_variance)
+        return scoped, {"dropped": [c for c in table.columns if c not in scoped.columns]}
 
+    def _cleaned(self, table: DataFrame) -> tuple[DataFrame, dict[str, Any]]:
         actions = {r.column: "convert_nan" for r in self.rules} | self.rule_actions
         table = apply_constraint_resolution(table, self.rules, actions)
-        table = fit_imputation(table, self.imputation).apply(table)
-        table = keep("df_clean", table, "rules and missing values handled")
+        fitted = fit_imputation(table, self.imputation)
+        names = ("column", "method", "fill_value", "values_imputed", "error")
+        return fitted.apply(table), {"imputed": [dict(zip(names, row, strict=True)) for row in fitted.stats]}
 
-        table = fit_outlier_treatment(
+    def _without_outliers(self, table: DataFrame) -> tuple[DataFrame, dict[str, Any]]:
+        fitted = fit_outlier_treatment(
             table, self.outliers, self.outlier_method, self.outlier_threshold
-        ).apply(table)
-        table = keep("df_outlier_handled", table, "outliers handled")
-
-        table, _ = resolve_multicollinearity(
-            table, self._collinear_choices(table), self.combine_formulas
         )
-        table = keep("df_collinear_resolved", table, "related columns resolved")
+        return fitted.apply(table), {"actions": {c: o.get("action") for c, o in self.outliers.items()}}
+
+    def _uncorrelated(self, table: DataFrame) -> tuple[DataFrame, dict[str, Any]]:
+        choices = self._collinear_choices(table)
+        resolved, _ = resolve_multicollinearity(table, choices, self.combine_formulas)
+        return resolved, {"actions": choices}
 
+    def _encoded(self, table: DataFrame) -> tuple[DataFrame, dict[str, Any]]:
         encoding = fit_encoding(table, self.encoding)
         if encoding.errors:
             raise ValueError(f"cannot encode: {encoding.errors}")
         table = encoding.apply(table)
+        columns = []
         if self.scaling_method:
             columns = existing(table, self.scaling_columns or numeric_columns(table))
             table = fit_scaling(table, self.scaling_method, columns).apply(table)
-        return keep("df_final", table, "encoded and scaled")
+        return table, {"encoded": list(self.encoding), "scaled": columns}
 
     def _collinear_choices(self, table: DataFrame) -> dict[str, str]:
         """The given actions, else the recommended drops among given columns."""

@@ -1,5 +1,6 @@
 """Small literal tables for the rules on missing values, ties and edges."""
 
+import json
 import math
 
 import numpy as np
@@ -25,6 +26,7 @@ from grainmill.operators import (
     scope,
 )
 from grainmill.operators.rules import Rule
+from grainmill.plans.preparation import Preparation
 
 
 def _column(spark, values, dtype="double"):
@@ -442,3 +444,25 @@ def test_one_hot_has_a_limit_unless_lifted(spark, monkeypatch):
         encoding.fit_one_hot(df, "t", max_values=59)
     assert len(encoding.fit_one_hot(df, "t", max_values=None).values) == 60
     assert encoding.MAX_CATEGORIES == 10_000
+
+
+def test_a_preparation_reports_each_phase(spark):
+    """A phase that fails says why and passes its table on."""
+    rows = [(k, "a" if k % 2 else "b", float(k % 5) if k % 7 else None, 1) for k in range(40)] + [(0, "b", None, 1)]
+    df = spark.createDataFrame(rows, "id long, t string, v double, same int")
+    chosen = Preparation(
+        imputation={"v": {"method": "median"}}, encoding={"t": {"method": "no such"}}, scaling_method="standard",
+        outliers={"v": {"action": "winsorize"}},
+    )
+    table, report = chosen.run_with_report(df)
+    told = {r["phase"]: r for r in report.collect()}
+    assert [r["place"] for r in report.orderBy("place").collect()] == list(range(8))
+    assert (told["df_raw"]["row_count"], told["df_deduplicated"]["row_count"]) == (41, 40)
+    assert told["df_scoped"]["col_count"] == 3 and "same" in told["df_scoped"]["details"]
+    imputed = json.loads(told["df_clean"]["details"])["imputed"]
+    assert imputed[0]["column"] == "v" and imputed[0]["values_imputed"] == 6
+    assert "cannot encode" in told["df_final"]["error"]
+    assert [p for p, r in told.items() if r["error"]] == ["df_final"]
+    assert table.columns == ["id", "t", "v"] and table.count() == 40
+    with pytest.raises(ValueError):
+        chosen.run(df)
