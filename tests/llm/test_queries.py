@@ -11,6 +11,8 @@ COLUMNS = {
     "op6_decontaminate": ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_matches", "item_words"],
     "op8_quality": ["doc_id", "held_out", "score", "predicted"],
     "op9_jaccard": ["doc_id", "n_shingles", "component_id"],
+    "op11_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    "op12_extraction": ["page_id", "url", "text", "n_chars"],
     "op10_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
 }
 
@@ -36,5 +38,6 @@ def test_queries_equal_their_sql(spark, duck, name):
 def test_columns(spark, name):
     found = QUERIES[name](spark, SF)
     assert found.columns == COLUMNS[name]
-    docs = spark.read.parquet(f"{SF}/documents.parquet").count()
+    table = "pages" if name == "op12_extraction" else "documents"
+    docs = spark.read.parquet(f"{SF}/{table}.parquet").count()
     assert found.count() == docs or name == "op6_decontaminate"
