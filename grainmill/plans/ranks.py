@@ -1,17 +1,36 @@
-"""Rank correlations from pre-aggregated counts."""
+"""Rank correlations without pairs of rows."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions.columns import col
 from grainmill.plans.lookup import balanced_lookup
-from grainmill.plans.ordering import BLOCK, ROWS_PER_BLOCK, with_blocks, with_running_total
+from grainmill.plans.ordering import ROWS_PER_BLOCK, with_blocks, with_running_total
 from grainmill.session import Scratch
 
+# Rows of a block of one column, of which a task holds one at a time, and blocks of a column.
+ROWS_PER_GROUP = 200_000
+MAX_BLOCKS = 1024
+SAMPLES_PER_BLOCK = 100
+# Cells of pairs of blocks that a task adds up before it hands them on.
+CELLS_HELD = 1 << 20
+
+
+def _values(df: DataFrame, columns: list[str]) -> DataFrame:
+    # Adding 0.0 turns a negative zero into zero.
+    return df.select(*[(col(c).cast("double") + F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(columns)])
+
+
+def _numpy(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch[name].to_numpy()
+
 
 def _with_numbers(
     df: DataFrame, columns: list[str], rows_per_block: int, scratch: Scratch
@@ -77,63 +96,200 @@ def spearman_matrix(
     return result
 
 
+def _exact_dot(left: np.ndarray, right: np.ndarray) -> int:
+    """The sum of products, also beyond 64 bits."""
+    return (int(left @ (right >> 20)) << 20) + int(left @ (right & (1 << 20) - 1))
+
+
+def signed_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> int:
+    """Pairs that agree in the order of x and of y less those that do not.
+
+    A pair of different x differs first in one binary digit of their numbers,
+    counted from the top. For each digit, places that agree in the digits above
+    stand together in the order of y, and a running total tells how many with
+    digit 0 have a smaller or a larger y. ``n`` says how often each place counts.
+    """
+    x, y = (np.unique(v, return_inverse=True)[1] for v in (x, y))
+    n = np.ones(len(x), np.int64) if n is None else n
+    if not x.any() or not y.any():
+        return 0
+    if y.max() < x.max():
+        x, y = y, x
+    order = np.argsort(y, kind="stable")
+    x, y, n = x[order], y[order], n[order]
+    place = np.arange(len(x))
+    total = 0
+    for digit in reversed(range(int(x.max()).bit_length())):
+        upper, one = x >> (digit + 1), (x >> digit & 1).astype(bool)
+        zeros = np.concatenate([[0], np.cumsum(np.where(one, 0, n))])
+        opens = np.concatenate([[True], upper[1:] != upper[:-1]])
+        starts = np.flatnonzero(opens)
+        which = np.cumsum(opens) - 1
+        stops = np.append(starts[1:], len(x))
+        ties = opens | np.concatenate([[True], y[1:] != y[:-1]])
+        tie_starts = np.flatnonzero(ties)
+        tie = np.cumsum(ties) - 1
+        tie_stops = np.append(tie_starts[1:], len(x))
+        smaller = (zeros[tie_starts[tie]] - zeros[starts[which]])[one]
+        larger = (zeros[stops[which]] - zeros[tie_stops[tie]])[one]
+        total += _exact_dot(n[one], smaller - larger)
+        if digit:
+            # Each group is parted by the digit and stays in the order of y.
+            count = np.concatenate([[0], np.cumsum(~one)])
+            before = count[place] - count[starts[which]]
+            ones_from = starts[which] + count[stops[which]] - count[starts[which]]
+            to = np.where(one, ones_from + (place - starts[which]) - before, starts[which] + before)
+            moved = [np.empty_like(v) for v in (x, y, n)]
+            for new, v in zip(moved, (x, y, n), strict=True):
+                new[to] = v
+            x, y, n = moved
+    return total
+
+
+def _tied(counts: np.ndarray) -> int:
+    return (_exact_dot(counts, counts) - int(counts.sum())) // 2
+
+
+def _split_values(rows: DataFrame, total: int, rows_per_block: int) -> list[np.ndarray]:
+    """For each column, sampled values that cut its rows into blocks of about the given size."""
+    blocks = min(MAX_BLOCKS, math.ceil(total / rows_per_block))
+    if blocks <= 1:
+        return [np.zeros(0) for _ in rows.columns]
+    share = min(1.0, blocks * SAMPLES_PER_BLOCK / total)
+    sample = rows.sample(fraction=share, seed=7).toArrow()
+    points = []
+    for c in rows.columns:
+        values = np.sort(_numpy(sample, c))
+        values = values[~np.isnan(values)]
+        at = (len(values) / blocks * np.arange(1, blocks)).astype(np.int64)
+        points.append(np.unique(values[at]) if len(values) else np.zeros(0))
+    return points
+
+
+def _blocks(values: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Even numbers between the points; a point, and NaN, has an odd one of its own."""
+    at = np.searchsorted(points, values)
+    own = np.append(points, np.nan)[at] == values
+    return 2 * at + (own | np.isnan(values))
+
+
 def kendall_matrix(
-    df: DataFrame, columns: list[str], rows_per_block: int = ROWS_PER_BLOCK
+    df: DataFrame, columns: list[str], rows_per_block: int = ROWS_PER_GROUP
 ) -> dict[tuple[str, str], float | None]:
     """Tau-b of all pairs of columns, in one chain of jobs and without pairs of rows.
 
-    ``df`` has no missing value in ``columns``. Values are numbered. For each pair
-    of columns, equal rows are counted once; of the column with fewer values, two
-    numbers differ first in one binary digit, counted from the top. For each
-    digit, rows that agree in the digits above form a group, and a running total
-    over the other column tells for every row with digit 1 how many rows with
-    digit 0 have a smaller, an equal or a larger value. The pair of columns is
-    part of the group, so there are as many jobs for one pair as for all. Work
-    grows with the number of rows times pairs times digits.
+    ``df`` has no missing value in ``columns``. Sampled values cut each column
+    into blocks; a split value is a block of its own, so a value with many rows
+    is one. For columns x and y, a pair of rows is counted once: if the blocks
+    of both differ, by the table of counts of pairs of blocks; if the block of
+    x is the same, in the group of this block; else in the group of the block
+    of y, where blocks of x stand for its values. In the block of one value no
+    pair differs, so its rows are not moved. Each row goes to at most one group
+    per column, with its other columns, and a group takes n log n.
     """
     k = len(columns)
     pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    number = {p: at for at, p in enumerate(pairs)}
+    if not pairs:
+        return {}
     with Scratch(df.sparkSession) as scratch:
-        rows, total, sizes, ties = _with_numbers(df, columns, rows_per_block, scratch)
+        rows = scratch.settle(_values(df, columns))
+        total = rows.count()
         if total < 2:
             return {}
-        sided = [(i, j) if sizes[i] <= sizes[j] else (j, i) for i, j in pairs]
-        both = [
-            F.struct(F.lit(p).alias("p"), F.col(f"q{a}").alias("a"), F.col(f"q{b}").alias("b"))
-            for p, (a, b) in enumerate(sided)
-        ]
-        cells = rows.select(F.explode(F.array(*both)).alias("cell")).select("cell.*")
-        cells = cells.groupBy("p", "a", "b").agg(F.count("*").alias("n"))
-        last = F.get(F.array(*[F.lit(max(1, math.ceil(math.log2(sizes[a]))) - 1) for a, _ in sided]), F.col("p"))
-        digits = cells.select("p", "a", "b", "n", F.explode(F.sequence(F.lit(0), last)).alias("digit"))
-        is_one = F.expr("shiftright(a, digit) & 1") == 1
-        group = ["p", "digit", "upper"]
-        sides = digits.groupBy("p", "digit", F.expr("shiftright(a, digit + 1)").alias("upper"), "b").agg(
-            F.sum(F.when(~is_one, F.col("n")).otherwise(0)).alias("zeros"),
-            F.sum(F.when(is_one, F.col("n")).otherwise(0)).alias("ones"),
-        )
-        # Numbers are dense, so they name blocks themselves.
-        blocked = scratch.settle(sides.withColumn(BLOCK, F.expr(f"b DIV {int(rows_per_block)}")))
-        running = with_running_total(blocked, ["b"], "zeros", "smaller", within=group)
-        wide, narrow = "decimal(20,0)", "decimal(18,0)"
-        first = running.groupBy("p").agg(
-            F.sum(F.col("ones").cast(narrow) * (F.lit(2) * F.col("smaller") + F.col("zeros")).cast(wide)).alias("s")
-        )
-        totals = blocked.groupBy(*group).agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"))
-        second = totals.groupBy("p").agg(F.sum(F.col("z").cast(narrow) * F.col("o").cast(narrow)).alias("s"))
-        signed = first.select("p", "s").unionAll(second.select("p", (-F.col("s")).alias("s")))
-        sums = {r["p"]: int(r["s"]) for r in signed.groupBy("p").agg(F.sum("s").alias("s")).collect()}
+        spread = df.sparkSession.sparkContext.broadcast(_split_values(rows, total, rows_per_block))
+        width = 2 * MAX_BLOCKS + 2
+
+        def columns_of(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+            values = [_numpy(batch, f"v{i}") for i in range(k)]
+            return values, [_blocks(v, p) for v, p in zip(values, spread.value, strict=True)]
+
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            new: list[tuple] = []
+
+            def merged() -> tuple[np.ndarray, np.ndarray]:
+                every, inverse = np.unique(np.concatenate([codes, *[c for c, _ in new]]), return_inverse=True)
+                sums = np.zeros(len(every), np.int64)
+                np.add.at(sums, inverse, np.concatenate([counts, *[n for _, n in new]]))
+                return every, sums
+
+            def frame() -> pa.RecordBatch:
+                return pa.RecordBatch.from_pydict({"code": codes, "n": counts})
+
+            for batch in batches:
+                _, blocks = columns_of(batch)
+                placed = [(p * width + blocks[i]) * width + blocks[j] for p, (i, j) in enumerate(pairs)]
+                new.append(np.unique(np.concatenate(placed), return_counts=True))
+                if sum(len(c) for c, _ in new) >= CELLS_HELD:
+                    codes, counts = merged()
+                    new = []
+                    if len(codes) >= CELLS_HELD:
+                        yield frame()
+                        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            codes, counts = merged()
+            yield frame()
+
+        def between(key: tuple, table: pa.Table) -> pa.Table:
+            """One pair of columns: pairs of rows in different blocks, and ties of values with a block."""
+            p = key[0].as_py()
+            code, n = _numpy(table, "code") % (width * width), _numpy(table, "n")
+            found = [("pairs", p, signed_pairs(code // width, code % width, n))]
+            # The pairs with the first column cover each column once.
+            for i, blocks in ((0, code // width), (p + 1, code % width)):
+                if p < k - 1 and (i or not p):
+                    sizes = np.zeros(width, np.int64)
+                    np.add.at(sizes, blocks, n)
+                    found.append(("ties", i, _tied(sizes[1::2])))
+            return result(found)
+
+        names = ["v", *[f"o{i}" for i in range(k - 1)]]
+
+        def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values, blocks = columns_of(batch)
+                for i in range(k):
+                    rest = blocks[i] % 2 == 0
+                    if rest.any():
+                        # In the group of the later column of a pair, blocks stand for values.
+                        others = [blocks[o].astype(float) if o < i else values[o] for o in range(k) if o != i]
+                        parts = [v[rest] for v in (values[i], *others)]
+                        keys = {"i": np.full(len(parts[0]), i, np.int32), "block": blocks[i][rest].astype(np.int32)}
+                        yield pa.RecordBatch.from_pydict(keys | dict(zip(names, parts, strict=True)))
+
+        def within(key: tuple, table: pa.Table) -> pa.Table:
+            """One block of a column: pairs of its rows, and ties."""
+            i = key[0].as_py()
+            value = _numpy(table, "v")
+            found = [("ties", i, _tied(np.unique(value, return_counts=True)[1]))]
+            for name, o in zip(names[1:], [o for o in range(k) if o != i], strict=True):
+                found.append(("pairs", number[min(i, o), max(i, o)], signed_pairs(value, _numpy(table, name))))
+            return result(found)
+
+        def result(found: list[tuple]) -> pa.Table:
+            what, at, s = zip(*found, strict=True)
+            return pa.table({"what": list(what), "at": pa.array(at, pa.int32()), "s": [str(v) for v in s]})
+
+        kind = "what string, at int, s string"
+        counted = rows.mapInArrow(cells, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        counted = counted.withColumn("p", F.expr(f"int(code DIV {width * width})"))
+        moved = rows.mapInArrow(members, "i int, block int, " + ", ".join(f"{c} double" for c in names))
+        parts = counted.groupBy("p").applyInArrow(between, kind)
+        parts = parts.unionAll(moved.groupBy("i", "block").applyInArrow(within, kind))
+        sums = {(r["what"], r["at"]): int(r["s"]) for r in parts.groupBy("what", "at").agg(
+            F.sum(F.col("s").cast("decimal(38,0)")).alias("s")
+        ).collect()}
     all_pairs = total * (total - 1) // 2
-    result = {}
+    result_of = {}
     for p, (i, j) in enumerate(pairs):
-        untied = [all_pairs - ties[c] for c in (i, j)]
-        spread = math.sqrt(untied[0]) * math.sqrt(untied[1])
-        result[columns[i], columns[j]] = sums.get(p, 0) / spread if spread else None
-    return result
+        untied = [all_pairs - sums.get(("ties", c), 0) for c in (i, j)]
+        size = math.sqrt(untied[0]) * math.sqrt(untied[1])
+        result_of[columns[i], columns[j]] = sums.get(("pairs", p), 0) / size if size else None
+    return result_of
 
 
 def kendall_tau(
-    df: DataFrame, x: str, y: str, rows_per_block: int = ROWS_PER_BLOCK
+    df: DataFrame, x: str, y: str, rows_per_block: int = ROWS_PER_GROUP
 ) -> float | None:
     """Tau-b of two columns over the rows in which both are present."""
     present = df.select(col(x).alias("x"), col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")

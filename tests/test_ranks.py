@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from grainmill.operators import correlation
-from grainmill.plans import lookup
+from grainmill.plans import lookup, ranks
 from grainmill.plans.ranks import kendall_matrix, kendall_tau, spearman_matrix
 
 
@@ -198,3 +198,34 @@ def test_pairs_far_from_an_outlier_keep_their_digits(spark):
     found = correlation.pairwise_correlations(spark.createDataFrame(rows, "a double, b double")).where("column1 < column2").first()
     pdf = pd.DataFrame(rows[:-1])
     assert found["r"] == pytest.approx(pdf[0].corr(pdf[1]), abs=1e-9)
+
+
+def test_signed_pairs_of_weighted_places():
+    rng = np.random.default_rng(1)
+    for values in (1, 3, 40):
+        x, y, n = (rng.integers(0, values, 70) for _ in range(3))
+        slow = sum(
+            int(n[i] * n[j] * np.sign(x[i] - x[j]) * np.sign(y[i] - y[j])) for i in range(70) for j in range(i)
+        )
+        assert ranks.signed_pairs(x, y, n) == slow
+    huge = np.array([3 << 32, 3 << 32])
+    assert ranks.signed_pairs(np.arange(2), np.arange(2), huge) == 9 << 64
+
+
+def test_kendall_moves_no_rows_of_frequent_values(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"few": rng.integers(0, 3, 400).astype(float), "many": rng.normal(size=400)})
+    pdf.loc[:150, "many"] = 7.5
+    points = ranks._split_values(spark.createDataFrame(pdf), 400, 25)
+    moved = [ranks._blocks(pdf[c].to_numpy(), p) % 2 == 0 for c, p in zip(pdf.columns, points)]
+    assert not moved[0].any() and not moved[1][:151].any() and moved[1].any()
+    found = kendall_tau(spark.createDataFrame(pdf), "few", "many", 25)
+    assert found == pytest.approx(_tau(list(pdf["few"]), list(pdf["many"])), abs=1e-12)
+
+
+def test_kendall_with_nan_as_the_largest(spark):
+    pdf = _data(80)
+    pdf["w"] = pdf["y"]
+    pdf.loc[::9, "w"] = 1e9
+    df = spark.createDataFrame(pdf).selectExpr("x", "CASE WHEN w = 1e9 THEN double('NaN') ELSE w END AS w")
+    assert kendall_tau(df, "x", "w", 10) == pytest.approx(_tau(list(pdf["x"]), list(pdf["w"])), abs=1e-12)
