@@ -15,6 +15,8 @@ from grainmill.plans.lookup import balanced_lookup
 from grainmill.plans.ordering import ROWS_PER_BLOCK, with_blocks, with_running_total
 from grainmill.session import Scratch
 
+# Values of all columns whose ranks are sent to every task, 16 bytes each.
+SENT_VALUES = 1 << 20
 # Rows of a block of one column, of which a task holds one at a time, and blocks of a column.
 ROWS_PER_GROUP = 200_000
 MAX_BLOCKS = 1024
@@ -32,67 +34,75 @@ def _numpy(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch[name].to_numpy()
 
 
-def _with_numbers(
-    df: DataFrame, columns: list[str], rows_per_block: int, scratch: Scratch
-) -> tuple[DataFrame, int, list[int], list[int]]:
-    """Rows with the number ``q0``... of each value in its column's order and its average rank ``r0``...
-
-    ``df`` has no missing value in ``columns``. The values of all columns are
-    counted in one pass over the rows, numbered block by block, and joined to
-    the cells of all columns at once; the cells of a row then come together
-    again. Also the number of rows, and for each column the numbers of distinct
-    values and of tied pairs of rows. Ranks are measured from their mean.
-    """
-    k = len(columns)
-    values = F.array(*[(col(c).cast("double") + F.lit(0.0)) for c in columns])
-    # Rows are numbered before they are written, so the numbers stay.
-    rows = scratch.settle(df.select(F.monotonically_increasing_id().alias("row"), values.alias("values")))
-    cells = rows.select("row", F.posexplode("values").alias("i", "value"))
-    cells = cells.select("row", "i", F.struct("i", "value").alias("at"))
-    counts = cells.groupBy("at").agg(F.count("*").alias("n")).select("at", "at.*", "n")
-    counts = scratch.settle(counts.withColumn("one", F.lit(1)))
-    exact = "decimal(38,0)"
-    pairs = F.sum(F.col("n").cast(exact) * (F.col("n") - 1).cast("decimal(20,0)"))
-    told = {
-        r["i"]: r
-        for r in counts.groupBy("i").agg(
-            F.count("*").alias("values"), F.sum("n").alias("total"), pairs.alias("pairs")
-        ).collect()
-    }
-    sizes = [told[i]["values"] if i in told else 0 for i in range(k)]
-    ties = [int(told[i]["pairs"]) // 2 if i in told else 0 for i in range(k)]
-    total = told[0]["total"] if told else 0
-    blocked = scratch.settle(with_blocks(counts, ["value"], rows_per_block, sum(sizes)))
-    ranked = with_running_total(blocked, ["value"], "n", "_before", within=["i"])
-    ranked = with_running_total(ranked, ["value"], "one", "q", within=["i"])
-    rank = F.col("_before") + (F.col("n") + 1) / 2.0 - (total + 1) / 2.0
-    ranked = scratch.settle(ranked.select("at", "n", "q", rank.alias("r")))
-    found = balanced_lookup(cells, ranked.drop("n"), ranked.select("at", "n"), "at", k * total, sum(sizes))
-    wide = found.groupBy("row").agg(
-        *[F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for c in ("q", "r") for i in range(k)]
-    )
-    return wide, total, sizes, ties
-
-
 def spearman_matrix(
     df: DataFrame, columns: list[str], rows_per_block: int = ROWS_PER_BLOCK
 ) -> dict[tuple[str, str], float | None]:
-    """Correlation of average ranks; ``df`` has no missing value in ``columns``."""
+    """Correlation of average ranks; ``df`` has no missing value in ``columns``.
+
+    The values of all columns are counted in one pass over the rows. Ranks of
+    columns with few values, SENT_VALUES in all, are sent to every task and
+    looked up there; each other column costs one join. Ranks are measured from
+    their mean.
+    """
     k = len(columns)
     with Scratch(df.sparkSession) as scratch:
-        rows, total, _, _ = _with_numbers(df, columns, rows_per_block, scratch)
+        rows = scratch.settle(_values(df, columns))
+        cells = rows.select(F.posexplode(F.array(*rows.columns)).alias("i", "value"))
+        counts = scratch.settle(cells.groupBy("i", "value").agg(F.count("*").alias("n")))
+        told = {
+            r["i"]: r for r in counts.groupBy("i").agg(F.count("*").alias("values"), F.sum("n").alias("total")).collect()
+        }
+        total = told[0]["total"] if told else 0
         if total < 2:
             return {}
-        aggs = [
-            F.sum(F.col(f"r{i}") * F.col(f"r{j}")).alias(f"s{i}_{j}")
-            for i in range(k) for j in range(i, k)
-        ]
-        sums = rows.agg(*aggs).first()
+        sizes = [told[i]["values"] for i in range(k)]
+        left, sent, large = SENT_VALUES, [], []
+        for i in sorted(range(k), key=sizes.__getitem__):
+            (sent if sizes[i] <= left else large).append(i)
+            left -= sizes[i]
+        known = counts.where(F.col("i").isin(sent)).toArrow() if sent else None
+        tables = {}
+        for i in sent:
+            own = _numpy(known, "i") == i
+            value, n = _numpy(known, "value")[own], _numpy(known, "n")[own]
+            order = np.argsort(value)
+            value, n = value[order], n[order]
+            tables[i] = value, np.cumsum(n) - n + (n + 1) / 2 - (total + 1) / 2
+        if large:
+            counts = counts.where(F.col("i").isin(large))
+            blocked = scratch.settle(with_blocks(counts, ["value"], rows_per_block, sum(sizes[i] for i in large)))
+            ranked = with_running_total(blocked, ["value"], "n", "_before", within=["i"])
+            rank = F.col("_before") + (F.col("n") + 1) / 2.0 - (total + 1) / 2.0
+            ranked = scratch.settle(ranked.select("i", "value", "n", rank.alias("r")))
+            # Equal rows are told apart where rows of a frequent value are spread.
+            rows = rows.withColumn("row", F.monotonically_increasing_id())
+        for i in large:
+            own = ranked.where(F.col("i") == i).withColumnRenamed("value", f"v{i}")
+            table, own = own.select(f"v{i}", F.col("r").alias(f"r{i}")), own.select(f"v{i}", "n")
+            rows = balanced_lookup(rows, table, own, f"v{i}", total, sizes[i]).drop(f"v{i}")
+        spread = df.sparkSession.sparkContext.broadcast(tables)
+
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables, sums = spread.value, np.zeros((k, k))
+            for batch in batches:
+                ranks = np.empty((k, batch.num_rows))
+                for i in range(k):
+                    if i in tables:
+                        value, rank = tables[i]
+                        ranks[i] = rank[np.searchsorted(value, _numpy(batch, f"v{i}"))]
+                    else:
+                        ranks[i] = _numpy(batch, f"r{i}")
+                sums += ranks @ ranks.T
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.ravel()], pa.list_(pa.float64()))})
+
+        wanted = rows.select([f"v{i}" if i in tables else f"r{i}" for i in range(k)])
+        parts = wanted.mapInArrow(products, "sums array<double>").select(F.posexplode("sums").alias("at", "part"))
+        sums = {r["at"]: r["s"] for r in parts.groupBy("at").agg(F.sum("part").alias("s")).collect()}
     result = {}
     for i in range(k):
         for j in range(i + 1, k):
-            spread = math.sqrt(sums[f"s{i}_{i}"]) * math.sqrt(sums[f"s{j}_{j}"])
-            result[columns[i], columns[j]] = sums[f"s{i}_{j}"] / spread if spread else None
+            spread = math.sqrt(sums[i * k + i]) * math.sqrt(sums[j * k + j])
+            result[columns[i], columns[j]] = sums[i * k + j] / spread if spread else None
     return result
 
 

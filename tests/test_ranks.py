@@ -229,3 +229,18 @@ def test_kendall_with_nan_as_the_largest(spark):
     pdf.loc[::9, "w"] = 1e9
     df = spark.createDataFrame(pdf).selectExpr("x", "CASE WHEN w = 1e9 THEN double('NaN') ELSE w END AS w")
     assert kendall_tau(df, "x", "w", 10) == pytest.approx(_tau(list(pdf["x"]), list(pdf["w"])), abs=1e-12)
+
+
+@pytest.mark.parametrize("sent", [0, 45, 1 << 20])
+def test_spearman_by_sent_ranks_and_by_joins(spark, monkeypatch, sent):
+    monkeypatch.setattr(ranks, "SENT_VALUES", sent)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    pdf = _data(200)
+    pdf.loc[20:, "z"] = 5.0
+    made, join = [], ranks.balanced_lookup
+    monkeypatch.setattr(ranks, "balanced_lookup", lambda *a: made.append(a[3]) or join(*a))
+    found = spearman_matrix(spark.createDataFrame(pdf), ["x", "y", "z"], 30)
+    assert sorted(made) == {0: ["v0", "v1", "v2"], 45: ["v0", "v1"], 1 << 20: []}[sent]
+    ranked = pdf.rank()
+    for (a, b), r in found.items():
+        assert r == pytest.approx(ranked[a].corr(ranked[b]), abs=1e-12)
