@@ -19,6 +19,8 @@ from grainmill.plans.ordering import ROWS_PER_BLOCK, split_points, with_previous
 from grainmill.session import settle
 
 NO_TEXT, EMPTY_TEXT, ANY = "missing", "empty", "any"
+# Parts of a sketch of a set, of 64 bits each.
+SKETCH = 2
 
 
 def near_duplicates(
@@ -163,6 +165,33 @@ def _buckets(number: Column, threshold: float) -> tuple[Column, Column]:
     return side(names[:1]), side(names)
 
 
+def _sketched(text: str) -> dict[str, Column]:
+    """The size of a set that is written as a text, and parities of the numbers of its characters at 64 x SKETCH places."""
+    places = f"pmod(xxhash64(l), {64 * SKETCH})"
+    parts = {
+        f"{text}_m{k}": F.expr(
+            f"aggregate(split({text}, ''), 0L, (a, l) -> "
+            f"CASE WHEN {places} DIV 64 = {k} THEN a ^ shiftleft(1L, int({places} % 64)) ELSE a END)"
+        )
+        for k in range(SKETCH)
+    }
+    parts[f"{text}_n"] = F.char_length(text).cast("long")
+    return {name: F.coalesce(c, F.lit(0).cast("long")) for name, c in parts.items()}
+
+
+def _alike(text: str, threshold: float) -> Column:
+    """Whether sizes and sketches leave it open that two sets are similar.
+
+    Sketches differ in no more places than the sets in characters.
+    """
+    n, other_n = F.col(f"{text}_n"), F.col(f"other_{text}_n")
+    most = F.lit(1 - threshold) * (n + other_n) + 1e-6
+    differ = F.lit(0)
+    for k in range(SKETCH):
+        differ = differ + F.bit_count(F.col(f"{text}_m{k}").bitwiseXOR(F.col(f"other_{text}_m{k}")))
+    return (F.lit(1 + threshold) * F.abs(n - other_n) <= most) & (F.lit(1 + threshold) * differ <= most)
+
+
 def near_duplicate_classes(
     df: DataFrame,
     key: list[str],
@@ -228,6 +257,7 @@ def near_duplicate_classes(
         rows.select(
             "class", "first", "n", *sets, *amounts, *parts, "prefix",
             left.alias("left"), right.alias("right"), F.get(left, F.lit(0)).alias("own"),
+            *[c.alias(name) for text in sets for name, c in _sketched(text).items()],
         )
     )
     ours = rows.drop("right").withColumn("bucket", F.explode("left")).drop("left")
@@ -252,6 +282,9 @@ def near_duplicate_classes(
     for s in sets:
         similar &= similar_character_sets(_letters(s), _letters(f"other_{s}"), string_threshold)
     swapped = F.col("first") > F.col("other_first")
+    # Most pairs that meet are ruled out by a few numbers, before any set is read.
+    for s in sets:
+        met = met.where(_alike(s, string_threshold))
     found = met.where(once & similar)
     pairs = found.select(
         *[F.when(swapped, F.col("other_first").getField(c)).otherwise(F.col("first").getField(c)).alias(f"first_{c}") for c in key],

@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grainmill.operators.near_duplicates import near_duplicate_classes
 
@@ -108,3 +110,23 @@ def test_names_of_other_columns_do_not_clash(spark):
     found = near_duplicate_classes(df, ["first"], ["digest"], [], 0.7)
     assert [tuple(r) for r in found.pairs.collect()] == [(1, 2, 1, 1)]
     assert {tuple(r) for r in found.members.collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_sketches_rule_out_most_pairs_and_no_similar_one(spark):
+    from grainmill.operators import near_duplicates as module
+
+    rng = np.random.default_rng(5)
+    base = [set(rng.choice(60, rng.integers(1, 50), replace=False)) for _ in range(60)]
+    sets = base + [b ^ {int(rng.integers(0, 60))} for b in base] + [set()]
+    rows = [(i, "".join(chr(0x4E00 + c) for c in sorted(s))) for i, s in enumerate(sets)] + [(900, None), (901, None)]
+    df = spark.createDataFrame(rows, "id int, _s0 string")
+    df = df.select("id", "_s0", *[c.alias(name) for name, c in module._sketched("_s0").items()])
+    other = df.select([F.col(c).alias(f"other_{c}") for c in df.columns])
+    pairs = df.crossJoin(other).where("id < other_id").where(module._alike("_s0", 0.9))
+    open_ = {(r["id"], r["other_id"]) for r in pairs.select("id", "other_id").collect()}
+    similar = {
+        (i, j) for i, a in enumerate(sets) for j, b in enumerate(sets)
+        if i < j and (a == b or a and b and 10 * len(a & b) >= 9 * len(a | b))
+    }
+    assert similar and similar | {(900, 901)} <= open_
+    assert len(open_) < 5 * len(similar)
