@@ -21,7 +21,8 @@ Three steps keep a large group of near copies from making all its pairs. In a fe
 rounds, each class is compared with a neighbour or two of some of its lists, the
 same ones in sets that share them; links that hold contract the classes into
 components. Lists that still hold two or more components go through further
-rounds while these contract. What is left is paired on each list: members outside
+rounds while these contract; there a class outside the largest component of a
+list is compared with the nearest sketch beside it. What is left is paired on each list: members outside
 its largest component with all members of other components, long lists in salted
 parts; these are all the pairs that can still change the result. An odd sketch
 (parities of hashed tokens, whose difference is at most that of the sets) rules
@@ -60,7 +61,7 @@ VISIT = 0.05
 ROUNDS = 3
 # Postings of a class that take part in a round, about.
 SAMPLED = 8
-# A round on all lists is worth another one if it joins this share of their classes.
+# A round on all lists is worth another one if this share of its pairs links.
 WORTH = 0.1
 ROWS_AT_ONCE = 200_000
 SKETCH = 8
@@ -269,12 +270,16 @@ def _possible(percent: int) -> Column:
     return (100 + percent) * overlap >= percent * (F.col("n") + F.col("other_n"))
 
 
-def _alike(percent: int) -> Column:
-    """Whether the sketches leave it open that the sets link."""
-    differ = functools.reduce(
+def _differing() -> Column:
+    """How many bits of two sketches differ."""
+    return functools.reduce(
         Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in SKETCH_COLUMNS]
     )
-    return (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("other_n"))
+
+
+def _alike(percent: int) -> Column:
+    """Whether the sketches leave it open that the sets link."""
+    return (100 + percent) * _differing() <= (100 - percent) * (F.col("n") + F.col("other_n"))
 
 
 def _other(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -401,6 +406,40 @@ def _some_pairs(lists: DataFrame, sketches: DataFrame, percent: int, turn: int)
     return _named(pairs.where(_alike(percent)))
 
 
+def _with_tops(lists: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The postings with the largest component (top) and the size (total) of their list, and sketches."""
+    sizes = lists.groupBy("key", "root").agg(F.count("*").alias("size"))
+    tops = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"), F.sum("size").alias("total"))
+    return lists.select("key", "class", "first", "kind", "root").join(tops, "key").join(sketches, "class")
+
+
+def _nearest_pairs(lists: DataFrame, sketches: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For each class outside the largest component of a list two classes of other components.
+
+    They stand beside it on its lists and may link: one whose sketch is nearest
+    for their sizes, and one chosen by hash.
+    """
+    rows = _with_tops(lists, sketches)
+    mixed = F.xxhash64("class", "key", F.lit(turn))
+    parts = F.ceil(F.col("total") / MAX_SALTED).cast("int")
+    near = Window.partitionBy("key", F.pmod(mixed, parts)).orderBy(mixed)
+    names = ["class", "n", "first", "root", *SKETCH_COLUMNS]
+    rows = rows.select("key", "top", *names, *[F.lag(c).over(near).alias(f"other_{c}") for c in names])
+    rows = rows.where((F.col("root") != F.col("other_root")) & _possible(percent) & _alike(percent))
+    far = _differing() / (F.col("n") + F.col("other_n"))
+    sides = F.array(
+        F.struct("class", "root", F.col("other_class").alias("other")),
+        F.struct(F.col("other_class").alias("class"), F.col("other_root").alias("root"), F.col("class").alias("other")),
+    )
+    rows = rows.select("key", "top", far.alias("far"), F.explode(sides).alias("side"))
+    rows = rows.where("side.root <> top").select("key", "far", "side.class", "side.other")
+    pairs = rows.groupBy("class").agg(
+        F.min_by("other", F.struct("far", "other")).alias("p"),
+        F.min_by("other", F.xxhash64("key", F.lit(turn))).alias("q"),
+    )
+    return _named(pairs.select("class", F.explode(F.array("p", "q")).alias("other_class")))
+
+
 def _rest_of_pairs(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes that share a list, are of different components and may link.
 
@@ -408,9 +447,7 @@ def _rest_of_pairs(lists: DataFrame, sketches: DataFrame, percent: int) -> DataF
     of the list; only such classes look for partners. Long lists are cut into
     salted parts, and those who look visit each.
     """
-    sizes = lists.groupBy("key", "root").agg(F.count("*").alias("size"))
-    tops = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"), F.sum("size").alias("total"))
-    rows = lists.select("key", "class", "first", "kind", "root").join(tops, "key").join(sketches, "class")
+    rows = _with_tops(lists, sketches)
     parts = F.ceil(F.col("total") / MAX_SALTED).cast("int")
     left = rows.where("root <> top").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     right = rows.withColumn("part", F.pmod(F.xxhash64("class"), parts).cast("int")).drop("top", "total")
@@ -454,11 +491,11 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         lists = _with_roots(lists, roots, scratch)
         while True:
             turn += 1
-            found = _linked(_some_pairs(lists, sketches, percent, turn), docs, classes, size, percent, scratch)
+            asked = scratch.settle(_nearest_pairs(lists, sketches, percent, turn).distinct())
+            found = _linked(asked, docs, classes, size, percent, scratch)
             links = scratch.settle(links.union(found))
             roots = components(links, scratch)
-            held = lists.agg(F.count_distinct("class").alias("n")).first()["n"]
-            worth = found.count() > WORTH * held
+            worth = found.count() > WORTH * asked.count()
             lists = _with_roots(lists, roots, scratch)
             if not worth:
                 break

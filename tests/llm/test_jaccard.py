@@ -73,6 +73,23 @@ def test_one_large_group_of_near_copies(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_who_is_outside_a_list_meets_its_nearest_neighbours(spark):
+    # 30 lists of a class at k bits from class 99, one at 200 bits, and 99, the only one outside component 1.
+    def sketch(bits):
+        value = (1 << bits) - 1
+        words = [value >> 64 * k & (1 << 64) - 1 for k in range(jaccard.SKETCH)]
+        return [w - (1 << 64) if w >> 63 else w for w in words]
+
+    postings = [(k, c, 100, 0, 0, 99 if c == 99 else 1) for k in range(1, 31) for c in (k, 50, 99)]
+    lists = spark.createDataFrame(postings, "key long, class long, n int, first int, kind byte, root long")
+    rows = [(c, 100, *sketch({50: 200, 99: 0}.get(c, c))) for c in [*range(1, 31), 50, 99]]
+    sketches = spark.createDataFrame(rows, "class long, n long, " + ", ".join(f"{c} long" for c in jaccard.SKETCH_COLUMNS))
+    pairs = [tuple(r) for r in jaccard._nearest_pairs(lists, sketches, 80, 3).collect()]
+    assert len(pairs) == 2 and {b for _, b in pairs} == {99}
+    # 180 * bits <= 20 * 200 leaves a link open.
+    assert min(a for a, _ in pairs) <= 5 and max(a for a, _ in pairs) <= 22
+
+
 def test_awkward_rows(spark):
     rows = jaccard_components(awkward_docs(spark)).collect()
     assert len(rows) == 11
