@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -67,6 +69,16 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Python workers get their rows in batches of BATCH_BYTES or so, if the session has no limit of its own.
+
+    By default a batch takes 10,000 rows or 64 MB. Workers and the JVM keep
+    the memory of their largest batch for the steps that follow.
+    """
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 class Scratch:
     """Owner of the settled results of one call: ``with Scratch(spark) as scratch``."""
 

@@ -2,9 +2,11 @@ import zlib
 from collections import defaultdict
 
 import corpus_pipeline
+import pandas as pd
 import pytest
 from edges import awkward_docs
 from grainmill.llm.common import DOCUMENT_COLUMNS, words_of
+from grainmill.session import BATCH_KEY, bound_batches
 from test_jaccard import brute
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +47,24 @@ def test_whole_run_packs_what_is_left(spark):
     assert all(isinstance(r["ids_crc32"], int) and r["ids_crc32"] >= 0 for r in pieces) and zlib.crc32(b"") == 0
 
 
+@pytest.mark.parametrize("name", ["toxicity", "jaccard", "secrets", "packing"])
+def test_workers_get_small_batches(spark, name):
+    def lengths(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [int(batch["text"].str.len().sum())]})
+
+    long = spark.range(0, 3000, 1, 1).selectExpr("repeat('abcdefghij', 1000) AS text")
+    own = spark.newSession()
+    docs = own.read.parquet(f"{SF}/documents.parquet").limit(0)
+    dict(corpus_pipeline.STAGES)[name](own, docs, SF)
+    seen = own.createDataFrame(long.toPandas()).coalesce(1).mapInPandas(lengths, "n long").collect()
+    assert sum(r["n"] for r in seen) == 30_000_000 and max(r["n"] for r in seen) < 5_000_000
+    chosen = spark.newSession()
+    chosen.conf.set(BATCH_KEY, "1m")
+    bound_batches(chosen)
+    assert chosen.conf.get(BATCH_KEY) == "1m"
+
+
 @pytest.mark.parametrize("name", ["near_duplicates", "decontaminate", "secrets", "toxicity"])
 def test_awkward_rows(spark, name):
     docs = awkward_docs(spark).withColumnsRenamed({"score": "masked", "row": "toxic", "class": "component_id"})
