@@ -9,6 +9,13 @@ from grainmill.session import Scratch
 
 
 BROADCAST_ROWS = 500_000
+# 1.6 MB: one task goes over these edges sooner than a shuffle starts.
+SMALL_ROWS = 100_000
+
+
+def gathered(table: DataFrame, rows: int) -> DataFrame:
+    """A table of at most SMALL_ROWS rows in one partition, so that grouping it needs no shuffle; others as they are."""
+    return table.coalesce(1) if rows <= SMALL_ROWS else table
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -17,13 +24,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Each round hooks every node to its smallest neighbour, shortens the paths
     and contracts the graph; the edges shrink by a constant factor if node ids
     are hashes. Nothing but counts reaches the driver. A round's table of nodes
-    is broadcast if it has at most BROADCAST_ROWS rows of 16 bytes.
+    is broadcast if it has at most BROADCAST_ROWS rows of 16 bytes. Rounds over at
+    most SMALL_ROWS edges are tasks of their own, without shuffles.
     """
-    rest = scratch.settle(edges.where("a <> b").distinct())
+    edges = edges.where("a <> b")
+    size = edges.count()
+    rest = scratch.settle(gathered(edges, size).distinct())
     both = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node")))
-    labels = both.distinct().select("node", F.col("node").alias("root"))
-    while not rest.isEmpty():
-        sides = rest.union(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = gathered(both, size).distinct().select("node", F.col("node").alias("root"))
+    while size := rest.count():
+        rest = gathered(rest, size)
+        sides = gathered(rest.union(rest.select(F.col("b").alias("a"), F.col("a").alias("b"))), size)
         step = scratch.settle(sides.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
         few = step.count() <= BROADCAST_ROWS
         sent = F.broadcast if few else (lambda table: table)

@@ -20,9 +20,9 @@ counters.
 Three steps keep a large group of near copies from making all its pairs. In a few
 rounds, each class is compared with a neighbour or two of some of its lists, the
 same ones in sets that share them; links that hold contract the classes into
-components. Lists that still hold two or more components go through further
-rounds while these contract; there a class outside the largest component of a
-list is compared with the nearest sketch beside it. What is left is paired on each list: members outside
+components. Lists that still hold two or more components go through one more
+round, in which a class outside the largest component of a list is compared with
+the nearest sketch beside it. What is left is paired on each list: members outside
 its largest component with all members of other components, long lists in salted
 parts; these are all the pairs that can still change the result. An odd sketch
 (parities of hashed tokens, whose difference is at most that of the sets) rules
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from grainmill.llm.common import join_unique
-from grainmill.llm.graph import components
+from grainmill.llm.graph import components, gathered
 from grainmill.session import Scratch, release, settle
 
 SHINGLE = 5
@@ -61,8 +61,6 @@ VISIT = 0.05
 ROUNDS = 3
 # Postings of a class that take part in a round, about.
 SAMPLED = 8
-# A round on all lists is worth another one if this share of its pairs links.
-WORTH = 0.1
 ROWS_AT_ONCE = 200_000
 SKETCH = 8
 MAX_SALTED = 100_000
@@ -311,7 +309,9 @@ def _linked(
 ) -> DataFrame:
     """The pairs a, b of classes whose whole sets link."""
     pairs = scratch.settle(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    asked = pairs.count()
+    wanted = gathered(pairs.select(F.col("a").alias("class")).union(pairs.select("b")), asked).distinct()
+    wanted = F.broadcast(wanted) if asked <= BROADCAST_PAIRS else wanted
     sets = _whole_sets(docs, classes, wanted, size, scratch)
 
     @pandas_udf("boolean")
@@ -327,7 +327,8 @@ def _linked(
 
     left = sets.select(F.col("class").alias("a"), F.col("tokens").alias("left"))
     right = sets.select(F.col("class").alias("b"), F.col("tokens").alias("right"))
-    found = pairs.join(left, "a").join(right, "b").where(link("left", "right"))
+    sent = F.broadcast(pairs) if asked <= BROADCAST_PAIRS else pairs
+    found = left.join(sent, "a").join(right, "b").where(link("left", "right"))
     return scratch.settle(found.select("a", "b"))
 
 
@@ -406,11 +407,15 @@ def _some_pairs(lists: DataFrame, sketches: DataFrame, percent: int, turn: int)
     return _named(pairs.where(_alike(percent)))
 
 
-def _with_tops(lists: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The postings with the largest component (top) and the size (total) of their list, and sketches."""
+def _tops(lists: DataFrame) -> DataFrame:
+    """The largest component (top) of each list."""
     sizes = lists.groupBy("key", "root").agg(F.count("*").alias("size"))
-    tops = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"), F.sum("size").alias("total"))
-    return lists.select("key", "class", "first", "kind", "root").join(tops, "key").join(sketches, "class")
+    return sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("top"))
+
+
+def _parts(lists: DataFrame) -> Column:
+    """Into how many parts a long list is cut; lists without salts are short."""
+    return F.col("salts") if "salts" in lists.columns else F.lit(1)
 
 
 def _nearest_pairs(lists: DataFrame, sketches: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -419,19 +424,18 @@ def _nearest_pairs(lists: DataFrame, sketches: DataFrame, percent: int, turn: in
     They stand beside it on its lists and may link: one whose sketch is nearest
     for their sizes, and one chosen by hash.
     """
-    rows = _with_tops(lists, sketches)
     mixed = F.xxhash64("class", "key", F.lit(turn))
-    parts = F.ceil(F.col("total") / MAX_SALTED).cast("int")
-    near = Window.partitionBy("key", F.pmod(mixed, parts)).orderBy(mixed)
+    near = Window.partitionBy("key", F.pmod(mixed, _parts(lists))).orderBy(mixed)
     names = ["class", "n", "first", "root", *SKETCH_COLUMNS]
-    rows = rows.select("key", "top", *names, *[F.lag(c).over(near).alias(f"other_{c}") for c in names])
+    rows = lists.drop("n").join(sketches, "class")
+    rows = rows.select("key", *names, *[F.lag(c).over(near).alias(f"other_{c}") for c in names])
     rows = rows.where((F.col("root") != F.col("other_root")) & _possible(percent) & _alike(percent))
     far = _differing() / (F.col("n") + F.col("other_n"))
     sides = F.array(
         F.struct("class", "root", F.col("other_class").alias("other")),
         F.struct(F.col("other_class").alias("class"), F.col("other_root").alias("root"), F.col("class").alias("other")),
     )
-    rows = rows.select("key", "top", far.alias("far"), F.explode(sides).alias("side"))
+    rows = rows.select("key", far.alias("far"), F.explode(sides).alias("side")).join(_tops(lists), "key")
     rows = rows.where("side.root <> top").select("key", "far", "side.class", "side.other")
     pairs = rows.groupBy("class").agg(
         F.min_by("other", F.struct("far", "other")).alias("p"),
@@ -447,10 +451,10 @@ def _rest_of_pairs(lists: DataFrame, sketches: DataFrame, percent: int) -> DataF
     of the list; only such classes look for partners. Long lists are cut into
     salted parts, and those who look visit each.
     """
-    rows = _with_tops(lists, sketches)
-    parts = F.ceil(F.col("total") / MAX_SALTED).cast("int")
-    left = rows.where("root <> top").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    right = rows.withColumn("part", F.pmod(F.xxhash64("class"), parts).cast("int")).drop("top", "total")
+    rows = lists.select("key", "salts", "class", "first", "kind", "root")
+    left = rows.join(_tops(lists), "key").where("root <> top").join(sketches, "class")
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = rows.withColumn("part", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).join(sketches, "class")
     pairs = left.join(_other(right, ("key", "part")), ["key", "part"])
     pairs = pairs.where("root <> other_root AND (other_root = top OR class < other_class)")
     pairs = pairs.where("kind = 0 OR other_kind = 0 OR (kind = 1 AND other_kind = 1)")
@@ -489,16 +493,10 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
             roots = components(links, scratch)
             release(spark)
         lists = _with_roots(lists, roots, scratch)
-        while True:
-            turn += 1
-            asked = scratch.settle(_nearest_pairs(lists, sketches, percent, turn).distinct())
-            found = _linked(asked, docs, classes, size, percent, scratch)
-            links = scratch.settle(links.union(found))
-            roots = components(links, scratch)
-            worth = found.count() > WORTH * asked.count()
-            lists = _with_roots(lists, roots, scratch)
-            if not worth:
-                break
+        found = _linked(_nearest_pairs(lists, sketches, percent, ROUNDS), docs, classes, size, percent, scratch)
+        links = scratch.settle(links.union(found))
+        roots = components(links, scratch)
+        lists = _with_roots(lists, roots, scratch)
         release(spark)
         found = _linked(_rest_of_pairs(lists, sketches, percent), docs, classes, size, percent, scratch)
         roots = components(links.union(found), scratch).withColumnRenamed("node", "class")

@@ -122,3 +122,28 @@ def test_components_of_long_paths_and_stars(spark, monkeypatch, broadcast):
         roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert len(set(roots[k] for k in range(61))) == 1 and len({roots[k] for k in range(100, 130)}) == 1
     assert roots[0] != roots[100]
+
+
+def test_a_small_graph_needs_no_shuffle(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
+    new = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {key: spark.conf.get(key) for key in new}
+    tracker = spark.sparkContext.statusTracker()
+
+    def most_tasks(group):
+        spark.sparkContext.setJobGroup(group, group)
+        with Scratch(spark) as scratch:
+            assert {r["root"] for r in components(edges, scratch).collect()} == {0}
+        stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+        return max(info.numTasks for info in map(tracker.getStageInfo, stages) if info)
+
+    try:
+        for key, value in new.items():
+            spark.conf.set(key, value)
+        assert most_tasks("small graph") < 50
+        monkeypatch.setattr(graph, "SMALL_ROWS", 10)
+        assert most_tasks("large graph") == 50
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
