@@ -147,3 +147,21 @@ def test_a_small_graph_needs_no_shuffle(spark, monkeypatch):
         for key, value in old.items():
             spark.conf.set(key, value)
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_all_lists_are_read_in_one_round_and_at_the_end(spark, monkeypatch):
+    draw = random.Random(4)
+    base = [f"v{k}" for k in range(100)]
+    rows = []
+    for k in range(150):
+        text = list(base)
+        for at in draw.sample(range(100), draw.choice([1, 2, 3, 3, 3, 4])):
+            text[at] = f"x{draw.randrange(10_000)}"
+        rows.append((k, " ".join(text)))
+    calls = []
+    linked = jaccard._linked
+    monkeypatch.setattr(jaccard, "_linked", lambda *a: calls.append(1) or linked(*a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(docs).collect()}
+    assert got == brute(rows) and len(set(got.values())) > 10
+    assert len(calls) == jaccard.ROUNDS + 2
