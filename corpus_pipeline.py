@@ -18,7 +18,7 @@ from grainmill.llm.packing import pack
 from grainmill.llm.queries import tokenizer_path
 from grainmill.llm.secrets import fit_secrets, redacted
 from grainmill.llm.toxicity import fit_toxicity
-from grainmill.session import bound_batches, discard, new_folder, settle
+from grainmill.session import bound_batches, discard, new_folder, settle, trim
 
 BROADCAST_ROWS = 2_000_000
 
@@ -39,6 +39,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted to be toxic go."""
+    trim(spark)
     bound_batches(spark)
     model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
     score, toxic = unused(docs, "toxic_score"), unused(docs, "toxic")
@@ -50,6 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that share an id are one document; the least of them stays.
     """
+    trim(spark)
     bound_batches(spark)
     found = jaccard_components(docs)
     kept = without(docs, found.where("component_id <> doc_id"))
@@ -65,11 +67,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a passage with the benchmark go."""
+    trim(spark)
     return without(docs, benchmark_overlaps(docs, read(spark, sf_dir, "benchmark")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; the length of a changed text is counted anew."""
+    trim(spark)
     bound_batches(spark)
     model = fit_secrets(docs)
 
@@ -86,6 +90,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
+    trim(spark)
     bound_batches(spark)
     return pack(docs, tokenizer_path())
 

@@ -37,7 +37,8 @@ KINDS = ["assign", "access", "hex", "model"]
 MAX_SAMPLE = 20_000
 MAX_LINES = 4_000
 PART = 256
-BLOCK = 1 << 20
+# Bytes of texts whose tokens are in memory at the same time, some 200 times their size.
+BLOCK = 1 << 18
 
 ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -201,7 +202,10 @@ class Field:
     trained: bool = False
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
-        return sum(w[codes[:, k]] for k, w in enumerate(self.weights))
+        total = np.zeros((len(codes), 3))
+        for k, w in enumerate(self.weights):
+            total += w[codes[:, k]]
+        return total
 
     def barred(self) -> np.ndarray:
         """Transition scores; a secret cannot go on where none began."""
@@ -296,14 +300,16 @@ class Field:
         for at in steps[:0:-1]:
             onward = moves[None] + (score[at] + behind[at])[:, None, :]
             behind[at - 1] = add(onward, axis=2)
-        log_total = add(ahead + behind, axis=1)
-        share = np.exp(ahead + behind - log_total[:, None])
-        wanted = np.eye(3)[gold]
+        total = ahead + behind
+        log_total = add(total, axis=1)
         for at in steps[1:]:
             both = ahead[at - 1][:, :, None] + moves[None] + (score[at] + behind[at])[:, None, :]
             flow -= np.exp(both - log_total[at][:, None, None]).sum(0)
             np.add.at(flow, (gold[at - 1], gold[at]), 1)
-        error = wanted - share
+        del score, ahead, behind
+        total -= log_total[:, None]
+        error = np.eye(3)[gold]
+        error -= np.exp(total, out=total)
         grads = [
             np.stack([np.bincount(tokens.codes[:, k], error[:, t], len(w)) for t in range(3)], 1)
             for k, w in enumerate(self.weights)
@@ -426,12 +432,13 @@ def fit_secrets(docs: DataFrame, max_sample: int = MAX_SAMPLE, max_lines: int =
             rows += chosen.select("codes", "gold").collect()
             if not rows:
                 return model
-    codes = [np.frombuffer(r["codes"], np.int32).reshape(-1, len(GROUPS)) for r in rows]
-    gold = np.concatenate([np.frombuffer(r["gold"], np.int8) for r in rows])
-    sizes = [len(c) for c in codes]
-    chains = np.concatenate([[0], np.cumsum(sizes)])
-    nothing = np.zeros(int(chains[-1]), np.int64)
-    model.train(Tokens(nothing, nothing, chains, np.concatenate(codes)), gold.astype(np.int64))
+    parts = [np.frombuffer(r["codes"], np.int32).reshape(-1, len(GROUPS)) for r in rows]
+    gold = np.concatenate([np.frombuffer(r["gold"], np.int8) for r in rows]).astype(np.int64)
+    chains = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    codes = np.concatenate(parts)
+    del rows, parts  # as large as the codes
+    nothing = np.zeros(0, np.int64)
+    model.train(Tokens(nothing, nothing, chains, codes), gold)
     return model
 
 

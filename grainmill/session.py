@@ -6,6 +6,7 @@ import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -69,6 +70,17 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim(spark: SparkSession) -> None:
+    """Let the executors collect their garbage and give back the heap that they no longer need.
+
+    A heap that one step has made large stays so, beside the Python workers of
+    the steps that follow. One task a core asks for it, so that none is left out.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    asked = F.expr("java_method('java.lang.System', 'gc')").alias("asked")
+    spark.range(0, cores, 1, cores).select(asked).agg(F.count("asked")).collect()
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Let Python workers get their rows in batches of BATCH_BYTES or so, if the session has no limit of its own.
 

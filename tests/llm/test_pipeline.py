@@ -65,6 +65,29 @@ def test_workers_get_small_batches(spark, name):
     assert chosen.conf.get(BATCH_KEY) == "1m"
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_a_stage_begins_with_a_collected_heap(spark, name):
+    """What the stage before has left is collected, and its memory given back, before rows are read."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def collections():
+        return sum(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep"))
+
+    class Read(Exception):
+        pass
+
+    class Docs:
+        sparkSession = spark
+
+        def __getattr__(self, attribute):
+            raise Read(collections())
+
+    before = collections()
+    with pytest.raises(Read) as found:
+        dict(corpus_pipeline.STAGES)[name](spark, Docs(), SF)
+    assert found.value.args[0] > before
+
+
 @pytest.mark.parametrize("name", ["near_duplicates", "decontaminate", "secrets", "toxicity"])
 def test_awkward_rows(spark, name):
     docs = awkward_docs(spark).withColumnsRenamed({"score": "masked", "row": "toxic", "class": "component_id"})

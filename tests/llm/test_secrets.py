@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -142,3 +143,32 @@ def test_a_span_across_parts_is_one_span(monkeypatch):
         monkeypatch.setattr(secrets, "PART", part)
         found.append(find_spans([text], model)[0][1])
     assert found[0] and all(f == found[0] for f in found)
+
+
+def _peak(work):
+    """The most bytes that are held at a time during the work, and its result."""
+    tracemalloc.start()
+    try:
+        result = work()
+        return tracemalloc.get_traced_memory()[1], result
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_scan_holds_the_tokens_of_few_texts_at_a_time():
+    model = Field(trained=True)
+    model.weights[0][:, 2] = 1.0  # all tokens are outside
+    texts = ["plain words, and more of them. " * 30 + f"token = abcdef{k}" for k in range(4000)]
+    peak, found = _peak(lambda: find_spans(texts, model))
+    assert peak < 40e6 and all(base == spans and len(base) == 1 for base, spans in found)
+
+
+def test_a_gradient_holds_few_numbers_a_token():
+    draw = np.random.default_rng(5)
+    n = 200_000
+    codes = np.stack([draw.integers(0, k, n) for k in GROUPS.values()], 1).astype(np.int32)
+    nothing = np.zeros(0, np.int64)
+    tokens = Tokens(nothing, nothing, np.arange(0, n + 1, 100), codes)
+    gold = np.where(codes[:, 0] > 5, 0, 2).astype(np.int64)
+    peak, (grads, _) = _peak(lambda: Field().gradient(tokens, gold))
+    assert peak < 150 * n and all(np.allclose(g.sum(1), 0, atol=1e-6) for g in grads)
