@@ -172,3 +172,13 @@ def test_a_gradient_holds_few_numbers_a_token():
     gold = np.where(codes[:, 0] > 5, 0, 2).astype(np.int64)
     peak, (grads, _) = _peak(lambda: Field().gradient(tokens, gold))
     assert peak < 150 * n and all(np.allclose(g.sum(1), 0, atol=1e-6) for g in grads)
+
+
+@pytest.mark.parametrize("distinct", [1, 7, 20_000])
+def test_few_lines_are_sent_to_choose_the_lowest(spark, distinct):
+    lines = spark.range(0, 20_000, 1, 16).selectExpr(f"cast(cast(id % {distinct} as string) as binary) codes", "id gold")
+    wanted = lines.orderBy(F.xxhash64("codes"), "gold").limit(100).collect()
+    low = secrets._lowest(lines, 100)
+    assert low.orderBy("place", "gold").limit(100).select("codes", "gold").collect() == wanted
+    assert distinct < 20_000 or 100 <= low.count() < 300
+    assert secrets._lowest(lines, 20_000).count() == 20_000
